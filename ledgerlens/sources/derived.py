@@ -116,3 +116,95 @@ def answers_with_actuals(spark: SparkSession, d: str) -> DataFrame:
     a = answers(spark, d)
     acts = PR.actual_values(driver_ledger(spark, d))
     return a.join(acts, C.USER, "left")
+
+
+# --- FIXED VALUES: tool calls the model returns per prompt template index ---
+# (tool name, arguments JSON text); the last two are an unknown tool and
+# malformed arguments.
+TOOL_PLAN = {
+    0: [("plot_category_breakdown", '{"period": "last_1_month", "top_n": 7}')],
+    1: [("plot_category_breakdown", "{}")],
+    2: [("plot_category_breakdown", '{"period": "all", "top_n": 5}')],
+    3: [("plot_monthly_spending_trend", '{"months": 6}')],
+    4: [("plot_monthly_spending_trend", '{"months": 12, "category_filter": "brand#13"}'),
+        ("plot_category_breakdown", '{"period": "last_6_months"}')],
+    5: [("plot_income_vs_expense", "{}")],
+    6: [("plot_income_vs_expense", '{"months": 3, "show_net_line": false}')],
+    19: [("plot_pie_chart", '{"top_n": 3}')],
+    21: [("plot_monthly_spending_trend", '{"category_filter": "FOOD", "months": }')],
+}
+
+
+def _plan_column(idx: Column) -> Column:
+    """array<struct<name, args>> for the template index."""
+    empty = F.array().cast("array<struct<name:string,args:string>>")
+    plans = []
+    for i in range(len(PROMPT_TEMPLATES)):
+        calls = TOOL_PLAN.get(i, [])
+        plans.append(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(a).alias("args"))
+                               for n, a in calls]) if calls else empty)
+    return F.element_at(F.array(*plans), (idx + 1).cast("int"))
+
+
+def _json_str(s: Column) -> Column:
+    """A string as a JSON string literal (quoted and escaped)."""
+    return F.regexp_extract(F.to_json(F.array(s)), r"^\[(.*)\]$", 1)
+
+
+def responses(spark: SparkSession, d: str) -> DataFrame:
+    """(request_id, instance_id, ts, status, provider, raw_json).
+
+    The model's text is the assistant turn that follows the user turn;
+    even conversations answer in chat-completions JSON, odd ones in
+    generateContent JSON. Every 13th call failed (no body)."""
+    cv = read_table(spark, d, "conversations")
+    user = cv.where(F.col("role") == "user").select("conv_id", "turn", "text")
+    bot = cv.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    j = user.join(bot, ["conv_id", "turn"], "left")
+    idx = (F.col("conv_id") + F.col("turn")) % len(PROMPT_TEMPLATES)
+    plan = _plan_column(idx)
+    text = F.coalesce(F.col("answer"), F.lit(""))
+    p_tok = F.floor(F.length("text") / 4).cast("bigint")
+    c_tok = F.floor(F.length(text) / 4).cast("bigint")
+    chat = F.to_json(F.struct(
+        F.array(F.struct(F.struct(
+            text.alias("content"),
+            F.transform(plan, lambda x, i: F.struct(
+                F.concat(F.lit("call_"), (i + 1).cast("string")).alias("id"),
+                F.lit("function").alias("type"),
+                F.struct(x["name"].alias("name"), x["args"].alias("arguments")).alias("function")))
+            .alias("tool_calls")).alias("message"))).alias("choices"),
+        F.struct(p_tok.alias("prompt_tokens"), c_tok.alias("completion_tokens")).alias("usage")))
+    fc = F.transform(plan, lambda x: F.concat(
+        F.lit('{"functionCall":{"name":'), _json_str(x["name"]), F.lit(',"args":'),
+        F.when(F.try_parse_json(x["args"]).isNull(),
+               _json_str(x["args"])).otherwise(x["args"]),
+        F.lit("}}")))
+    parts = F.concat(F.array(F.to_json(F.struct(text.alias("text")))), fc)
+    native = F.concat(
+        F.lit('{"candidates":[{"content":{"parts":['), F.array_join(parts, ","),
+        F.lit(']}}],"usageMetadata":{"promptTokenCount":'), p_tok.cast("string"),
+        F.lit(',"candidatesTokenCount":'), c_tok.cast("string"), F.lit("}}"))
+    failed = (F.col("conv_id") * 31 + F.col("turn")) % 13 == 0
+    provider = F.when(F.col("conv_id") % 2 == 0, F.lit("chat")).otherwise(F.lit("native"))
+    return j.select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
+        F.concat(F.lit("svc_"), (F.col("conv_id") % 3).cast("string")).alias("instance_id"),
+        F.expr(f"timestampadd(SECOND, conv_id * 3600 + turn * 60 + 5, timestamp_ntz'{EPOCH}')").alias("ts"),
+        F.when(failed, F.lit("failed")).otherwise(F.lit("ok")).alias("status"),
+        provider.alias("provider"),
+        F.when(failed, F.lit(None).cast("string"))
+        .when(provider == "chat", chat).otherwise(native).alias("raw_json"))
+
+
+def call_log(spark: SparkSession, d: str) -> DataFrame:
+    """(call_id, instance_id, ts, status): one model call per event; error and
+    signup events are failed calls; four service instances share the log."""
+    ev = read_table(spark, d, "events")
+    return ev.select(
+        F.col("event_id").alias("call_id"),
+        F.concat(F.lit("svc_"), (F.col("user_id") % 4).cast("string")).alias("instance_id"),
+        F.col("ts"),
+        F.when(F.col("event_type").isin("error", "signup"), F.lit("failed"))
+        .otherwise(F.lit("ok")).alias("status"))
