@@ -114,6 +114,12 @@ def month_number(name) -> Column:
 
 
 def contains_any(text, words: list[str]) -> Column:
-    """Substring test against a word list (the screening rules are substring based)."""
+    """Substring test against a word list (the screening rules are substring
+    based). A flat OR of ``contains`` stays inside whole-stage codegen and
+    evaluates ``text`` once; a lambda over an array of words would not."""
     t = _c(text)
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.instr(t, w) > 0)
+    out = None
+    for w in words:
+        hit = t.contains(w)
+        out = hit if out is None else (out | hit)
+    return out if out is not None else F.lit(False)

@@ -56,13 +56,22 @@ def screen_prompts(df: DataFrame, prompt_col: str = "prompt",
 
     Adds booleans per rule, ``input_passed``, ``input_flag`` (null when
     clean), ``input_message`` and ``effective_prompt`` (the 500-character cut
-    applies only to prompts that pass; regexes see the whole prompt).
+    applies only to prompts that pass; regexes see the whole prompt). The
+    lowered texts are computed once as their own columns.
     """
     inj, cross, scope, long_ = "is_injection", "is_cross_user", "is_off_topic", "is_too_long"
-    out = (df.withColumn(inj, injection_hit(prompt_col))
-             .withColumn(cross, cross_user_hit(prompt_col, user_col))
-             .withColumn(scope, off_topic_hit(prompt_col))
-             .withColumn(long_, too_long(prompt_col)))
+    base = (df.withColumn("_low", F.lower(F.col(prompt_col)))
+              .withColumn("_low_strip", F.regexp_replace(F.col("_low"), STRIP_PATTERN, "")))
+    ls, lo = F.col("_low_strip"), F.col("_low")
+    own = F.lower(F.col(user_col))
+    ids = F.regexp_extract_all(lo, F.lit(P.USER_ID_PATTERN), F.lit(0))
+    out = (base.withColumn(inj, ls.rlike(P.any_of(P.INJECTION_PATTERNS)))
+               .withColumn(cross, F.exists(ids, lambda x: x != own)
+                           | lo.rlike(P.any_of(P.CROSS_USER_PATTERNS)))
+               .withColumn(scope, ls.rlike(P.any_of(P.OFF_TOPIC_PATTERNS))
+                           & ~X.contains_any(ls, P.FINANCIAL_KEYWORDS))
+               .withColumn(long_, too_long(prompt_col))
+               .drop("_low", "_low_strip"))
     flag = (F.when(F.col(inj), F.lit("PROMPT_INJECTION_DETECTED"))
             .when(F.col(cross), F.lit("CROSS_USER_LEAKAGE_ATTEMPT"))
             .when(F.col(scope), F.lit("OFF_TOPIC"))

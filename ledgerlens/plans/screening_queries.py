@@ -54,18 +54,20 @@ def prompt_hashes(spark: SparkSession, d: str) -> DataFrame:
 
 def screen_documents(spark: SparkSession, d: str) -> DataFrame:
     """Input and output rules over whole document texts (long-text safety)."""
-    doc = read_table(spark, d, "documents").select("doc_id", "text")
-    low = G.py_lower_strip("text")
+    doc = (read_table(spark, d, "documents").select("doc_id", "text")
+           .withColumn("_low", F.lower("text"))
+           .withColumn("_low_strip", F.regexp_replace(F.col("_low"), G.STRIP_PATTERN, "")))
+    lo, ls = F.col("_low"), F.col("_low_strip")
     return doc.select(
         "doc_id",
-        G.injection_hit("text").alias("is_injection"),
-        low.rlike(P.any_of(P.OFF_TOPIC_PATTERNS)).alias("off_topic_pattern"),
-        X.contains_any(low, P.FINANCIAL_KEYWORDS).alias("has_financial_keyword"),
-        F.size(F.regexp_extract_all(F.lower("text"), F.lit(P.USER_ID_PATTERN), F.lit(0)))
+        ls.rlike(P.any_of(P.INJECTION_PATTERNS)).alias("is_injection"),
+        ls.rlike(P.any_of(P.OFF_TOPIC_PATTERNS)).alias("off_topic_pattern"),
+        X.contains_any(ls, P.FINANCIAL_KEYWORDS).alias("has_financial_keyword"),
+        F.size(F.regexp_extract_all(lo, F.lit(P.USER_ID_PATTERN), F.lit(0)))
         .cast("bigint").alias("n_user_ids"),
         F.size(G.extracted_numbers("text")).cast("bigint").alias("n_numbers"),
-        G.toxic_hit("text").alias("is_toxic"),
-        G.hedging_hit("text").alias("is_hedging"),
+        X.contains_any(lo, P.TOXICITY_KEYWORDS).alias("is_toxic"),
+        X.contains_any(lo, P.HEDGING_PHRASES).alias("is_hedging"),
     )
 
 
