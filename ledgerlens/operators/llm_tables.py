@@ -41,7 +41,7 @@ def _valid_json(s: Column) -> Column:
 def parse_chat(raw: Column) -> Column:
     """L1: chat-completions JSON -> struct<text, calls, n_malformed, usage>."""
     r = F.from_json(raw, CHAT_SCHEMA)
-    msg = F.element_at(r["choices"], 1)["message"]
+    msg = F.try_element_at(r["choices"], F.lit(1))["message"]
     calls = F.coalesce(msg["tool_calls"], F.array())
     typed = F.transform(calls, lambda c: F.struct(
         F.coalesce(c["id"], F.lit("")).alias("id"),
@@ -59,7 +59,7 @@ def parse_native(raw: Column) -> Column:
     """L2: generateContent JSON; text parts joined by newline, function calls
     get id 'call_<name>'; no candidates -> empty response."""
     r = F.from_json(raw, NATIVE_SCHEMA)
-    parts = F.coalesce(F.element_at(r["candidates"], 1)["content"]["parts"], F.array())
+    parts = F.coalesce(F.try_element_at(r["candidates"], F.lit(1))["content"]["parts"], F.array())
     texts = F.filter(parts, lambda p: p["text"].isNotNull())
     fcalls = F.filter(parts, lambda p: p["text"].isNull() & p["functionCall"].isNotNull())
     typed = F.transform(fcalls, lambda p: F.struct(
