@@ -128,7 +128,10 @@ def text_summaries(ledger: DataFrame) -> DataFrame:
     """The data-summary block (rows, range, totals, tops, latest date)."""
     t = A.owner_totals(ledger)
     cats = _top_list(A.top_categories(ledger, 5), C.PARENT, 5, "cats")
-    mers = _top_list(A.top_merchants(ledger, 10), C.MERCHANT, 10, "mers")
+    has_merchants = C.MERCHANT in ledger.columns          # F10: plan-time guard
+    mers = (_top_list(A.top_merchants(ledger, 10), C.MERCHANT, 10, "mers") if has_merchants
+            else t.select(C.USER, F.lit(None).cast(
+                "array<struct<rank:int,name:string,total:decimal(28,2)>>").alias("mers")))
 
     def money_list(arr):
         return F.array_join(F.transform(arr, lambda c: F.concat(
@@ -172,10 +175,13 @@ def data_summary_long(ledger: DataFrame) -> DataFrame:
     months = S.monthly_spend(ledger).select(
         C.USER, F.concat(F.lit("month_"), F.col("month_key")).alias("key"),
         X.cents(F.col("expense")).alias("value"))
-    mers = A.top_merchants(ledger, 10).select(
-        C.USER, F.concat(F.lit("merchant_"), F.col(C.MERCHANT)).alias("key"),
-        X.cents(F.col("total_expense")).alias("value"))
-    return head.unionByName(cats).unionByName(months).unionByName(mers)
+    out = head.unionByName(cats).unionByName(months)
+    if C.MERCHANT in ledger.columns:                      # F10: plan-time guard
+        mers = A.top_merchants(ledger, 10).select(
+            C.USER, F.concat(F.lit("merchant_"), F.col(C.MERCHANT)).alias("key"),
+            X.cents(F.col("total_expense")).alias("value"))
+        out = out.unionByName(mers)
+    return out
 
 
 def actual_values(ledger: DataFrame) -> DataFrame:

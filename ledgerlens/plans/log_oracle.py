@@ -94,6 +94,10 @@ SELECT request_id, status, llm_text, n_tool_calls, tool_names, tool_ids, n_malfo
 FROM pr WHERE provider = {q(provider)}"""
 
 
+ORACLE["unknown_users"] = with_(REQUESTS, USERS) + """
+SELECT request_id, user_id, 'User ''' || user_id || ''' not found.' AS error
+FROM req WHERE user_id NOT IN (SELECT user_id FROM users)"""
+
 ORACLE["parse_chat_json"] = _parse("chat")
 ORACLE["parse_content_json"] = _parse("native")
 

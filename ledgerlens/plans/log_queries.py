@@ -44,6 +44,13 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
         "n_charts")
 
 
+def unknown_users(spark: SparkSession, d: str) -> DataFrame:
+    """Requests whose owner has no ledger rows -> error record."""
+    r = D.requests(spark, d).join(known_users(spark, d), C.USER, "left_anti")
+    return r.select("request_id", C.USER,
+                    F.concat(F.lit("User '"), F.col(C.USER), F.lit("' not found.")).alias("error"))
+
+
 def _parse(spark, d, provider):
     p = parsed_responses(spark, d).where(F.col("provider") == provider)
     return p.select(
@@ -133,6 +140,7 @@ def chat_history(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "unknown_users": unknown_users,
     "parse_chat_json": parse_chat_json,
     "parse_content_json": parse_content_json,
     "route_tool_calls": route_tool_calls,

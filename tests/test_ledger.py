@@ -146,3 +146,26 @@ def test_plan_pushes_owner_filter(spark, tmp_path):
     plan = FL.for_user(load_parquet(spark, path), "usr_001").select("transaction_amount") \
         ._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(user_id), EqualTo(user_id,usr_001)]" in plan
+
+
+def test_csv_loader_and_dq(spark, tmp_path):
+    from ledgerlens.sources.ledger import dq_counts, load_csv
+    p = tmp_path / "tx.csv"
+    p.write_text("merchant_name,user_id,user_name,transaction_date,transaction_amount,"
+                 "transaction_category_detail,extra\n"
+                 "AvalonBay,usr_1,A,2025-05-01,1850,RENT_HOUSING,x\n"
+                 "Employer,usr_1,A,2025-05-02,-5200,SALARY_INCOME,y\n"
+                 "Shop,usr_1,A,not-a-date,12.5,,z\n")
+    df = load_csv(spark, str(p), mode="permissive")
+    assert df.columns[:3] == ["user_id", "user_name", "transaction_date"]
+    rows = df.collect()
+    assert float(rows[0].transaction_amount) == 1850 and rows[2].transaction_date is None
+    raw = spark.read.option("header", True).csv(str(p))
+    dq = dq_counts(raw).collect()[0]
+    assert (dq.n_rows, dq.bad_dates, dq.bad_amounts, dq.null_categories) == (3, 1, 0, 1)
+
+
+def test_text_summary_without_merchant_column(spark):
+    df = ledger_df(spark, CACHE_ROWS).drop("merchant_name")
+    t = {r.user_id: r.text_summary for r in PR.text_summaries(df).collect()}
+    assert "Top merchants" not in t["usr_001"]
