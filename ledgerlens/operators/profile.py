@@ -7,13 +7,12 @@ top-k filter, so no owner's raw rows are ever collected.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import columns as C
 from ..functions import exprs as X
 from . import aggregates as A
-from . import series as S
 
 # --- FIXED VALUES: answer templates (must equal the reference texts) --------
 FALLBACK_TEMPLATE = (
@@ -55,22 +54,104 @@ def fill(template: str, **cols: Column) -> Column:
     return F.concat(*parts)
 
 
-def _top_list(ranked: DataFrame, name_col: str, k: int, alias: str) -> DataFrame:
-    """Per owner, the top-k (name, total) structs in rank order."""
-    return (ranked.groupBy(C.USER)
-            .agg(F.sort_array(F.collect_list(F.struct(
-                F.col("rank").alias("rank"), F.col(name_col).alias("name"),
-                F.col("total_expense").alias("total")))).alias(alias)))
+MONEY_SUM = "decimal(28,2)"
+_TOP_T = f"array<struct<rank:int,name:string,total:{MONEY_SUM}>>"
+
+# grouping_id() over (owner, parent, merchant, month): bit set = column rolled up
+_GRAIN = {7: "owner", 3: "parent", 5: "merchant", 6: "month"}
+
+
+def owner_facts(ledger: DataFrame) -> DataFrame:
+    """One pass over the facts: grouping sets (owner), (owner, parent),
+    (owner, merchant), (owner, month) with conditional sums/counts/dates.
+
+    A single Expand + partial/final aggregate replaces four separate scans
+    of the ledger (each a multi-way join at scale)."""
+    exp, inc = F.col(C.AMOUNT) > 0, F.col(C.AMOUNT) < 0
+    L = (ledger.withColumn(C.PARENT, X.parent_category(C.CATEGORY))
+               .withColumn(C.MONTH, F.trunc(C.DATE, "MM")))
+    g = L.groupingSets([[C.USER], [C.USER, C.PARENT], [C.USER, C.MERCHANT], [C.USER, C.MONTH]],
+                       C.USER, C.PARENT, C.MERCHANT, C.MONTH).agg(
+        F.grouping_id().alias("_gid"),
+        F.min(C.NAME).alias(C.NAME),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(exp).alias("n_expense"),
+        F.count_if(inc).alias("n_income"),
+        F.sum(F.when(exp, F.col(C.AMOUNT))).alias("sum_expense"),
+        F.sum(F.when(inc, F.col(C.AMOUNT))).alias("sum_income"),
+        F.min(C.DATE).alias("first_date"),
+        F.max(C.DATE).alias("last_date"),
+        F.min(F.when(exp, F.col(C.DATE))).alias("first_expense_date"),
+        F.max(F.when(exp, F.col(C.DATE))).alias("last_expense_date"))
+    grain = F.lit(None).cast("string")
+    for gid, name in _GRAIN.items():
+        grain = F.when(F.col("_gid") == gid, F.lit(name)).otherwise(grain)
+    return g.withColumn("grain", grain).drop("_gid")
+
+
+def owner_cards(ledger: DataFrame) -> DataFrame:
+    """Everything the profile, the text summary and the verified numbers
+    need, as ONE row per owner built from ``owner_facts``: totals, top-5
+    categories, all category totals, top-10 merchants and the zero-filled
+    monthly expense series. Every list is bounded (k, the category
+    taxonomy, the months between first and last expense)."""
+    f = owner_facts(ledger)
+    key = F.when(F.col("grain") == "parent", F.col(C.PARENT)) \
+        .when(F.col("grain") == "merchant", F.col(C.MERCHANT))
+    ranked_grain = F.col("grain").isin("parent", "merchant")
+    eligible = (F.col("n_expense") > 0) & key.isNotNull()
+    w = Window.partitionBy(C.USER, "grain").orderBy(
+        F.when(eligible, F.col("sum_expense")).desc_nulls_last(), key.asc())
+    f = (f.where((F.col("grain") != "month") | (F.col("n_expense") > 0))
+          .withColumn("_key", key)
+          .withColumn("_rank", F.when(ranked_grain & eligible, F.row_number().over(w))))
+    item = F.struct(F.col("_rank").alias("rank"), F.col("_key").alias("name"),
+                    F.col("sum_expense").alias("total"))
+    is_owner = F.col("grain") == "owner"
+
+    def owner_val(c):
+        return F.max(F.when(is_owner, F.col(c)))
+
+    card = f.groupBy(C.USER).agg(
+        owner_val(C.NAME).alias(C.NAME),
+        owner_val("n_rows").alias("n_rows"),
+        owner_val("n_expense").alias("n_expense"),
+        owner_val("n_income").alias("n_income"),
+        F.coalesce(owner_val("sum_expense"), F.lit(0).cast(MONEY_SUM)).alias("total_expense"),
+        F.coalesce(owner_val("sum_income"), F.lit(0).cast(MONEY_SUM)).alias("total_income_signed"),
+        owner_val("first_date").alias("first_date"),
+        owner_val("last_date").alias("last_date"),
+        owner_val("first_expense_date").alias("first_expense_date"),
+        owner_val("last_expense_date").alias("last_expense_date"),
+        F.sort_array(F.collect_list(F.when((F.col("grain") == "parent") & (F.col("_rank") <= 5), item)))
+        .alias("top_categories"),
+        F.collect_list(F.when((F.col("grain") == "parent") & F.col("_rank").isNotNull(), item))
+        .alias("categories"),
+        F.sort_array(F.collect_list(F.when((F.col("grain") == "merchant") & (F.col("_rank") <= 10), item)))
+        .alias("top_merchants"),
+        F.collect_list(F.when(F.col("grain") == "month", F.struct(
+            F.col(C.MONTH).alias("month"), F.col("sum_expense").alias("expense")))).alias("_months"))
+    lo, hi = F.array_min(F.transform("_months", lambda m: m["month"])), \
+        F.array_max(F.transform("_months", lambda m: m["month"]))
+    vals = F.map_from_entries(F.col("_months"))
+    months = F.when(F.size("_months") > 0, F.transform(
+        F.sequence(lo, hi, F.expr("interval 1 month")),
+        lambda m: F.struct(m.alias("month"), F.coalesce(F.element_at(vals, m),
+                                                        F.lit(0).cast(MONEY_SUM)).alias("expense")))
+    ).otherwise(F.array().cast(f"array<struct<month:date,expense:{MONEY_SUM}>>"))
+    return (card.withColumn("months", months).drop("_months")
+                .withColumn("avg_expense", F.when(
+                    F.col("n_expense") > 0,
+                    X.cents(F.col("total_expense").cast("double") / F.col("n_expense")))
+                    .otherwise(F.lit(0.0)))
+                .withColumn("avg_monthly_spend", A.avg_monthly_spend_expr())
+                .withColumn("top_categories", F.col("top_categories").cast(_TOP_T))
+                .withColumn("top_merchants", F.col("top_merchants").cast(_TOP_T)))
 
 
 def profiles(ledger: DataFrame) -> DataFrame:
     """One row per owner; top_categories = array<struct<rank,name,total>>."""
-    t = A.owner_totals(ledger).withColumn("avg_monthly_spend", A.avg_monthly_spend_expr())
-    tops = _top_list(A.top_categories(ledger, 5), C.PARENT, 5, "top_categories")
-    return (t.join(tops, C.USER, "left")
-            .withColumn("top_categories",
-                        F.coalesce(F.col("top_categories"), F.array().cast(
-                            "array<struct<rank:int,name:string,total:decimal(28,2)>>"))))
+    return owner_cards(ledger)
 
 
 def _cat_text(arr: Column, n: int | None = None) -> Column:
@@ -124,22 +205,15 @@ def fallback_text() -> Column:
         avg=X.currency(F.col("avg_monthly_spend")))
 
 
-def text_summaries(ledger: DataFrame) -> DataFrame:
-    """The data-summary block (rows, range, totals, tops, latest date)."""
-    t = A.owner_totals(ledger)
-    cats = _top_list(A.top_categories(ledger, 5), C.PARENT, 5, "cats")
-    has_merchants = C.MERCHANT in ledger.columns          # F10: plan-time guard
-    mers = (_top_list(A.top_merchants(ledger, 10), C.MERCHANT, 10, "mers") if has_merchants
-            else t.select(C.USER, F.lit(None).cast(
-                "array<struct<rank:int,name:string,total:decimal(28,2)>>").alias("mers")))
-
+def summary_text(has_merchants: bool = True) -> Column:
+    """A15 text over card columns: rows, range, totals, tops, latest date."""
     def money_list(arr):
         return F.array_join(F.transform(arr, lambda c: F.concat(
             c["name"], F.lit(" ($"), F.format_number(c["total"], 2), F.lit(")"))), ", ")
 
-    j = t.join(cats, C.USER, "left").join(mers, C.USER, "left")
     has_exp = F.col("n_expense") > 0
-    text = F.concat_ws(
+    mers = F.col("top_merchants") if has_merchants else F.array()
+    return F.concat_ws(
         "\n",
         F.concat(F.lit("Total rows: "), F.col("n_rows").cast("string")),
         F.concat(F.lit("Date range: "), F.date_format("first_date", "yyyy-MM-dd"),
@@ -148,49 +222,54 @@ def text_summaries(ledger: DataFrame) -> DataFrame:
                  F.lit(" ("), F.col("n_expense").cast("string"), F.lit(" transactions)")),
         F.concat(F.lit("Total income: $"), F.format_number(F.abs(F.col("total_income_signed")), 2),
                  F.lit(" ("), F.col("n_income").cast("string"), F.lit(" transactions)")),
-        F.when(has_exp, F.concat(F.lit("Top expense categories: "), money_list(F.col("cats")))),
-        F.when(has_exp & (F.size(F.coalesce(F.col("mers"), F.array())) > 0),
-               F.concat(F.lit("Top merchants by spend: "), money_list(F.col("mers")))),
+        F.when(has_exp, F.concat(F.lit("Top expense categories: "),
+                                 money_list(F.col("top_categories")))),
+        F.when(has_exp & (F.size(mers) > 0),
+               F.concat(F.lit("Top merchants by spend: "), money_list(mers))),
         F.concat(F.lit("Most recent transaction: "), F.date_format("last_date", "yyyy-MM-dd")),
     )
-    return j.select(C.USER, text.alias("text_summary"))
+
+
+def text_summaries(ledger: DataFrame) -> DataFrame:
+    """The data-summary block per owner."""
+    has_merchants = C.MERCHANT in ledger.columns          # F10: plan-time guard
+    led = ledger if has_merchants else ledger.withColumn(C.MERCHANT, F.lit(None).cast("string"))
+    return owner_cards(led).select(C.USER, summary_text(has_merchants).alias("text_summary"))
+
+
+def summary_entries() -> Column:
+    """A14 as array<struct<key, value>> over card columns (bounded list)."""
+    def kv(k, v):
+        return F.struct(k.alias("key"), v.alias("value"))
+
+    head = F.array(
+        kv(F.lit("total_expense"), X.cents(F.col("total_expense"))),
+        kv(F.lit("total_income"), X.cents(F.abs(F.col("total_income_signed")))),
+        kv(F.lit("transaction_count"), F.col("n_rows").cast("double")),
+        kv(F.lit("avg_expense"), F.col("avg_expense")))
+    cats = F.transform("categories", lambda c: kv(
+        F.concat(F.lit("category_"), c["name"]), X.cents(c["total"])))
+    months = F.transform("months", lambda m: kv(
+        F.concat(F.lit("month_"), X.month_key(m["month"])), X.cents(m["expense"])))
+    mers = F.transform("top_merchants", lambda c: kv(
+        F.concat(F.lit("merchant_"), c["name"]), X.cents(c["total"])))
+    return F.concat(head, cats, months, mers)
 
 
 def data_summary_long(ledger: DataFrame) -> DataFrame:
     """A14 in long form (owner, key, value): totals, count, mean expense,
     category_*, zero-filled month_YYYY_MM, merchant_* (top 10)."""
-    t = A.owner_totals(ledger)
-    head = t.select(C.USER, F.explode(F.array(
-        F.struct(F.lit("total_expense").alias("key"),
-                 X.cents(F.col("total_expense")).alias("value")),
-        F.struct(F.lit("total_income").alias("key"),
-                 X.cents(F.abs(F.col("total_income_signed"))).alias("value")),
-        F.struct(F.lit("transaction_count").alias("key"),
-                 F.col("n_rows").cast("double").alias("value")),
-        F.struct(F.lit("avg_expense").alias("key"), F.col("avg_expense").alias("value")),
-    )).alias("kv")).select(C.USER, "kv.key", "kv.value")
-    cats = A.category_totals(ledger).select(
-        C.USER, F.concat(F.lit("category_"), F.col(C.PARENT)).alias("key"),
-        X.cents(F.col("total_expense")).alias("value"))
-    months = S.monthly_spend(ledger).select(
-        C.USER, F.concat(F.lit("month_"), F.col("month_key")).alias("key"),
-        X.cents(F.col("expense")).alias("value"))
-    out = head.unionByName(cats).unionByName(months)
-    if C.MERCHANT in ledger.columns:                      # F10: plan-time guard
-        mers = A.top_merchants(ledger, 10).select(
-            C.USER, F.concat(F.lit("merchant_"), F.col(C.MERCHANT)).alias("key"),
-            X.cents(F.col("total_expense")).alias("value"))
-        out = out.unionByName(mers)
-    return out
+    has_merchants = C.MERCHANT in ledger.columns          # F10: plan-time guard
+    led = ledger if has_merchants else ledger.withColumn(C.MERCHANT, F.lit(None).cast("string"))
+    return (owner_cards(led).select(C.USER, F.explode(summary_entries()).alias("kv"))
+            .select(C.USER, "kv.key", "kv.value"))
 
 
 def actual_values(ledger: DataFrame) -> DataFrame:
-    """Per owner: the verified numbers as an array (bounded: categories +
-    months + 10 merchants + 4) plus the date range, for grounding checks."""
-    vals = (data_summary_long(ledger).groupBy(C.USER)
-            .agg(F.collect_list("value").alias("actuals")))
-    rng = A.owner_totals(ledger).select(C.USER, "first_date", "last_date", "n_rows")
-    return rng.join(vals, C.USER, "left")
+    """Per owner: the verified numbers as an array plus the date range."""
+    return owner_cards(ledger).select(
+        C.USER, "first_date", "last_date", "n_rows",
+        F.transform(summary_entries(), lambda e: e["value"]).alias("actuals"))
 
 
 def no_data_answers(ledger: DataFrame, owners: DataFrame) -> DataFrame:

@@ -37,17 +37,21 @@ def _flags(*parts) -> F.Column:
 
 
 def owner_tables(ledger: DataFrame) -> dict[str, DataFrame]:
-    """Per-owner inputs of the pipeline (one row per owner each)."""
-    return {"profiles": PR.profiles(ledger),
-            "summaries": PR.text_summaries(ledger),
-            "actuals": PR.actual_values(ledger).select(C.USER, "actuals")}
+    """Per-owner input of the pipeline: ONE card per owner carrying the
+    profile, the summary text and the verified numbers (one pass over the
+    ledger via grouping sets)."""
+    has_merchants = C.MERCHANT in ledger.columns
+    cards = (PR.owner_cards(ledger)
+             .withColumn("text_summary", PR.summary_text(has_merchants))
+             .withColumn("actuals", F.transform(PR.summary_entries(), lambda e: e["value"])))
+    return {"cards": cards}
 
 
 def answer_requests(requests: DataFrame, ledger: DataFrame, responses: DataFrame,
                     bucket: str = Q.DEFAULT_BUCKET,
                     tables: dict[str, DataFrame] | None = None) -> DataFrame:
     t = tables if tables is not None else owner_tables(ledger)
-    owners, summaries, actuals = t["profiles"], t["summaries"], t["actuals"]
+    owners = t["cards"]
     users = owners.select(C.USER)
 
     unknown = requests.join(users, C.USER, "left_anti")
@@ -94,7 +98,7 @@ def answer_requests(requests: DataFrame, ledger: DataFrame, responses: DataFrame
         "call_pos", "chart_type", "description"))).alias("_charts"))
     a = (ok.join(resp, "request_id", "left").join(breaker, "request_id", "left")
          .join(charts, "request_id", "left")
-         .join(owners, C.USER).join(actuals, C.USER, "left"))
+         .join(owners, C.USER))
     viz = F.transform(F.coalesce(F.col("_charts"), F.array()), lambda c: c["chart_type"])
     a = a.withColumn("visualizations", viz.cast(EMPTY)) \
          .withColumn("_n_charts", F.size("visualizations"))
@@ -122,7 +126,6 @@ def answer_requests(requests: DataFrame, ledger: DataFrame, responses: DataFrame
          .withColumn("result_summary", F.substring(F.coalesce(
              F.nullif(F.col("final_response"), F.lit("")), F.lit("No response generated")), 1, 200))
     a = Q.few_shot(a, bucket=bucket)
-    a = a.join(summaries, C.USER, "left")
     a = a.withColumn("_profile_text", PR.profile_text(a))
     a = a.withColumn("messages", M.build_messages("_profile_text", "text_summary", "few_shot",
                                                   "effective_prompt"))

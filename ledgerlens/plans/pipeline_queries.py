@@ -20,10 +20,9 @@ from .log_queries import interactions
 
 
 def _messages(spark, d):
-    L = driver_ledger(spark, d)
-    prof = PR.profiles(L)
-    ctx = (prof.select(C.USER, PR.profile_text(prof).alias("profile_text"))
-           .join(PR.text_summaries(L), C.USER))
+    card = PR.owner_cards(driver_ledger(spark, d))
+    ctx = card.select(C.USER, PR.profile_text(card).alias("profile_text"),
+                      PR.summary_text().alias("text_summary"))
     fs = Q.few_shot(interactions(spark, d))
     j = fs.join(ctx, C.USER)
     return j.withColumn("messages", M.build_messages("profile_text", "text_summary", "few_shot",

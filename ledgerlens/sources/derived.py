@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from .. import columns as C
 from ..functions import exprs as X
-from ..operators import aggregates as A
 from ..operators import profile as PR
 from .ledger import driver_ledger, read_table
 
@@ -85,37 +84,33 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, d: str) -> DataFrame:
-    """(answer_id, user_id, response) — one templated answer per owner."""
-    L = driver_ledger(spark, d, need=(C.CATEGORY,))
-    t = A.owner_totals(L)
-    top = A.top_categories(L, 1).select(C.USER, C.PARENT, F.col("total_expense").alias("top_total"))
-    last = (A.daily_rollup(L).where(F.col("n_expense") > 0)
-            .groupBy(C.USER, F.trunc(C.DAY, "MM").alias(C.MONTH))
-            .agg(F.sum("expense").alias("month_total")))
-    last = A.ranked(last.withColumn("neg", F.lit(0)), C.USER, C.MONTH, "neg", 1) \
-        .select(C.USER, C.MONTH, "month_total")
-    j = t.join(top, C.USER, "left").join(last, C.USER, "left")
+    """(answer_id, user_id, response, + the owner's verified numbers) — one
+    templated answer per owner, built from the owner's card."""
+    card = PR.owner_cards(driver_ledger(spark, d))
+    top = F.try_element_at(F.col("top_categories"), F.lit(1))
+    last = F.try_element_at(F.col("months"), F.lit(-1))
     idx = F.substring(F.col(C.USER), 5, 20).cast("bigint")
     tmpl = _pick(ANSWER_TEMPLATES, idx)
     slots = {
-        "cat": F.coalesce(F.col(C.PARENT), F.lit("nothing")),
-        "cat_amt": X.currency(F.coalesce(F.col("top_total"), F.lit(0))),
+        "cat": F.coalesce(top["name"], F.lit("nothing")),
+        "cat_amt": X.currency(F.coalesce(top["total"], F.lit(0))),
         "wrong_total": X.currency(F.col("total_expense") * 3),
         "n": F.col("n_rows").cast("string"),
-        "last_month": F.coalesce(X.month_label(C.MONTH), F.lit("no month")),
-        "last_month_amt": X.currency(F.coalesce(F.col("month_total"), F.lit(0))),
-        "avg": X.currency(A.avg_monthly_spend_expr()),
+        "last_month": F.coalesce(X.month_label(last["month"]), F.lit("no month")),
+        "last_month_amt": X.currency(F.coalesce(last["expense"], F.lit(0))),
+        "avg": X.currency(F.col("avg_monthly_spend")),
     }
     text = tmpl
     for k, v in slots.items():
         text = F.replace(text, F.lit("{" + k + "}"), v)
-    return j.select(F.col(C.USER).alias("answer_id"), C.USER, text.alias("response"))
+    return card.select(
+        F.col(C.USER).alias("answer_id"), C.USER, text.alias("response"),
+        "first_date", "last_date", "n_rows",
+        F.transform(PR.summary_entries(), lambda e: e["value"]).alias("actuals"))
 
 
 def answers_with_actuals(spark: SparkSession, d: str) -> DataFrame:
-    a = answers(spark, d)
-    acts = PR.actual_values(driver_ledger(spark, d))
-    return a.join(acts, C.USER, "left")
+    return answers(spark, d)
 
 
 # --- FIXED VALUES: tool calls the model returns per prompt template index ---

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import CACHE_ROWS, CHART_ROWS, ledger_df
 from ledgerlens.functions import exprs as X
