@@ -57,23 +57,26 @@ def fill(template: str, **cols: Column) -> Column:
 MONEY_SUM = "decimal(28,2)"
 _TOP_T = f"array<struct<rank:int,name:string,total:{MONEY_SUM}>>"
 
-# grouping_id() over (owner, parent, merchant, month): bit set = column rolled up
-_GRAIN = {7: "owner", 3: "parent", 5: "merchant", 6: "month"}
+ALL_GRAINS = ("parent", "merchant", "month")
+_GRAIN_COL = {"parent": C.PARENT, "merchant": C.MERCHANT, "month": C.MONTH}
 
 
-def owner_facts(ledger: DataFrame) -> DataFrame:
-    """One pass over the facts: grouping sets (owner), (owner, parent),
-    (owner, merchant), (owner, month) with conditional sums/counts/dates.
+def owner_facts(ledger: DataFrame, grains=ALL_GRAINS) -> DataFrame:
+    """One pass over the facts: grouping sets (owner) plus the requested
+    (owner, parent), (owner, merchant), (owner, month) grains, with
+    conditional sums/counts/dates.
 
-    A single Expand + partial/final aggregate replaces four separate scans
-    of the ledger (each a multi-way join at scale)."""
+    A single Expand + partial/final aggregate replaces separate scans of the
+    ledger (each a multi-way join at scale). The owner name is a grouping key
+    of the owner grain, not a min(): a string aggregation buffer would force
+    a sort-based aggregate over all expanded rows."""
     exp, inc = F.col(C.AMOUNT) > 0, F.col(C.AMOUNT) < 0
     L = (ledger.withColumn(C.PARENT, X.parent_category(C.CATEGORY))
                .withColumn(C.MONTH, F.trunc(C.DATE, "MM")))
-    g = L.groupingSets([[C.USER], [C.USER, C.PARENT], [C.USER, C.MERCHANT], [C.USER, C.MONTH]],
-                       C.USER, C.PARENT, C.MERCHANT, C.MONTH).agg(
-        F.grouping_id().alias("_gid"),
-        F.min(C.NAME).alias(C.NAME),
+    cols = [_GRAIN_COL[g] for g in grains]
+    sets = [[C.USER, C.NAME]] + [[C.USER, c] for c in cols]
+    g = L.groupingSets(sets, C.USER, C.NAME, *cols).agg(
+        *[F.grouping(c).alias(f"_g_{c}") for c in cols],
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(exp).alias("n_expense"),
         F.count_if(inc).alias("n_income"),
@@ -83,46 +86,57 @@ def owner_facts(ledger: DataFrame) -> DataFrame:
         F.max(C.DATE).alias("last_date"),
         F.min(F.when(exp, F.col(C.DATE))).alias("first_expense_date"),
         F.max(F.when(exp, F.col(C.DATE))).alias("last_expense_date"))
-    grain = F.lit(None).cast("string")
-    for gid, name in _GRAIN.items():
-        grain = F.when(F.col("_gid") == gid, F.lit(name)).otherwise(grain)
-    return g.withColumn("grain", grain).drop("_gid")
+    grain = F.lit("owner")
+    for gname in reversed(grains):
+        grain = F.when(F.col(f"_g_{_GRAIN_COL[gname]}") == 0, F.lit(gname)).otherwise(grain)
+    g = g.withColumn("grain", grain).drop(*[f"_g_{c}" for c in cols])
+    for gname, c in _GRAIN_COL.items():       # absent grains: typed null keys
+        if gname not in grains:
+            g = g.withColumn(c, F.lit(None).cast("date" if c == C.MONTH else "string"))
+    return g
 
 
-def owner_cards(ledger: DataFrame) -> DataFrame:
+def owner_cards(ledger: DataFrame, grains=ALL_GRAINS) -> DataFrame:
     """Everything the profile, the text summary and the verified numbers
     need, as ONE row per owner built from ``owner_facts``: totals, top-5
     categories, all category totals, top-10 merchants and the zero-filled
-    monthly expense series. Every list is bounded (k, the category
-    taxonomy, the months between first and last expense)."""
-    f = owner_facts(ledger)
+    monthly expense series (lists of absent grains are empty). Every list is
+    bounded (k, the category taxonomy, the months between first and last
+    expense)."""
+    f = owner_facts(ledger, grains)
     key = F.when(F.col("grain") == "parent", F.col(C.PARENT)) \
         .when(F.col("grain") == "merchant", F.col(C.MERCHANT))
     ranked_grain = F.col("grain").isin("parent", "merchant")
     eligible = (F.col("n_expense") > 0) & key.isNotNull()
     w = Window.partitionBy(C.USER, "grain").orderBy(
         F.when(eligible, F.col("sum_expense")).desc_nulls_last(), key.asc())
+    # one shuffle by owner serves both the (owner, grain) window and the
+    # owner groupBy below; merchants outside the top 10 are dropped before
+    # the collect, so a hot owner's list stays bounded
     f = (f.where((F.col("grain") != "month") | (F.col("n_expense") > 0))
+          .repartition(C.USER)
           .withColumn("_key", key)
-          .withColumn("_rank", F.when(ranked_grain & eligible, F.row_number().over(w))))
+          .withColumn("_rank", F.when(ranked_grain & eligible, F.row_number().over(w)))
+          .where((F.col("grain") != "merchant") | (F.col("_rank") <= 10)))
     item = F.struct(F.col("_rank").alias("rank"), F.col("_key").alias("name"),
                     F.col("sum_expense").alias("total"))
     is_owner = F.col("grain") == "owner"
 
-    def owner_val(c):
-        return F.max(F.when(is_owner, F.col(c)))
+    def owner(agg, c):
+        # an owner id with several names has several owner-grain rows
+        return agg(F.when(is_owner, F.col(c)))
 
     card = f.groupBy(C.USER).agg(
-        owner_val(C.NAME).alias(C.NAME),
-        owner_val("n_rows").alias("n_rows"),
-        owner_val("n_expense").alias("n_expense"),
-        owner_val("n_income").alias("n_income"),
-        F.coalesce(owner_val("sum_expense"), F.lit(0).cast(MONEY_SUM)).alias("total_expense"),
-        F.coalesce(owner_val("sum_income"), F.lit(0).cast(MONEY_SUM)).alias("total_income_signed"),
-        owner_val("first_date").alias("first_date"),
-        owner_val("last_date").alias("last_date"),
-        owner_val("first_expense_date").alias("first_expense_date"),
-        owner_val("last_expense_date").alias("last_expense_date"),
+        owner(F.min, C.NAME).alias(C.NAME),
+        owner(F.sum, "n_rows").alias("n_rows"),
+        owner(F.sum, "n_expense").alias("n_expense"),
+        owner(F.sum, "n_income").alias("n_income"),
+        F.coalesce(owner(F.sum, "sum_expense"), F.lit(0).cast(MONEY_SUM)).alias("total_expense"),
+        F.coalesce(owner(F.sum, "sum_income"), F.lit(0).cast(MONEY_SUM)).alias("total_income_signed"),
+        owner(F.min, "first_date").alias("first_date"),
+        owner(F.max, "last_date").alias("last_date"),
+        owner(F.min, "first_expense_date").alias("first_expense_date"),
+        owner(F.max, "last_expense_date").alias("last_expense_date"),
         F.sort_array(F.collect_list(F.when((F.col("grain") == "parent") & (F.col("_rank") <= 5), item)))
         .alias("top_categories"),
         F.collect_list(F.when((F.col("grain") == "parent") & F.col("_rank").isNotNull(), item))
@@ -151,7 +165,7 @@ def owner_cards(ledger: DataFrame) -> DataFrame:
 
 def profiles(ledger: DataFrame) -> DataFrame:
     """One row per owner; top_categories = array<struct<rank,name,total>>."""
-    return owner_cards(ledger)
+    return owner_cards(ledger, ("parent",))
 
 
 def _cat_text(arr: Column, n: int | None = None) -> Column:
@@ -212,7 +226,7 @@ def summary_text(has_merchants: bool = True) -> Column:
             c["name"], F.lit(" ($"), F.format_number(c["total"], 2), F.lit(")"))), ", ")
 
     has_exp = F.col("n_expense") > 0
-    mers = F.col("top_merchants") if has_merchants else F.array()
+    mers = F.col("top_merchants") if has_merchants else F.array().cast(_TOP_T)
     return F.concat_ws(
         "\n",
         F.concat(F.lit("Total rows: "), F.col("n_rows").cast("string")),
@@ -234,7 +248,8 @@ def text_summaries(ledger: DataFrame) -> DataFrame:
     """The data-summary block per owner."""
     has_merchants = C.MERCHANT in ledger.columns          # F10: plan-time guard
     led = ledger if has_merchants else ledger.withColumn(C.MERCHANT, F.lit(None).cast("string"))
-    return owner_cards(led).select(C.USER, summary_text(has_merchants).alias("text_summary"))
+    return owner_cards(led, ("parent", "merchant")).select(
+        C.USER, summary_text(has_merchants).alias("text_summary"))
 
 
 def summary_entries() -> Column:
