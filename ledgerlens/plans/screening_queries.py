@@ -82,18 +82,18 @@ def number_grounding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def date_grounding(spark: SparkSession, d: str) -> DataFrame:
-    a = _answers(spark, d)
+    a = D.answers(spark, d, with_actuals=False)
     return a.select("answer_id", F.array_join(
         G.ungrounded_date_flags("response", "first_date", "last_date"), "|").alias("date_flags"))
 
 
 def toxicity(spark: SparkSession, d: str) -> DataFrame:
-    a = _answers(spark, d)
+    a = D.answers(spark, d, with_actuals=False)
     return a.select("answer_id", G.toxic_hit("response").alias("is_toxic"))
 
 
 def confidence(spark: SparkSession, d: str) -> DataFrame:
-    a = _answers(spark, d)
+    a = D.answers(spark, d, with_actuals=False)
     return a.select("answer_id", G.hedging_hit("response").alias("is_hedging"),
                     (F.col("n_rows") < P.SPARSE_ROWS).alias("is_sparse"))
 

@@ -83,10 +83,13 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def answers(spark: SparkSession, d: str) -> DataFrame:
+def answers(spark: SparkSession, d: str, with_actuals: bool = True) -> DataFrame:
     """(answer_id, user_id, response, + the owner's verified numbers) — one
-    templated answer per owner, built from the owner's card."""
-    card = PR.owner_cards(driver_ledger(spark, d))
+    templated answer per owner, built from the owner's card. Without the
+    verified numbers the merchant grain is not expanded at all."""
+    grains = PR.ALL_GRAINS if with_actuals else ("parent", "month")
+    need = (C.NAME, C.CATEGORY, C.MERCHANT) if with_actuals else (C.NAME, C.CATEGORY)
+    card = PR.owner_cards(driver_ledger(spark, d, need=need), grains)
     top = F.try_element_at(F.col("top_categories"), F.lit(1))
     last = F.try_element_at(F.col("months"), F.lit(-1))
     idx = F.substring(F.col(C.USER), 5, 20).cast("bigint")
@@ -103,14 +106,15 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
     text = tmpl
     for k, v in slots.items():
         text = F.replace(text, F.lit("{" + k + "}"), v)
-    return card.select(
-        F.col(C.USER).alias("answer_id"), C.USER, text.alias("response"),
-        "first_date", "last_date", "n_rows",
-        F.transform(PR.summary_entries(), lambda e: e["value"]).alias("actuals"))
+    cols = [F.col(C.USER).alias("answer_id"), C.USER, text.alias("response"),
+            "first_date", "last_date", "n_rows"]
+    if with_actuals:
+        cols.append(F.transform(PR.summary_entries(), lambda e: e["value"]).alias("actuals"))
+    return card.select(*cols)
 
 
 def answers_with_actuals(spark: SparkSession, d: str) -> DataFrame:
-    return answers(spark, d)
+    return answers(spark, d, with_actuals=True)
 
 
 # --- FIXED VALUES: tool calls the model returns per prompt template index ---
