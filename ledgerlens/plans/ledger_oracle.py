@@ -190,6 +190,17 @@ SELECT user_id, {fill(FALLBACK_TEMPLATE,
                       avg=cur('avg_monthly_spend'))} AS fallback_answer
 FROM pr"""
 
+ORACLE["profile_card"] = W(LEDGER, _PROFILE) + f"""
+, card_top AS (SELECT user_id, string_agg('- ' || parent_category || ': $' || {money2('total_expense')},
+                                          chr(10) ORDER BY rank) AS top_text FROM tc GROUP BY user_id)
+SELECT user_id, n_rows AS total_transactions,
+       '$' || {money2(f"abs({cents('total_income_signed')})")} AS income,
+       '$' || {money2(f"abs({cents('total_expense')})")} AS expenses,
+       '$' || {money2('abs(avg_monthly_spend)')} AS avg_monthly_spend,
+       'Data: ' || {ymd('first_date')} || ' to ' || {ymd('last_date')} AS caption,
+       coalesce(card_top.top_text, '') AS top_categories
+FROM pr LEFT JOIN card_top USING (user_id)"""
+
 ORACLE["text_summary"] = W(LEDGER, OWNER_TOTALS, CAT_TOTALS, TOP_CATS, MER_TOTALS, TOP_MERS) + f"""
 , c AS (SELECT user_id, string_agg(parent_category || ' ($' || {money2('total_expense')} || ')', ', '
                                    ORDER BY rank) AS cats FROM tc GROUP BY user_id),

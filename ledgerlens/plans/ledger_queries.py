@@ -146,20 +146,38 @@ def users_without_data(spark: SparkSession, d: str) -> DataFrame:
     return P.no_data_answers(L, none)
 
 
+PROFILE_NEEDS = (C.NAME, C.CATEGORY)    # profiles read no merchant: no supplier join
+
+
 def user_profile(spark: SparkSession, d: str) -> DataFrame:
-    return P.flat_profiles(P.profiles(driver_ledger(spark, d)))
+    return P.flat_profiles(P.profiles(driver_ledger(spark, d, need=PROFILE_NEEDS)))
 
 
 def profile_text(spark: SparkSession, d: str) -> DataFrame:
-    prof = P.profiles(driver_ledger(spark, d))
+    prof = P.profiles(driver_ledger(spark, d, need=PROFILE_NEEDS))
     return prof.select(C.USER, P.profile_text(prof).alias("profile_text"))
 
 
 def fallback_answer(spark: SparkSession, d: str) -> DataFrame:
-    prof = P.profiles(driver_ledger(spark, d))
+    prof = P.profiles(driver_ledger(spark, d, need=PROFILE_NEEDS))
     return prof.select(C.USER, P.fallback_text().alias("fallback_answer"))
 
 
+def profile_card(spark: SparkSession, d: str) -> DataFrame:
+    """The profile card — metrics in always-absolute currency."""
+    prof = P.profiles(driver_ledger(spark, d, need=PROFILE_NEEDS))
+    return prof.select(
+        C.USER, F.col("n_rows").alias("total_transactions"),
+        X.currency_abs(X.cents("total_income_signed")).alias("income"),
+        X.currency_abs(X.cents("total_expense")).alias("expenses"),
+        X.currency_abs("avg_monthly_spend").alias("avg_monthly_spend"),
+        F.concat(F.lit("Data: "), F.date_format("first_date", "yyyy-MM-dd"), F.lit(" to "),
+                 F.date_format("last_date", "yyyy-MM-dd")).alias("caption"),
+        F.array_join(F.transform("top_categories", lambda c: F.concat(
+            F.lit("- "), c["name"], F.lit(": "), X.currency_abs(c["total"]))), "\n")
+        .alias("top_categories"))
+
+
 def text_summary(spark: SparkSession, d: str) -> DataFrame:
     return P.text_summaries(driver_ledger(spark, d))
 
@@ -198,6 +216,7 @@ QUERIES = {
     "user_profile": user_profile,
     "profile_text": profile_text,
     "fallback_answer": fallback_answer,
+    "profile_card": profile_card,
     "text_summary": text_summary,
     "data_summary": data_summary,
     "hashed_ids": hashed_ids,
