@@ -52,7 +52,13 @@ def answer_requests(requests: DataFrame, ledger: DataFrame, responses: DataFrame
                     tables: dict[str, DataFrame] | None = None) -> DataFrame:
     t = tables if tables is not None else owner_tables(ledger)
     owners = t["cards"]
-    users = owners.select(C.USER)
+    if tables is not None:                 # materialised card: cheap to re-read
+        users = owners.select(C.USER)
+        names = owners.select(C.USER, F.col(C.NAME).alias("_name"))
+    else:                                  # lazy plan: keep the card out of side branches
+        users = ledger.select(C.USER).distinct()
+        names = (ledger.select(C.USER, C.NAME).distinct()
+                 .groupBy(C.USER).agg(F.min(C.NAME).alias("_name")))
 
     unknown = requests.join(users, C.USER, "left_anti")
     known = G.screen_prompts(requests.join(users, C.USER, "left_semi"))
@@ -73,7 +79,7 @@ def answer_requests(requests: DataFrame, ledger: DataFrame, responses: DataFrame
         F.min(F.struct("ts", "request_id")).alias("_first_pass"))
     blocked = (known.where(~F.col("input_passed"))
                .join(passed_first, C.USER, "left")
-               .join(owners.select(C.USER, F.col(C.NAME).alias("_name")), C.USER, "left"))
+               .join(names, C.USER, "left"))
     seen = F.col("_first_pass").isNotNull() & (F.col("_first_pass") < F.struct("ts", "request_id"))
     blk = blocked.select(
         "request_id", C.USER, "ts",
