@@ -165,6 +165,9 @@ DEFAULT_PERIOD_MONTHS = 3
 # Portable regex: Python-re semantics in Java regex and RE2
 # ---------------------------------------------------------------------------
 
+# characters Python's str.strip() removes (derived by rule, 29 of them)
+PY_WHITESPACE = "".join(c for c in map(chr, range(0x110000)) if c.isspace())
+
 # str.isspace() characters
 _SPACE_BODY = (r"\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")

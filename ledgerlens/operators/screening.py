@@ -22,9 +22,14 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def py_strip(text) -> Column:
+    """Python ``str.strip()``: a character-set trim, no regex pass."""
+    return F.trim(_c(text), F.lit(P.PY_WHITESPACE))
+
+
 def py_lower_strip(text) -> Column:
     """Python ``text.lower().strip()`` (strip removes Unicode whitespace)."""
-    return F.regexp_replace(F.lower(_c(text)), STRIP_PATTERN, "")
+    return py_strip(F.lower(_c(text)))
 
 
 # --- input rules ------------------------------------------------------------
@@ -61,7 +66,7 @@ def screen_prompts(df: DataFrame, prompt_col: str = "prompt",
     """
     inj, cross, scope, long_ = "is_injection", "is_cross_user", "is_off_topic", "is_too_long"
     base = (df.withColumn("_low", F.lower(F.col(prompt_col)))
-              .withColumn("_low_strip", F.regexp_replace(F.col("_low"), STRIP_PATTERN, "")))
+              .withColumn("_low_strip", py_strip(F.col("_low"))))
     ls, lo = F.col("_low_strip"), F.col("_low")
     own = F.lower(F.col(user_col))
     ids = F.regexp_extract_all(lo, F.lit(P.USER_ID_PATTERN), F.lit(0))

@@ -56,7 +56,7 @@ def screen_documents(spark: SparkSession, d: str) -> DataFrame:
     """Input and output rules over whole document texts (long-text safety)."""
     doc = (read_table(spark, d, "documents").select("doc_id", "text")
            .withColumn("_low", F.lower("text"))
-           .withColumn("_low_strip", F.regexp_replace(F.col("_low"), G.STRIP_PATTERN, "")))
+           .withColumn("_low_strip", G.py_strip(F.col("_low"))))
     lo, ls = F.col("_low"), F.col("_low_strip")
     return doc.select(
         "doc_id",
