@@ -22,6 +22,17 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def matches_any(text: Column, patterns: list[str]) -> Column:
+    """Search for any pattern, as an OR of separate searches: Java scans a
+    pattern that starts with a literal with a Boyer-Moore skip, which a single
+    alternation never gets; the OR stops at the first hit."""
+    out = None
+    for p in patterns:
+        hit = text.rlike(P.portable(p))
+        out = hit if out is None else (out | hit)
+    return out
+
+
 def py_strip(text) -> Column:
     """Python ``str.strip()``: a character-set trim, no regex pass."""
     return F.trim(_c(text), F.lit(P.PY_WHITESPACE))
@@ -35,7 +46,7 @@ def py_lower_strip(text) -> Column:
 # --- input rules ------------------------------------------------------------
 
 def injection_hit(prompt) -> Column:
-    return py_lower_strip(prompt).rlike(P.any_of(P.INJECTION_PATTERNS))
+    return matches_any(py_lower_strip(prompt), P.INJECTION_PATTERNS)
 
 
 def cross_user_hit(prompt, user_id) -> Column:
@@ -43,12 +54,12 @@ def cross_user_hit(prompt, user_id) -> Column:
     own = F.lower(_c(user_id))
     ids = F.regexp_extract_all(low, F.lit(P.USER_ID_PATTERN), F.lit(0))
     other_id = F.exists(ids, lambda x: x != own)
-    return other_id | low.rlike(P.any_of(P.CROSS_USER_PATTERNS))
+    return other_id | matches_any(low, P.CROSS_USER_PATTERNS)
 
 
 def off_topic_hit(prompt) -> Column:
     low = py_lower_strip(prompt)
-    return low.rlike(P.any_of(P.OFF_TOPIC_PATTERNS)) & ~X.contains_any(low, P.FINANCIAL_KEYWORDS)
+    return matches_any(low, P.OFF_TOPIC_PATTERNS) & ~X.contains_any(low, P.FINANCIAL_KEYWORDS)
 
 
 def too_long(prompt) -> Column:
@@ -70,10 +81,10 @@ def screen_prompts(df: DataFrame, prompt_col: str = "prompt",
     ls, lo = F.col("_low_strip"), F.col("_low")
     own = F.lower(F.col(user_col))
     ids = F.regexp_extract_all(lo, F.lit(P.USER_ID_PATTERN), F.lit(0))
-    out = (base.withColumn(inj, ls.rlike(P.any_of(P.INJECTION_PATTERNS)))
+    out = (base.withColumn(inj, matches_any(ls, P.INJECTION_PATTERNS))
                .withColumn(cross, F.exists(ids, lambda x: x != own)
-                           | lo.rlike(P.any_of(P.CROSS_USER_PATTERNS)))
-               .withColumn(scope, ls.rlike(P.any_of(P.OFF_TOPIC_PATTERNS))
+                           | matches_any(lo, P.CROSS_USER_PATTERNS))
+               .withColumn(scope, matches_any(ls, P.OFF_TOPIC_PATTERNS)
                            & ~X.contains_any(ls, P.FINANCIAL_KEYWORDS))
                .withColumn(long_, too_long(prompt_col))
                .drop("_low", "_low_strip"))

@@ -60,8 +60,8 @@ def screen_documents(spark: SparkSession, d: str) -> DataFrame:
     lo, ls = F.col("_low"), F.col("_low_strip")
     return doc.select(
         "doc_id",
-        ls.rlike(P.any_of(P.INJECTION_PATTERNS)).alias("is_injection"),
-        ls.rlike(P.any_of(P.OFF_TOPIC_PATTERNS)).alias("off_topic_pattern"),
+        G.matches_any(ls, P.INJECTION_PATTERNS).alias("is_injection"),
+        G.matches_any(ls, P.OFF_TOPIC_PATTERNS).alias("off_topic_pattern"),
         X.contains_any(ls, P.FINANCIAL_KEYWORDS).alias("has_financial_keyword"),
         F.size(F.regexp_extract_all(lo, F.lit(P.USER_ID_PATTERN), F.lit(0)))
         .cast("bigint").alias("n_user_ids"),
