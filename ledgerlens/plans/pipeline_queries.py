@@ -20,7 +20,8 @@ from .log_queries import interactions
 
 
 def _messages(spark, d):
-    card = PR.owner_cards(driver_ledger(spark, d))
+    # profile + summary texts read the parent and merchant grains, not months
+    card = PR.owner_cards(driver_ledger(spark, d), ("parent", "merchant"))
     ctx = card.select(C.USER, PR.profile_text(card).alias("profile_text"),
                       PR.summary_text().alias("text_summary"))
     fs = Q.few_shot(interactions(spark, d))
