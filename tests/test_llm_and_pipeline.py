@@ -124,3 +124,14 @@ def test_run_batch_writes_results_and_audit(spark, tmp_path):
     assert all(len(a.user_id_hash) == 12 for a in audit)
     PL.run_batch(reqs, ledger, resp, out)                        # audit sink appends
     assert spark.read.json(f"{out}/audit").count() == 4
+
+
+def test_cli_query_and_list(spark, tmp_path, capsys):
+    from conftest import SF
+    from ledgerlens import cli
+    assert cli.main(["list"]) == 0
+    assert "category_breakdown" in capsys.readouterr().out.split()
+    out = str(tmp_path / "q")
+    assert cli.main(["query", "category_breakdown", "--data", SF, "--out", out]) == 0
+    assert spark.read.parquet(out).count() > 0
+    assert cli.main(["query", "no_such_query", "--data", SF, "--out", out]) == 2
