@@ -68,8 +68,8 @@ def _quota(column: Column, values: list[int]) -> Column:
 
 
 def propagate(docs: DataFrame, n_shards: int, room: list[int], n_blocks: int, rounds: int = 8) -> DataFrame:
-    """Shard of every linked row: (doc_id, rid, gid, group_rows, shard). Starts from a
-    hash of the group, so no two linked rows are cut until quotas say so."""
+    """Shard of every linked row (doc_id, rid, gid, group_rows, shard), from the
+    given one on, by rounds until no row moves or ``rounds`` are over."""
     labels = cut_lineage(docs)
     for _ in range(rounds):
         held = _rows_by(labels, "shard", n_shards)
@@ -77,9 +77,11 @@ def propagate(docs: DataFrame, n_shards: int, room: list[int], n_blocks: int, ro
         # each group's rows by shard, and the shard where most are among those that may grow
         votes = cut_lineage(labels.groupBy("gid", "shard").agg(F.count(F.lit(1)).alias("n")))
         can_grow = _quota(F.col("shard"), free) > 0
+        # (ties go round the shards by the group's hash, so no shard draws them all)
+        tie = F.pmod(F.col("shard") - F.xxhash64("gid"), F.lit(n_shards))
         best = votes.where(can_grow).groupBy("gid").agg(
-            F.max(F.struct(F.col("n"), (-F.col("shard")).alias("s"))).alias("top")) \
-            .select("gid", (-F.col("top.s")).alias("to"), F.col("top.n").alias("to_n"))
+            F.max(F.struct(F.col("n"), (-tie).alias("t"), F.col("shard").alias("s"))).alias("top")) \
+            .select("gid", F.col("top.s").alias("to"), F.col("top.n").alias("to_n"), (-F.col("top.t")).alias("to_tie"))
         # a row moves up only: to a shard that holds more of its group, or from one above its quota
         over = _quota(F.col("shard"), [max(0, -f) for f in free]) > 0
         spare = [s for s in range(n_shards) if free[s] > 0]
@@ -89,7 +91,7 @@ def propagate(docs: DataFrame, n_shards: int, room: list[int], n_blocks: int, ro
         wish = (votes.join(best, "gid", "left")
                 .withColumn("to", F.when(over, F.coalesce(F.when(F.col("to") != F.col("shard"), F.col("to")), roomiest))
                             .when((F.col("to_n") > F.col("n")) |
-                                  ((F.col("to_n") == F.col("n")) & (F.col("to") < F.col("shard"))), F.col("to")))
+                                  ((F.col("to_n") == F.col("n")) & (F.col("to_tie") < tie)), F.col("to")))
                 .where("to IS NOT NULL AND to <> shard").select("gid", "shard", "to"))
         wish = cut_lineage(wish)
         moving = labels.join(wish, ["gid", "shard"])
@@ -129,7 +131,7 @@ def shard_documents(df: DataFrame, n_shards: int = 8, id_col: str = "doc_id", te
     n = base.count()
     final = [n // n_shards + (s < n % n_shards) for s in range(n_shards)]
     n_blocks = min(max(16, -(-n // (n_shards * BLOCK_ROWS))), MAX_BLOCKS)
-    start = base.withColumn("shard", F.pmod(F.xxhash64("gid"), F.lit(n_shards)).cast("int"))
+    start = base.withColumn("shard", F.pmod(F.xxhash64("doc_id", "rid"), F.lit(n_shards)).cast("int"))
     narrow = start.where("group_rows > 1").select("doc_id", "rid", "gid", "group_rows", "shard")
     linked = propagate(narrow, n_shards, final, n_blocks, rounds)
     placed = linked.select("doc_id", "rid", "gid", "group_rows", "shard").unionByName(
@@ -154,11 +156,11 @@ def _even_out(placed: DataFrame, n_shards: int, final: list[int], n_blocks: int)
             return placed
         kind = F.col("group_rows") == 1 if lone else F.lit(True)
         may = placed.where(kind & (_quota(F.col("shard"), excess) > 0))
-        ranked = _numbered(may, "shard", ["gid", "doc_id", "rid"], "__k", n_blocks)
-        leaving = ranked.where(F.col("__k") < _quota(F.col("shard"), excess))
+        ranked = _numbered(may, "shard", ["gid", "doc_id", "rid"], "__rank", n_blocks)
+        leaving = ranked.where(F.col("__rank") < _quota(F.col("shard"), excess))
         left = _rows_by(leaving, "shard", n_shards) if lone else excess
         offset = [sum(left[:s]) for s in range(n_shards)]
-        place = F.col("__k") + _quota(F.col("shard"), offset)
+        place = F.col("__rank") + _quota(F.col("shard"), offset)
         to, upto = F.lit(None).cast("int"), sum(free)
         for s in reversed(range(n_shards)):
             to = F.when(place < upto, F.lit(s)).otherwise(to) if free[s] else to
