@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, sharding, simhash, substrings
+from . import bpe, html, katz, lengths, mixing, neighbours, quality, sharding, simhash, substrings
 from .common import read_table
 
 
@@ -56,3 +56,29 @@ def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
     documents of equal text share a shard as far as there is room."""
     docs = read_table(spark, d, "documents").select("doc_id", "text")
     return sharding.shard_documents(docs, 8)
+
+
+def op2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 nearest rows by inner product for every row whose id is divisible by 20."""
+    vectors = read_table(spark, d, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op6_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by encoded length, with suffix sums for every length as limit."""
+    docs = read_table(spark, d, "documents").select("text")
+    return lengths.suffix_sums(lengths.histogram(docs, vocabulary()))
+
+
+def op7_html_text(spark: SparkSession, d: str) -> DataFrame:
+    pages = read_table(spark, d, "pages").select("page_id", "url", "html")
+    return html.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op9_lm_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Katz scores of every document; one fifth (by checksum of the id) is held out."""
+    docs = read_table(spark, d, "documents").select(
+        "doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("held_out"))
+    flagged = docs.withColumn("train", ~F.coalesce("held_out", F.lit(False)))
+    return katz.score(flagged, "train").select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
