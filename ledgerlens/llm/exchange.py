@@ -3,7 +3,7 @@
 Operators that look up every window or word pair of a corpus would shuffle far
 more rows than there is text. Here documents are dealt into chunks of a few
 megabytes; a chunk lists its distinct 64-bit keys once, sorted and cut into
-buckets by their top bits, as packed binary rows (5 to 8 bytes a key); each
+buckets by their top bits, as packed binary rows (about 6 bytes a key); each
 bucket answers every chunk with one value a key, in the order of its list; and
 the chunk, whose rows did not move meanwhile (one shuffle by chunk, reused by
 every step of the plan), lines answers and keys up again. Hot keys cost one
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import parts
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_BYTES = 12 << 20
 MAX_BOUNDS = 192
 
@@ -44,34 +44,46 @@ def bucket_edges(keys: np.ndarray, n_buckets: int) -> np.ndarray:
 
 
 def pack(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as differences of 5, 6 or 8 bytes."""
+    """Sorted distinct keys as differences of as few bytes as nearly all of
+    them need; the high parts of the others are listed at the end."""
     if not len(keys):
         return b""
     gaps = np.diff(keys, prepend=np.uint64(0))
-    wide = int(gaps[1:].max()) if len(gaps) > 1 else 0
-    size = 5 if wide < 1 << 40 else 6 if wide < 1 << 48 else 8
+    size = 8
+    for narrow in (4, 5, 6, 7):
+        if (gaps[1:] >> np.uint64(8 * narrow) > 0).sum() * 16 <= len(gaps):
+            size = narrow
+            break
     body = np.ascontiguousarray(gaps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size])
-    return bytes([size]) + keys[:1].astype("<u8").tobytes() + body.tobytes()
+    wide = np.flatnonzero(gaps[1:] >> np.uint64(8 * size)) + 1 if size < 8 else np.zeros(0, np.int64)
+    high = gaps[wide] >> np.uint64(8 * size) if size < 8 else np.zeros(0, np.uint64)
+    return (bytes([size]) + len(keys).to_bytes(4, "little") + keys[:1].astype("<u8").tobytes() + body.tobytes()
+            + wide.astype("<u4").tobytes() + high.astype("<u4").tobytes())
 
 
 def unpack(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.uint64)
-    size = blob[0]
-    body = np.frombuffer(blob, np.uint8, offset=9).reshape(-1, size)
-    gaps = np.zeros((len(body) + 1, 8), np.uint8)
-    gaps[1:, :size] = body
-    gaps[0] = np.frombuffer(blob, np.uint8, count=8, offset=1)
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+    size, n = blob[0], int.from_bytes(blob[1:5], "little")
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[0] = np.frombuffer(blob, np.uint8, count=8, offset=5)
+    gaps[1:, :size] = np.frombuffer(blob, np.uint8, count=(n - 1) * size, offset=13).reshape(-1, size)
+    gaps = gaps.view("<u8").ravel()
+    rest = np.frombuffer(blob, "<u4", offset=13 + (n - 1) * size)
+    if len(rest):
+        gaps[rest[:len(rest) // 2]] += rest[len(rest) // 2:].astype(np.uint64) << np.uint64(8 * size)
+    return np.cumsum(gaps, dtype=np.uint64)
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Mostly small values, compressed."""
-    return zlib.compress(np.ascontiguousarray(values).tobytes(), 1)
+    """Mostly small values, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def stretch(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(blob), kind)
+    planes = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 class Layout:
@@ -101,9 +113,8 @@ class Layout:
         if len(self.bounds) < 2:
             return F.when(i.isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long")
         lows = self.bounds[:-1]
-        out = F.lit(0).cast("long")
-        for k in range(1, len(lows)):
-            out = out + F.when(i >= lows[k], 1).otherwise(0)
+        edges = F.array(*[F.lit(x).cast("long") for x in lows[1:]] or [F.lit(None).cast("long")])
+        out = F.size(F.filter(edges, lambda x: x <= i)).cast("long")
         if self.steps > 1:
             low, high = F.array(*map(F.lit, lows)), F.array(*map(F.lit, self.bounds[1:]))
             at = (out + 1).cast("int")

@@ -163,6 +163,10 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
                          **{c: pa.array(v, pa.binary()) for c, v in zip("abc", answers)},
                          "stats": pa.array([stats] * n, pa.list_(pa.int64()))})
 
+    def model_of(stats):
+        """(N, V, discounts, training texts) from the sums of all buckets."""
+        return stats[0], stats[1], discounts(np.array([0, *stats[2:K + 3]])), stats[K + 3]
+
     class Known:
         """What a chunk's answers say about its words and pairs."""
 
@@ -174,26 +178,30 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
             sizes = np.diff(bucket_edges(t.pairs, n_buckets))
             self.first = np.concatenate([np.unpackbits(stretch(x, np.uint8), count=n).astype(bool) for x, n in
                                          zip(rows.column("c").to_pylist(), sizes)])
-            stats = np.array(rows.column("stats").to_pylist(), np.int64).sum(axis=0)
-            self.n, self.v, self.n_docs = int(stats[0]), int(stats[1]), int(stats[K + 3])
-            self.d = discounts(np.concatenate([[0], stats[2:K + 3]]))
+            self.stats = np.array(rows.column("stats").to_pylist(), np.int64).sum(axis=0).tolist()
+            self.n, self.v, self.d, self.n_docs = model_of(self.stats)
             self.base = (self.words + 0.5) / (self.n + 0.5 * (self.v + 1))
 
     def histories(key, table, answers):
         """For pairs that this chunk lists first, by history: how many have
-        count 1 to K and more, and the sum of their words' counts."""
+        count 1 to K, how many there are, the sum of their counts and that of
+        their words' counts. And which histories need alpha here: those of
+        pairs that training never saw."""
         t = tokens_of(table)
         known = Known(t, answers)
         own = known.first & (known.pairs > 0)
-        size = len(t.histories)
-        cls = np.minimum(known.pairs[own], K + 1)
-        h = t.pair_history[own]
-        made = np.zeros((K + 2, size), np.int64)
-        np.add.at(made, (cls - 1, h), 1)
-        np.add.at(made, (np.full(len(h), K + 1), h), known.words[t.pair_word[own]])
-        keys, *planes = _cut(t.histories, n_buckets, *made.astype(np.uint64))
+        size, h, c = len(t.histories), t.pair_history[own], known.pairs[own]
+        made = np.zeros((K + 3, size), np.uint64)
+        for r in range(1, K + 1):
+            made[r - 1] = np.bincount(h[c == r], minlength=size)
+        made[K] = np.bincount(h, minlength=size)
+        np.add.at(made[K + 1], h, c.astype(np.uint64))
+        np.add.at(made[K + 2], h, known.words[t.pair_word[own]].astype(np.uint64))
+        keys, *planes = _cut(t.histories, n_buckets, *made)
         body = [b"".join(len(p).to_bytes(4, "little") + p for p in row) for row in zip(*planes)]
-        return _rows(key[0].as_py(), 2, [keys, body])
+        wanted = np.zeros(size, np.uint8)
+        wanted[t.pair_history[known.pairs == 0]] = 1
+        return _rows(key[0].as_py(), 2, [keys, body, _cut(t.histories, n_buckets, wanted)[1]], known.stats)
 
     def planes_of(blob):
         out, at = [], 0
@@ -204,21 +212,29 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
         return np.stack(out).astype(np.int64)
 
     def history_totals(key, table):
+        """For every chunk: whose histories have no discounted count, and alpha
+        of those that the chunk needs."""
         table = table.sort_by("chunk")
         own = [unpack(x) for x in table.column("a").to_pylist()]
         distinct, which = np.unique(np.concatenate(own), return_inverse=True)
         parts_ = np.concatenate([planes_of(x) for x in table.column("b").to_pylist()], axis=1)
-        total = np.zeros((K + 2, len(distinct)), np.int64)
-        for k in range(K + 2):
+        total = np.zeros((K + 3, len(distinct)), np.int64)
+        for k in range(K + 3):
             np.add.at(total[k], which, parts_[k])
+        n, v, d, _ = model_of(table.column("stats")[0].as_py())
+        kept_back = sum((1 - d[r]) * r * total[r - 1] for r in range(1, K + 1))
+        none = kept_back <= 1e-9 * total[K + 1]
+        reserve = np.where(none, 1.0, kept_back) / (total[K + 1] + none)
+        seen = (total[K + 2] + 0.5 * total[K]) / (n + 0.5 * (v + 1))
+        alpha = np.where(total[K + 1] > 0, reserve / np.maximum(1 - seen, 1e-300), 1.0)
         cuts = np.cumsum([len(x) for x in own])[:-1]
-        answers = [b"".join(len(p).to_bytes(4, "little") + p for p in map(squeeze, x.astype(np.uint64)))
-                   for x in np.split(total[:, which], cuts, axis=1)]
-        n = len(own)
+        wanted = [stretch(x, np.uint8).astype(bool) for x in table.column("c").to_pylist()]
+        m = len(own)
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"),
-                         "kind": pa.array([3] * n, pa.int32()), "a": pa.array(answers, pa.binary()),
-                         "b": pa.array([None] * n, pa.binary()), "c": pa.array([None] * n, pa.binary()),
-                         "stats": pa.array([[]] * n, pa.list_(pa.int64()))})
+                         "kind": pa.array([3] * m, pa.int32()),
+                         "a": pa.array([squeeze(x) for x in np.split(none[which].astype(np.uint8), cuts)], pa.binary()),
+                         "b": pa.array([x[w].tobytes() for x, w in zip(np.split(alpha[which], cuts), wanted)], pa.binary()),
+                         "c": table.column("c"), "stats": pa.array([[]] * m, pa.list_(pa.int64()))})
 
     new = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out_ddl = schema_with(df, new)
@@ -231,14 +247,11 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
         if m:
             known = Known(t, answers)
             rows = answers.filter(pc.equal(answers.column("kind"), 3)).sort_by("bucket")
-            planes = np.concatenate([planes_of(x) for x in rows.column("a").to_pylist()], axis=1)
-            c_h = t.history_counts(known.words, known.n_docs).astype(float)
-            kept_back = sum((1 - known.d[r]) * r * planes[r - 1] for r in range(1, K + 1))
-            none = kept_back <= 1e-9 * c_h
-            z = np.where(none, c_h + 1, c_h)
-            reserve = np.where(none, 1.0, kept_back) / np.maximum(z, 1)
-            seen = (planes[K + 1] + 0.5 * planes[:K + 1].sum(axis=0)) / (known.n + 0.5 * (known.v + 1))
-            alpha = np.where(c_h > 0, reserve / np.maximum(1 - seen, 1e-300), 1.0)
+            none = np.concatenate([stretch(x, np.uint8) for x in rows.column("a").to_pylist()])
+            wanted = np.concatenate([stretch(x, np.uint8) for x in rows.column("c").to_pylist()]).astype(bool)
+            alpha = np.ones(len(none))
+            alpha[wanted] = np.concatenate([np.frombuffer(x, np.float64) for x in rows.column("b").to_pylist()])
+            z = t.history_counts(known.words, known.n_docs) + none
             c, h = known.pairs, t.pair_history
             direct = known.d[np.minimum(c, K) * (c <= K)] * c / np.maximum(z[h], 1)
             p = np.where(c > 0, direct, alpha[h] * known.base[t.pair_word])
