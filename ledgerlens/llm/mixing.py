@@ -159,7 +159,8 @@ def mix(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeats: int = 2,
           min(routed.get(r[0], 0) // max(words[r[0]], 1), repeats), routed.get(r[0], 0) % max(words[r[0]], 1),
           min(max(1, -(-r[2] // BLOCK_ROWS)), MAX_BLOCKS)) for r in rows],
         T.StructType.fromDDL("__pattern string, source_size long, target double, __whole long, __rest long, __blocks long"))
-    ordered = (sized.join(plan, "__pattern")
+    # at most MAX_PATTERNS rows, checked above
+    ordered = (sized.join(F.broadcast(plan), "__pattern")
                .withColumn("__order", seeded_order(id_col, seed)))
     # the first 8 hex digits of the order cut it into even blocks
     block = F.floor(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") * F.col("__blocks") / F.lit(1 << 32))

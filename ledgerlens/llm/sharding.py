@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from .common import check_columns, cut_lineage
 
 #: Rows of a block of a count, and blocks of a shard at most.
-BLOCK_ROWS, MAX_BLOCKS = 500, 20_000
+BLOCK_ROWS, MAX_BLOCKS = 200, 20_000
 
 
 def _numbered(df: DataFrame, key: str, order: list[str], out: str, n_blocks: int) -> DataFrame:
