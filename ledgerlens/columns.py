@@ -17,3 +17,7 @@ MONTH = "month"
 
 # money is exact decimal inside the engine; outputs are cast to double
 MONEY_TYPE = "decimal(18,2)"
+# loaded amounts keep what the source has; rounding happens at output
+LOADED_MONEY_TYPE = "decimal(28,8)"
+# time of a loaded row, where the source has one beside the day
+TIME = "transaction_time"

@@ -80,18 +80,27 @@ def estimate_tokens(text) -> Column:
 # --- number text -------------------------------------------------------------
 
 def py_float_text(x) -> Column:
-    """Python ``repr(float)`` for finite values.
+    """Python ``repr(float)``.
 
-    Java prints 1.2345678E7 from 1e7 on, Python only switches to exponent
-    form at 1e16 (as '1e+16'); integral values keep a trailing '.0'.
+    Both languages print the shortest digits that read back (a JDK before 19
+    may print one more of a 17-digit number). Java switches to
+    exponents from 1e7 on and below 1e-3, Python from 1e16 on and below 1e-4,
+    with a signed exponent of two digits at least; integral values keep '.0'
+    unless an exponent follows.
     """
     v = _c(x).cast("double")
     s = v.cast("string")
-    plain_from_sci = F.regexp_replace(
-        F.regexp_replace(v.cast("decimal(38,10)").cast("string"), r"0+$", ""), r"\.$", ".0")
-    sci = F.regexp_replace(F.regexp_replace(s, r"\.0E", "E"), "E", "e+")
-    return (F.when(F.abs(v) >= F.lit(1e16), sci)
-            .when(F.instr(s, "E") > 0, plain_from_sci)
+    small, large = F.abs(v) < F.lit(1e-4), F.abs(v) >= F.lit(1e16)
+    plain = F.regexp_replace(F.regexp_replace(
+        F.when(F.abs(v) < 1, s.cast("decimal(38,24)").cast("string"))
+        .otherwise(s.cast("decimal(38,10)").cast("string")), r"0+$", ""), r"\.$", ".0")
+    sci = F.regexp_replace(s, r"\.0E", "E")
+    sci = F.regexp_replace(F.regexp_replace(sci, r"E-(\d)$", "E-0$1"), r"E(\d)", "E+$1")
+    sci = F.lower(sci)
+    return (F.when(F.isnan(v), F.lit("nan"))
+            .when(v == float("inf"), F.lit("inf")).when(v == float("-inf"), F.lit("-inf"))
+            .when((v != 0) & (small | large), sci)
+            .when(F.instr(s, "E") > 0, plain)
             .otherwise(s))
 
 

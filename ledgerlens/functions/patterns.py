@@ -93,7 +93,6 @@ MONTH_YEAR_PATTERN = (
 GROUNDING_TOLERANCE = 0.05
 SPARSE_ROWS = 5
 MAX_INPUT_TOKENS = 6000
-MAX_OUTPUT_TOKENS = 2000
 BREAKER_THRESHOLD = 3
 BREAKER_COOLDOWN_SECONDS = 60
 HISTORY_KEPT = 5

@@ -42,19 +42,25 @@ def in_parent(df: DataFrame, category: str | None, parent_col: str = C.PARENT) -
 
 
 def cutoff_expr(ref_col: str, months: int):
-    """ref - N calendar months, clamped to month end (dates)."""
-    return F.add_months(F.col(ref_col), -int(months))
+    """ref - N calendar months, clamped to month end; a time of day is kept."""
+    return F.col(ref_col) - F.make_ym_interval(F.lit(0), F.lit(int(months)))
 
 
-def lookback_rows(ledger: DataFrame, months: int) -> DataFrame:
-    """Rows within N months of each owner's latest row (income included).
+def lookback_rows(ledger: DataFrame, months: int, reference_date=None) -> DataFrame:
+    """Rows within N months of each owner's latest row (income included), or
+    of ``reference_date`` (a date or timestamp) where one is given. Rows with
+    a time (``transaction_time``) are compared by it.
 
     The reference date is a per-owner max computed by a partial/final
     aggregate (map-side combine, so a hot owner costs one row per task), then
     joined back; AQE turns the join into a broadcast when the per-owner table
     is small, and splits a skewed owner partition otherwise.
     """
-    refs = ledger.groupBy(C.USER).agg(F.max(C.DATE).alias("ref_date"))
-    return (ledger.join(refs, C.USER)
-            .where(F.col(C.DATE) >= cutoff_expr("ref_date", months))
+    at = C.TIME if C.TIME in ledger.columns else C.DATE
+    if reference_date is not None:
+        rows = ledger.withColumn("ref_date", F.lit(reference_date).cast(dict(ledger.dtypes)[at]))
+    else:
+        refs = ledger.groupBy(C.USER).agg(F.max(at).alias("ref_date"))
+        rows = ledger.join(refs, C.USER)
+    return (rows.where(F.col(at) >= cutoff_expr("ref_date", months))
             .withColumn("cutoff_date", cutoff_expr("ref_date", months)))

@@ -93,27 +93,66 @@ def parse_responses(df: DataFrame, raw_col: str = "raw_json",
                .drop("_p"))
 
 
+BAD_ARGUMENTS = "Tool execution error: invalid arguments"
+
+
+def _argument(args: Column, name: str) -> tuple[Column, Column]:
+    """(text, JSON type) of an argument; the type is null if it is absent and
+    VOID if it is an explicit null."""
+    value = F.try_variant_get(F.try_parse_json(args), f"$.{name}", "variant")
+    return F.get_json_object(args, f"$.{name}"), F.schema_of_variant(value)
+
+
+def _whole(text: Column, kind: Column) -> Column:
+    """A whole number (6 or 6.0) as bigint, else null."""
+    number = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), text.try_cast("double"))
+    return F.when(number == F.floor(number), number.cast("bigint"))
+
+
+def valid_arguments(name: Column, args: Column) -> Column:
+    """Would the tool accept these arguments? They are an object; months and
+    top_n are whole numbers, period a text, category_filter a text or null."""
+    ok = F.json_object_keys(args).isNotNull()
+
+    def number(key):
+        text, kind = _argument(args, key)
+        return kind.isNull() | _whole(text, kind).isNotNull()
+
+    period, category = _argument(args, "period")[1], _argument(args, "category_filter")[1]
+    return ok & F.coalesce(
+        F.when(name == "plot_monthly_spending_trend",
+               number("months") & (category.isNull() | category.isin("STRING", "VOID")))
+        .when(name == "plot_category_breakdown", number("top_n") & (period.isNull() | (period == "STRING")))
+        .when(name == "plot_income_vs_expense", number("months")), F.lit(False))
+
+
 def route_tool_calls(parsed: DataFrame, key: str = "request_id") -> DataFrame:
     """One row per valid tool call with defaults filled; unknown tools
-    become error rows. The tool dimension is a 3-way CASE (no join needed)."""
+    and calls with wrong arguments become error rows (never a failed job). The
+    tool dimension is a 3-way CASE (no join needed)."""
     tc = parsed.select(key, F.posexplode("tool_calls").alias("call_pos", "tc"))
     name, args = F.col("tc.name"), F.col("tc.arguments")
+    ok = valid_arguments(name, args)
 
     def arg(path):
-        return F.get_json_object(args, f"$.{path}")
+        return _argument(args, path)[0]
 
-    chart_type = F.lit(None).cast("string")
+    known_type = F.lit(None).cast("string")
     for tool, spec in TOOLS.items():
-        chart_type = F.when(name == tool, F.lit(spec["chart_type"])).otherwise(chart_type)
-    is_trend = name == "plot_monthly_spending_trend"
-    is_cat = name == "plot_category_breakdown"
-    is_inc = name == "plot_income_vs_expense"
-    months = (F.when(is_trend, F.coalesce(arg("months").cast("bigint"), F.lit(1)))
-              .when(is_inc, F.coalesce(arg("months").cast("bigint"), F.lit(6))))
+        known_type = F.when(name == tool, F.lit(spec["chart_type"])).otherwise(known_type)
+    chart_type = F.when(ok, known_type)
+    is_trend = ok & (name == "plot_monthly_spending_trend")
+    is_cat = ok & (name == "plot_category_breakdown")
+    is_inc = ok & (name == "plot_income_vs_expense")
+    asked = _whole(*_argument(args, "months"))
+    months = (F.when(is_trend, F.coalesce(asked, F.lit(1)))
+              .when(is_inc, F.coalesce(asked, F.lit(6))))
     period = F.when(is_cat, F.coalesce(arg("period"), F.lit("last_3_months")))
-    top_n = F.when(is_cat, F.coalesce(arg("top_n").cast("bigint"), F.lit(7)))
+    top_n = F.when(is_cat, F.coalesce(_whole(*_argument(args, "top_n")), F.lit(7)))
     category = F.when(is_trend, arg("category_filter"))
-    net = F.when(is_inc, F.coalesce(arg("show_net_line").cast("boolean"), F.lit(True)))
+    net_text, net_kind = _argument(args, "show_net_line")
+    net = F.when(is_inc, F.when(net_kind == "VOID", F.lit(False))
+                 .otherwise(F.coalesce(net_text.try_cast("boolean"), F.lit(True))))
     description = (
         F.when(is_trend, F.concat(F.lit("Monthly spending trend chart generated for the last "),
                                   months.cast("string"), F.lit(" month(s).")))
@@ -126,7 +165,8 @@ def route_tool_calls(parsed: DataFrame, key: str = "request_id") -> DataFrame:
         key, F.col("call_pos").cast("bigint").alias("call_pos"),
         F.col("tc.id").alias("call_id"), name.alias("tool_name"),
         chart_type.alias("chart_type"), chart_type.isNotNull().alias("success"),
-        F.when(chart_type.isNull(), F.concat(F.lit("Unknown tool: "), name)).alias("error"),
+        F.when(known_type.isNull(), F.concat(F.lit("Unknown tool: "), name))
+        .when(~ok, F.lit(BAD_ARGUMENTS)).alias("error"),
         months.alias("months"), period.alias("period"), top_n.alias("top_n"),
         category.alias("category_filter"), net.alias("show_net_line"),
         description.alias("description"), args.alias("arguments"))

@@ -40,7 +40,6 @@ You have access to visualization tools. Use them proactively when they add value
 - For income vs expense analysis → use plot_income_vs_expense
 - For comprehensive financial reports → use multiple tools together
 """
-CONTEXT_TEMPLATE = ("CURRENT USER CONTEXT:\n{profile}\n\nDATA SUMMARY:\n{summary}\n")
 SUMMARY_MARKER = "DATA SUMMARY:"
 HISTORY_MARKER = "PREVIOUS INTERACTIONS"
 SYSTEM_MARKER = "financial analyst"
@@ -48,8 +47,6 @@ SUMMARY_KEEP_CHARS = 500
 SYSTEM_KEEP_CHARS = P.MAX_INPUT_TOKENS * 2
 SUMMARY_CUT_NOTE = "\n[...truncated for token budget]"
 SYSTEM_CUT_NOTE = "\n[...truncated]"
-CHART_SUMMARY = ("Here's your financial analysis, {name}! I've generated {n} chart{s} for your "
-                 "analysis. Check the visualizations below for detailed insights.")
 
 MSG = "struct<role:string,content:string>"
 

@@ -35,8 +35,6 @@ NO_DATA_TEMPLATE = (
     "• Ask for a general overview: 'What did I spend the most on?'\n"
     "• Check a specific category: 'How much did I spend on food?'"
 )
-NO_PROFILE_TEXT = "No cached profile available for this user."
-NO_ROWS_SUMMARY = "No transactions found for this user."
 
 
 def fill(template: str, **cols: Column) -> Column:

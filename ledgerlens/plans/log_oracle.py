@@ -23,7 +23,7 @@ plan AS (SELECT * FROM (VALUES {_PLAN_ROWS}) t(idx, pos, name, args)),
 turns AS (
   SELECT u.conv_id, u.turn, u.text, coalesce(a.text, '') AS answer,
          (u.conv_id + u.turn) % {len(PROMPT_TEMPLATES)} AS idx,
-         u.conv_id * 100 + u.turn AS request_id,
+         u.conv_id * 4294967296 + u.turn AS request_id,
          CASE WHEN (u.conv_id * 31 + u.turn) % 13 = 0 THEN 'failed' ELSE 'ok' END AS status,
          CASE WHEN u.conv_id % 2 = 0 THEN 'chat' ELSE 'native' END AS provider
   FROM conversations u

@@ -23,9 +23,8 @@ def parsed_responses(spark: SparkSession, d: str) -> DataFrame:
 
 def n_charts_expr():
     """Successful chart calls of a response, counted without exploding."""
-    known = F.array(*[F.lit(t) for t in L.TOOLS])
     return F.size(F.filter(F.coalesce(F.col("tool_calls"), F.array()),
-                           lambda c: F.array_contains(known, c["name"]))).cast("bigint")
+                           lambda c: L.valid_arguments(c["name"], c["arguments"]))).cast("bigint")
 
 
 def interactions(spark: SparkSession, d: str) -> DataFrame:

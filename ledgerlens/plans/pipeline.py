@@ -112,7 +112,7 @@ def answer_requests(requests: DataFrame, ledger: DataFrame, responses: DataFrame
     skipped = F.col("status") == "skipped"
     fallback = failed | skipped | F.col("status").isNull()
     text = (F.when(fallback, PR.fallback_text())
-            .when((F.trim(F.coalesce(F.col("llm_text"), F.lit(""))) == "") & (F.col("_n_charts") > 0),
+            .when((G.py_strip(F.coalesce(F.col("llm_text"), F.lit(""))) == "") & (F.col("_n_charts") > 0),
                   M.chart_summary(C.NAME, "_n_charts"))
             .otherwise(F.coalesce(F.col("llm_text"), F.lit(""))))
     a = a.withColumn("response_raw", text).withColumn("_fallback", fallback)
@@ -159,27 +159,28 @@ def audit_records(results: DataFrame) -> DataFrame:
         F.length("effective_prompt").cast("bigint").alias("prompt_length"),
         F.length("response").cast("bigint").alias("response_length"),
         X.cents(F.col("latency_ms")).alias("latency_ms"),
-        F.array_join("guardrail_flags", "|").alias("guardrail_flags"),
+        F.col("guardrail_flags"),
         "cache_hit",
         F.size("visualizations").cast("bigint").alias("num_visualizations"),
         F.lit(None).cast("string").alias("error"))
 
 
-def write_audit(audit: DataFrame, path: str) -> None:
-    """Append-only JSON-lines sink (one object per request)."""
-    audit.write.mode("append").json(path)
+def write_audit(audit: DataFrame, path: str, batch_id: str = "0") -> None:
+    """JSON-lines sink (one object per request), a folder for each batch: a
+    rerun of a batch replaces its records, another batch adds its own."""
+    audit.write.mode("overwrite").json(f"{path}/batch={batch_id}")
 
 
 def run_batch(requests: DataFrame, ledger: DataFrame, responses: DataFrame, out_dir: str,
-              bucket: str = Q.DEFAULT_BUCKET) -> DataFrame:
+              bucket: str = Q.DEFAULT_BUCKET, batch_id: str = "0") -> DataFrame:
     """Batch job: per-owner tables are computed once and checkpointed to the
     cluster's shared checkpoint folder (reliable, survives executor loss),
     so the request stages join small materialised tables instead of
     re-deriving them from the ledger; results go to parquet, audit records
-    to the append-only JSON sink."""
+    to the batch's folder of the JSON sink."""
     from ..session import cut_lineage
     tables = {k: cut_lineage(v) for k, v in owner_tables(ledger).items()}
     results = cut_lineage(answer_requests(requests, ledger, responses, bucket, tables))
     results.write.mode("overwrite").parquet(f"{out_dir}/results")
-    write_audit(audit_records(results), f"{out_dir}/audit")
+    write_audit(audit_records(results), f"{out_dir}/audit", batch_id)
     return results

@@ -39,7 +39,7 @@ req0 AS (
   FROM conversations WHERE role = 'user'
 ),
 req AS (
-  SELECT conv_id * 100 + turn AS request_id,
+  SELECT conv_id * 4294967296 + turn AS request_id,
          'svc_' || CAST(conv_id % 3 AS VARCHAR) AS instance_id,
          TIMESTAMP '{EPOCH}' + to_seconds(conv_id * 3600 + turn * 60) AS ts,
          user_id,

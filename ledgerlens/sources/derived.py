@@ -64,6 +64,12 @@ def _pick(options: list[str], idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(o) for o in options]), ((idx % len(options)) + 1).cast("int"))
 
 
+def _request_id() -> Column:
+    """Conversation and turn in one id: 32 bits for the turn, so that ids of
+    long conversations do not collide."""
+    return (F.col("conv_id").cast("bigint") * F.lit(1 << 32) + F.col("turn")).alias("request_id")
+
+
 def requests(spark: SparkSession, d: str) -> DataFrame:
     """(request_id, instance_id, ts, user_id, prompt, latency_ms)."""
     cv = read_table(spark, d, "conversations").where(F.col("role") == "user")
@@ -74,7 +80,7 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     tmpl = _pick(PROMPT_TEMPLATES, F.col("conv_id") + F.col("turn"))
     head = F.replace(F.replace(tmpl, F.lit("{own}"), user), F.lit("{other}"), other)
     return cv.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
+        _request_id(),
         F.concat(F.lit("svc_"), (F.col("conv_id") % 3).cast("string")).alias("instance_id"),
         F.expr(f"timestampadd(SECOND, conv_id * 3600 + turn * 60, timestamp_ntz'{EPOCH}')").alias("ts"),
         user.alias(C.USER),
@@ -153,7 +159,8 @@ def _json_str(s: Column) -> Column:
 def responses(spark: SparkSession, d: str) -> DataFrame:
     """(request_id, instance_id, ts, status, provider, raw_json).
 
-    The model's text is the assistant turn that follows the user turn;
+    The model's text is the assistant turn right after the user turn (the
+    view's rule: other assistant turns answer no request);
     even conversations answer in chat-completions JSON, odd ones in
     generateContent JSON. Every 13th call failed (no body)."""
     cv = read_table(spark, d, "conversations")
@@ -188,7 +195,7 @@ def responses(spark: SparkSession, d: str) -> DataFrame:
     failed = (F.col("conv_id") * 31 + F.col("turn")) % 13 == 0
     provider = F.when(F.col("conv_id") % 2 == 0, F.lit("chat")).otherwise(F.lit("native"))
     return j.select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("request_id"),
+        _request_id(),
         F.concat(F.lit("svc_"), (F.col("conv_id") % 3).cast("string")).alias("instance_id"),
         F.expr(f"timestampadd(SECOND, conv_id * 3600 + turn * 60 + 5, timestamp_ntz'{EPOCH}')").alias("ts"),
         F.when(failed, F.lit("failed")).otherwise(F.lit("ok")).alias("status"),

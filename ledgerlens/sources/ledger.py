@@ -21,17 +21,19 @@ def validate_columns(df: DataFrame, required=tuple(C.LEDGER_COLUMNS)) -> DataFra
 
 
 def _typed(df: DataFrame, mode: str = "strict") -> DataFrame:
-    """Cast to the ledger types. ``strict`` fails on bad dates/amounts (ANSI
+    """Cast to the ledger types; ``transaction_time`` keeps the time of day beside
+    the day, amounts keep up to 8 decimals. ``strict`` fails on bad dates/amounts (ANSI
     cast), ``permissive`` turns them into nulls (see ``dq_counts``)."""
     cast = (lambda c, t: F.col(c).cast(t)) if mode == "strict" else \
         (lambda c, t: F.expr(f"try_cast(`{c}` as {t})"))
     return df.select(
         F.col(C.USER).cast("string").alias(C.USER),
         F.col(C.NAME).cast("string").alias(C.NAME),
-        cast(C.DATE, "date").alias(C.DATE),
-        cast(C.AMOUNT, C.MONEY_TYPE).alias(C.AMOUNT),
+        cast(C.DATE, "timestamp_ntz").cast("date").alias(C.DATE),
+        cast(C.AMOUNT, C.LOADED_MONEY_TYPE).alias(C.AMOUNT),
         F.col(C.CATEGORY).cast("string").alias(C.CATEGORY),
         F.col(C.MERCHANT).cast("string").alias(C.MERCHANT),
+        cast(C.DATE, "timestamp_ntz").alias(C.TIME),
     )
 
 
@@ -54,7 +56,9 @@ def dq_counts(raw: DataFrame) -> DataFrame:
         F.count_if(F.col(C.DATE).isNotNull()
                    & F.expr(f"try_cast(`{C.DATE}` as date)").isNull()).alias("bad_dates"),
         F.count_if(F.col(C.AMOUNT).isNotNull()
-                   & F.expr(f"try_cast(`{C.AMOUNT}` as {C.MONEY_TYPE})").isNull()).alias("bad_amounts"),
+                   & F.expr(f"try_cast(`{C.AMOUNT}` as {C.LOADED_MONEY_TYPE})").isNull()).alias("bad_amounts"),
+        F.count_if(F.expr(f"try_cast(`{C.AMOUNT}` as double) <> "
+                          f"cast(try_cast(`{C.AMOUNT}` as {C.LOADED_MONEY_TYPE}) as double)")).alias("rounded_amounts"),
         F.count_if(F.col(C.CATEGORY).isNull()).alias("null_categories"),
     )
 

@@ -122,7 +122,9 @@ def test_run_batch_writes_results_and_audit(spark, tmp_path):
     audit = spark.read.json(f"{out}/audit").collect()
     assert sorted(a.request_id for a in audit) == [1, 2]          # unknown owner not audited
     assert all(len(a.user_id_hash) == 12 for a in audit)
-    PL.run_batch(reqs, ledger, resp, out)                        # audit sink appends
+    PL.run_batch(reqs, ledger, resp, out)                        # a rerun replaces its batch
+    assert spark.read.json(f"{out}/audit").count() == 2
+    PL.run_batch(reqs, ledger, resp, out, batch_id="1")          # another batch adds its own
     assert spark.read.json(f"{out}/audit").count() == 4
 
 
