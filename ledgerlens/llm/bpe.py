@@ -217,7 +217,7 @@ class Encoder(dict):
     """Slice -> its ids as int32 bytes; filled on demand, emptied when it has
     ``most`` slices so that a worker's memory stays bounded."""
 
-    def __init__(self, vocab: str, most: int = 400_000):
+    def __init__(self, vocab: str, most: int = 250_000):
         super().__init__()
         self.most, self.classes = most, Classes()
         with open(vocab, "rb") as f:

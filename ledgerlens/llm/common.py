@@ -18,7 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 WHITE = b" \t\n\r\x0b\x0c"
 
 #: Text bytes that one step of a Python worker holds at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
