@@ -55,6 +55,8 @@ TOKEN = re.compile(
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 
+#: Weight of an inline tag that no label has.
+LIGHT = -0.05
 DEFAULT = {"#word": 0.7, "#tag": -3.0, "#cut": -1.0, "p": -0.05, "/p": -0.05, "br": -0.05}
 
 
@@ -145,7 +147,7 @@ def best_region(items: list[tuple[str, str]], weights: dict[str, float]) -> tupl
         elif kind == "#cut" or kind == "#raw":
             total += cut
         else:
-            total += weights.get(kind, tag)
+            total += weights.get(kind, LIGHT if kind.lstrip("/") in INLINE else tag)
         if total <= 0:
             total, begin = 0.0, i + 1
         elif total > best + 1e-12:
@@ -212,7 +214,7 @@ def fit_weights(df: DataFrame, html_col: str = "html", labelled_pages: int = LAB
         return dict(DEFAULT)
     odds = {r[0]: math.log((r[1] + 0.5) / (total_in + 1)) - math.log((r[2] + 0.5) / (total_out + 1)) for r in got}
     # words score positive, tags negative, whatever the sample says
-    weights = {k: min(-0.05, v) for k, v in odds.items()}
+    weights = {k: min(LIGHT, v) for k, v in odds.items()}
     weights["#word"] = min(max(0.2, odds.get("#word", DEFAULT["#word"])), 2.0)
     weights["#tag"], weights["#cut"] = DEFAULT["#tag"], DEFAULT["#cut"]
     return weights
