@@ -57,7 +57,9 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 #: Weight of an inline tag that no label has.
 LIGHT = -0.05
-DEFAULT = {"#word": 0.7, "#tag": -3.0, "#cut": -1.0, "p": -0.05, "/p": -0.05, "br": -0.05}
+#: Weights for a table without labelled pages.
+DEFAULT = {"#word": 0.7, "#tag": -3.0, "#cut": -0.3, "br": LIGHT} | {
+    end + name: LIGHT for name in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote") for end in ("", "/")}
 
 
 def _bad(name: str, attrs: str) -> bool:

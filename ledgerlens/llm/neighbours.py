@@ -63,7 +63,8 @@ class Index:
 
     def search(self, q: np.ndarray, longest: float, k: int, confidence: float, grow: float):
         """For each query: indices of verified vectors that may be among its k
-        nearest, at least all verified ones as near as the k-th."""
+        nearest, at least all verified ones as near as the k-th. All queries
+        of the batch widen their windows together, array by array."""
         n, m = len(self.x), self.m
         length = np.sqrt((q * q).sum(axis=1))
         unit = np.column_stack([q / length[:, None], np.zeros(len(q))])
@@ -73,36 +74,42 @@ class Index:
         seen = np.sqrt(np.maximum(0.0, 2 - 2 * (unit @ self.unit[rows].T)))
         rank = min(len(rows) - 1, int(np.ceil(k * len(rows) / n)))
         radius = np.maximum(np.partition(seen, rank, axis=1)[:, rank] * 0.92, 1e-3)
-        for i in range(len(q)):
-            counts = np.zeros(n, np.int64)
-            low = high = np.searchsorted(np.zeros(0), np.zeros(m))
-            verified = np.zeros(n, bool)
-            found, score, r, first = np.zeros(0, np.int64), np.zeros(0), radius[i], True
-            while True:
-                a = np.array([s.searchsorted(c - r, "left") for s, c in zip(self.sorted, centre[i])])
-                b = np.array([s.searchsorted(c + r, "right") for s, c in zip(self.sorted, centre[i])])
-                if first:
-                    rim = [o[x:y] for o, x, y in zip(self.order, a, b)]
-                else:
-                    rim = [o[x:y] for o, x, y in zip(self.order, a, low)] + \
-                          [o[x:y] for o, x, y in zip(self.order, high, b)]
-                counts += np.bincount(np.concatenate(rim), minlength=n)
-                low, high, first = a, b, False
-                new = np.flatnonzero((counts >= need) & ~verified)
-                verified[new] = True
-                found = np.concatenate([found, new])
-                score = np.concatenate([score, self.x[new] @ q[i]])
-                whole = len(found) == n
-                if len(found) > k or whole:
+        counts = np.zeros((len(q), n), np.uint16)
+        low = high = np.zeros((m, len(q)), np.int64)
+        found = [np.zeros(0, np.int64)] * len(q)
+        score = [np.zeros(0)] * len(q)
+        done: list = [None] * len(q)
+        active, first = np.arange(len(q)), True
+        while len(active):
+            # the windows of all queries that go on, one array at a time
+            a, b = low.copy(), high.copy()
+            for j in range(m):
+                c, r = centre[active, j], radius[active]
+                a[j, active] = self.sorted[j].searchsorted(c - r, "left")
+                b[j, active] = self.sorted[j].searchsorted(c + r, "right")
+            for i in active.tolist():
+                rims = ((a[:, i].tolist(), b[:, i].tolist()),) if first else \
+                    ((a[:, i].tolist(), low[:, i].tolist()), (high[:, i].tolist(), b[:, i].tolist()))
+                rim = np.concatenate([o[x:y] for xs, ys in rims for o, x, y in zip(self.order, xs, ys)])
+                counts[i] += np.bincount(rim, minlength=n).astype(np.uint16)
+                over = np.flatnonzero(counts[i] >= need)
+                if len(over) == len(found[i]) and len(over) <= k and len(over) < n:
+                    continue
+                new = np.setdiff1d(over, found[i], assume_unique=True)
+                found[i] = np.concatenate([found[i], new])
+                score[i] = np.concatenate([score[i], self.x[new] @ q[i]])
+                whole = len(found[i]) == n
+                if len(found[i]) > k or whole:
                     # one more than k, for the query's own row
-                    at = min(k, len(found) - 1)
-                    kth = np.partition(score, len(score) - 1 - at)[len(score) - 1 - at]
+                    at = len(score[i]) - 1 - min(k, len(score[i]) - 1)
+                    kth = np.partition(score[i], at)[at]
                     near = np.sqrt(max(0.0, 2 - 2 * kth / (length[i] * longest)))
-                    if whole or near <= r:
-                        keep = score >= kth - 1e-9 * max(1.0, abs(kth))
-                        yield found[keep]
-                        break
-                r *= grow
+                    if whole or near <= radius[i]:
+                        done[i] = found[i][score[i] >= kth - 1e-9 * max(1.0, abs(kth))]
+            low, high, first = a, b, False
+            active = np.array([i for i in active.tolist() if done[i] is None], np.int64)
+            radius[active] *= grow
+        return done
 
 
 def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
