@@ -58,7 +58,7 @@ class Index:
         self.unit = np.column_stack([unit, rest])
         self.directions = np.random.default_rng(seed).standard_normal((m, self.unit.shape[1]))
         projected = (self.unit @ self.directions.T).T
-        self.order = np.argsort(projected, axis=1).astype(np.int32)
+        self.order = np.argsort(projected, axis=1)
         self.sorted = np.take_along_axis(projected, self.order, axis=1)
 
     def search(self, q: np.ndarray, longest: float, k: int, confidence: float, grow: float):
@@ -80,6 +80,7 @@ class Index:
         score = [np.zeros(0)] * len(q)
         done: list = [None] * len(q)
         active, first = np.arange(len(q)), True
+        order, none, whole_array = list(self.order), [0] * m, [n] * m
         while len(active):
             # the windows of all queries that go on, one array at a time
             a, b = low.copy(), high.copy()
@@ -88,10 +89,13 @@ class Index:
                 a[j, active] = self.sorted[j].searchsorted(c - r, "left")
                 b[j, active] = self.sorted[j].searchsorted(c + r, "right")
             for i in active.tolist():
-                rims = ((a[:, i].tolist(), b[:, i].tolist()),) if first else \
-                    ((a[:, i].tolist(), low[:, i].tolist()), (high[:, i].tolist(), b[:, i].tolist()))
-                rim = np.concatenate([o[x:y] for xs, ys in rims for o, x, y in zip(self.order, xs, ys)])
-                counts[i] += np.bincount(rim, minlength=n).astype(np.uint16)
+                if first:  # wide windows: count the vectors outside them
+                    rims, base = ((none, a[:, i].tolist()), (b[:, i].tolist(), whole_array)), m
+                else:
+                    rims, base = ((a[:, i].tolist(), low[:, i].tolist()), (high[:, i].tolist(), b[:, i].tolist())), 0
+                rim = np.bincount(np.concatenate([o[x:y] for xs, ys in rims for o, x, y in zip(order, xs, ys)
+                                                  if x < y] or [order[0][:0]]), minlength=n)
+                counts[i] += (base - rim if first else rim).astype(np.uint16)
                 over = np.flatnonzero(counts[i] >= need)
                 if len(over) == len(found[i]) and len(over) <= k and len(over) < n:
                     continue
