@@ -76,6 +76,7 @@ class Index:
         radius = np.maximum(np.partition(seen, rank, axis=1)[:, rank] * 0.92, 1e-3)
         counts = np.zeros((len(q), n), np.uint16)
         low = high = np.zeros((m, len(q)), np.int64)
+        verified = np.zeros((len(q), n), bool)
         found = [np.zeros(0, np.int64)] * len(q)
         score = [np.zeros(0)] * len(q)
         done: list = [None] * len(q)
@@ -99,7 +100,8 @@ class Index:
                 over = np.flatnonzero(counts[i] >= need)
                 if len(over) == len(found[i]) and len(over) <= k and len(over) < n:
                     continue
-                new = np.setdiff1d(over, found[i], assume_unique=True)
+                new = over[~verified[i, over]]
+                verified[i, new] = True
                 found[i] = np.concatenate([found[i], new])
                 score[i] = np.concatenate([score[i], self.x[new] @ q[i]])
                 whole = len(found[i]) == n
@@ -119,10 +121,7 @@ class Index:
 def exact_scores(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed in order of components (equal
     vectors have equal scores)."""
-    out = np.zeros(len(x))
-    for d in range(x.shape[1]):
-        out += x[:, d] * q[d]
-    return out
+    return np.cumsum(x * q, axis=1)[:, -1]
 
 
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding",
