@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import count_tokens
+from .common import cut_lineage
 
 #: Lengths of one block of the suffix sums: block sums first, then within blocks.
 BLOCK_LENGTHS = 512
@@ -31,6 +32,8 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
     """For each length L of the histogram: docs_at_least and tokens_at_least
     (documents of length L or more), total_docs, total_tokens and
     truncated_total (tokens that remain if every document is cut at L)."""
+    # read twice below; a row a length, so that documents are encoded once
+    hist = cut_lineage(hist)
     hist = hist.withColumn("__block", F.floor(F.col("n_tokens") / BLOCK_LENGTHS)) \
         .withColumn("__tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = hist.groupBy("__block").agg(F.sum("n_docs").alias("__d"), F.sum("__tokens").alias("__t"))
