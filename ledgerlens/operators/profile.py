@@ -101,23 +101,19 @@ def owner_cards(ledger: DataFrame, grains=ALL_GRAINS) -> DataFrame:
     monthly expense series (lists of absent grains are empty). Every list is
     bounded (k, the category taxonomy, the months between first and last
     expense)."""
-    f = owner_facts(ledger, grains)
-    key = F.when(F.col("grain") == "parent", F.col(C.PARENT)) \
-        .when(F.col("grain") == "merchant", F.col(C.MERCHANT))
-    ranked_grain = F.col("grain").isin("parent", "merchant")
-    eligible = (F.col("n_expense") > 0) & key.isNotNull()
-    w = Window.partitionBy(C.USER, "grain").orderBy(
-        F.when(eligible, F.col("sum_expense")).desc_nulls_last(), key.asc())
-    # one shuffle by owner serves both the (owner, grain) window and the
-    # owner groupBy below; merchants outside the top 10 are dropped before
-    # the collect, so a hot owner's list stays bounded
-    f = (f.where((F.col("grain") != "month") | (F.col("n_expense") > 0))
-          .repartition(C.USER)
-          .withColumn("_key", key)
-          .withColumn("_rank", F.when(ranked_grain & eligible, F.row_number().over(w)))
-          .where((F.col("grain") != "merchant") | (F.col("_rank") <= 10)))
-    item = F.struct(F.col("_rank").alias("rank"), F.col("_key").alias("name"),
-                    F.col("sum_expense").alias("total"))
+    f = owner_facts(ledger, grains).where((F.col("grain") == "owner") | (F.col("n_expense") > 0))
+    if "merchant" in grains:
+        # Only merchant rows share a window partition: the other grains' keys
+        # are null there, and rows of other grains are a partition each. So the
+        # filter is the bare rank test that Spark plans as a partial and a
+        # final group limit, and a hot owner's merchants are cut before the
+        # shuffle, not sorted in one task.
+        w = Window.partitionBy(C.USER, "grain", C.NAME, C.PARENT, C.MONTH).orderBy(
+            F.col("sum_expense").desc(), F.col(C.MERCHANT).asc())
+        f = (f.where((F.col("grain") != "merchant") | F.col(C.MERCHANT).isNotNull())
+              .withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= 10))
+    else:
+        f = f.withColumn("_rank", F.lit(1))
     is_owner = F.col("grain") == "owner"
 
     def owner(agg, c):
@@ -135,12 +131,14 @@ def owner_cards(ledger: DataFrame, grains=ALL_GRAINS) -> DataFrame:
         owner(F.max, "last_date").alias("last_date"),
         owner(F.min, "first_expense_date").alias("first_expense_date"),
         owner(F.max, "last_expense_date").alias("last_expense_date"),
-        F.sort_array(F.collect_list(F.when((F.col("grain") == "parent") & (F.col("_rank") <= 5), item)))
-        .alias("top_categories"),
-        F.collect_list(F.when((F.col("grain") == "parent") & F.col("_rank").isNotNull(), item))
-        .alias("categories"),
-        F.sort_array(F.collect_list(F.when((F.col("grain") == "merchant") & (F.col("_rank") <= 10), item)))
-        .alias("top_merchants"),
+        F.sort_array(F.collect_list(F.when(
+            (F.col("grain") == "parent") & F.col(C.PARENT).isNotNull(),
+            F.struct((-F.col("sum_expense")).alias("order"), F.col(C.PARENT).alias("name"),
+                     F.col("sum_expense").alias("total"))))).alias("categories"),
+        F.sort_array(F.collect_list(F.when(
+            F.col("grain") == "merchant",
+            F.struct(F.col("_rank").alias("rank"), F.col(C.MERCHANT).alias("name"),
+                     F.col("sum_expense").alias("total"))))).alias("top_merchants"),
         F.collect_list(F.when(F.col("grain") == "month", F.struct(
             F.col(C.MONTH).alias("month"), F.col("sum_expense").alias("expense")))).alias("_months"))
     lo, hi = F.array_min(F.transform("_months", lambda m: m["month"])), \
@@ -157,7 +155,9 @@ def owner_cards(ledger: DataFrame, grains=ALL_GRAINS) -> DataFrame:
                     X.cents(F.col("total_expense").cast("double") / F.col("n_expense")))
                     .otherwise(F.lit(0.0)))
                 .withColumn("avg_monthly_spend", A.avg_monthly_spend_expr())
-                .withColumn("top_categories", F.col("top_categories").cast(_TOP_T))
+                .withColumn("categories", F.transform("categories", lambda c, i: F.struct(
+                    (i + 1).alias("rank"), c["name"].alias("name"), c["total"].alias("total"))).cast(_TOP_T))
+                .withColumn("top_categories", F.slice("categories", 1, 5))
                 .withColumn("top_merchants", F.col("top_merchants").cast(_TOP_T)))
 
 

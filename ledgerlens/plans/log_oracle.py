@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 from ..operators.llm_tables import TOOLS
-from ..operators.sequences import FEW_SHOT_HEADER
 from ..sources.derived import PROMPT_TEMPLATES, TOOL_PLAN
 from .screening_oracle import REQUESTS, RULES, any_sql
 from .sql import q, with_
@@ -64,7 +63,7 @@ users AS (SELECT DISTINCT 'usr_' || CAST(o_custkey AS VARCHAR) AS user_id
           FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))"""
 
 
-def _operation(prompt: str, n: str) -> str:
+def operation(prompt: str, n: str) -> str:
     parts = [f"CASE WHEN {n} > 0 THEN {q(P.OPERATION_WITH_CHARTS)}"]
     for words, op in P.OPERATION_RULES:
         parts.append(f"WHEN {any_sql(f'lower({prompt})', words)} THEN {q(op)}")
@@ -75,7 +74,7 @@ def _operation(prompt: str, n: str) -> str:
 INTER = f"""
 inter AS (
   SELECT s.request_id, s.user_id, s.ts, s.latency_ms, pr.status, s.effective_prompt AS prompt,
-         {_operation('s.effective_prompt', 'coalesce(pr.n_charts, 0)')} AS operation,
+         {operation('s.effective_prompt', 'coalesce(pr.n_charts, 0)')} AS operation,
          left(coalesce(nullif(pr.llm_text, ''), 'No response generated'), 200) AS result_summary,
          CAST(coalesce(pr.n_charts, 0) AS BIGINT) AS n_charts
   FROM scr s LEFT JOIN pr USING (request_id)
@@ -136,25 +135,6 @@ SELECT request_id, call_pos, call_id, tool_name, chart_type, chart_type IS NOT N
               || ' month(s).' END AS description
 FROM r"""
 
-ORACLE["recent_history"] = _BASE + f"""
-SELECT user_id, request_id, position, prompt, operation, result_summary FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, request_id DESC) AS position
-  FROM inter) WHERE position <= {P.HISTORY_KEPT}"""
-
-ORACLE["few_shot"] = _BASE + f"""
-, f AS (
-  SELECT request_id, user_id,
-         list({{'prompt': prompt, 'operation': operation, 'result_summary': result_summary}})
-           OVER (PARTITION BY user_id ORDER BY ts, request_id
-                 ROWS BETWEEN {P.HISTORY_USED} PRECEDING AND 1 PRECEDING) AS prev
-  FROM inter)
-SELECT request_id, user_id, CAST(coalesce(len(prev), 0) AS BIGINT) AS n_previous,
-  CASE WHEN coalesce(len(prev), 0) > 0 THEN {q(FEW_SHOT_HEADER)} || array_to_string(
-    list_transform(prev, lambda x, i: chr(10) || CAST(i AS VARCHAR) || '. User asked: "' || x.prompt
-      || '"' || chr(10) || '   Analysis performed: ' || x.operation
-      || chr(10) || '   Key finding: ' || x.result_summary || chr(10)), '') END AS few_shot
-FROM f"""
-
 ORACLE["infer_operation"] = _BASE + "SELECT request_id, n_charts, operation FROM inter"
 
 ORACLE["viz_state"] = _BASE + """
@@ -220,37 +200,24 @@ SELECT call_id, instance_id, status,
 FROM u"""
 
 
-def _sev_case(k: str, idx: int, default: str) -> str:
+def severity_case(k: str, idx: int, default: str) -> str:
     return ("CASE " + " ".join(f"WHEN {k} = {q(n)} THEN {q(v[idx])}" for n, v in P.FLAG_SEVERITY.items())
             + f" ELSE {default} END")
 
 
-ORACLE["flag_report"] = with_(REQUESTS, RULES, RESP, USERS) + f"""
-, fl AS (
-  SELECT s.request_id, list_concat(
-    CASE WHEN s.input_flag IS NOT NULL THEN [s.input_flag] ELSE []::VARCHAR[] END,
-    CASE WHEN NOT s.input_passed THEN []::VARCHAR[]
-         WHEN pr.status = 'failed' THEN ['LLM_UNAVAILABLE']
-         WHEN pr.malformed_retry THEN ['MALFORMED_TOOL_CALL_RETRY']
-         ELSE []::VARCHAR[] END) AS flags
-  FROM scr s LEFT JOIN pr USING (request_id)
-  WHERE s.user_id IN (SELECT user_id FROM users)),
-e AS (SELECT request_id, unnest(flags) AS flag, unnest(range(len(flags))) AS flag_pos FROM fl),
-k AS (SELECT *, split_part(flag, ':', 1) AS fk FROM e)
-SELECT request_id, CAST(flag_pos AS BIGINT) AS flag_pos, flag,
-  {_sev_case('fk', 0, "'info'")} AS severity,
-  {_sev_case('fk', 1, 'flag')} AS label,
-  CASE WHEN {_sev_case('fk', 0, "'info'")} = 'error' THEN 'BLOCKED: ' || {_sev_case('fk', 1, 'flag')}
-       ELSE {_sev_case('fk', 1, 'flag')} END AS display
-FROM k"""
-
 ORACLE["request_report"] = _BASE + """
+, r AS (
+  SELECT request_id, user_id, latency_ms,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) > 1 AS cache_hit, n_charts
+  FROM inter
+  UNION ALL
+  SELECT request_id, user_id, latency_ms, false, 0 FROM scr
+  WHERE NOT input_passed AND user_id IN (SELECT user_id FROM users))
 SELECT request_id, user_id, latency_ms,
   CASE WHEN latency_ms < 2000 THEN 'green' WHEN latency_ms < 5000 THEN 'orange' ELSE 'red' END
     AS latency_band,
-  row_number() OVER (PARTITION BY user_id ORDER BY ts, request_id) > 1 AS cache_hit,
-  n_charts AS num_visualizations
-FROM inter"""
+  cache_hit, CAST(n_charts AS BIGINT) AS num_visualizations
+FROM r"""
 
 ORACLE["chat_history"] = """
 SELECT conv_id, turn + 1 AS position, role, text AS content, CAST(length(text) AS BIGINT) AS n_chars,

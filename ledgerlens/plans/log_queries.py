@@ -11,6 +11,7 @@ from ..operators import screening as G
 from ..operators import sequences as Q
 from ..sources import derived as D
 from ..sources.ledger import driver_ledger, read_table
+from . import pipeline as PL
 
 
 def known_users(spark: SparkSession, d: str) -> DataFrame:
@@ -43,6 +44,14 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
         "n_charts")
 
 
+def answer_log(spark: SparkSession, d: str) -> DataFrame:
+    """Answered requests with their final answer (after fallback, replacement,
+    chart summary and notes): what history and message contexts quote."""
+    owners = PL.owner_tables(driver_ledger(spark, d))["cards"]
+    passed = G.screen_prompts(D.requests(spark, d)).where("input_passed")
+    return PL.answered(passed, owners, D.responses(spark, d))
+
+
 def unknown_users(spark: SparkSession, d: str) -> DataFrame:
     """Requests whose owner has no ledger rows -> error record."""
     r = D.requests(spark, d).join(known_users(spark, d), C.USER, "left_anti")
@@ -73,12 +82,14 @@ def route_tool_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recent_history(spark: SparkSession, d: str) -> DataFrame:
-    h = Q.recent_history(interactions(spark, d))
+    h = Q.recent_history(answer_log(spark, d).select(
+        "request_id", C.USER, "ts", "prompt", "operation", "result_summary"))
     return h.select(C.USER, "request_id", "position", "prompt", "operation", "result_summary")
 
 
 def few_shot(spark: SparkSession, d: str) -> DataFrame:
-    f = Q.few_shot(interactions(spark, d))
+    f = Q.few_shot(answer_log(spark, d).select(
+        "request_id", C.USER, "ts", "prompt", "operation", "result_summary"))
     return f.select("request_id", C.USER, F.size("prev").cast("bigint").alias("n_previous"),
                     "few_shot")
 
@@ -104,25 +115,20 @@ def failure_runs(spark: SparkSession, d: str) -> DataFrame:
                     F.array_join("flags", "|").alias("flags"))
 
 
-def request_flags(spark: SparkSession, d: str) -> DataFrame:
-    """Flags raised per request of a known owner, in pipeline order."""
-    scr = G.screen_prompts(D.requests(spark, d)).join(known_users(spark, d), C.USER, "left_semi")
-    resp = parsed_responses(spark, d).select("request_id", "status", "malformed_retry")
-    j = scr.join(resp, "request_id", "left")
-    llm = (F.when(~F.col("input_passed"), F.array())
-           .when(F.col("status") == "failed", F.array(F.lit("LLM_UNAVAILABLE")))
-           .when(F.col("malformed_retry"), F.array(F.lit("MALFORMED_TOOL_CALL_RETRY")))
-           .otherwise(F.array()))
-    return j.select("request_id", F.concat(
-        F.array_compact(F.array(F.col("input_flag"))), llm).alias("flags"))
-
-
 def flag_report(spark: SparkSession, d: str) -> DataFrame:
-    return Q.flag_report(request_flags(spark, d), "request_id", "flags")
+    """All flags of every request of a known owner: input, budget, model call
+    and answer rules, in pipeline order."""
+    r = PL.answer_requests(D.requests(spark, d), driver_ledger(spark, d), D.responses(spark, d))
+    return Q.flag_report(r.where(F.col("error").isNull()), "request_id", "guardrail_flags")
 
 
 def request_report(spark: SparkSession, d: str) -> DataFrame:
-    h = Q.cache_hits(interactions(spark, d))
+    """Every request of a known owner, blocked ones too (no cache hit, no chart)."""
+    cols = ["request_id", C.USER, "latency_ms", "cache_hit", "n_charts"]
+    blocked = (G.screen_prompts(D.requests(spark, d)).where(~F.col("input_passed"))
+               .join(known_users(spark, d), C.USER, "left_semi")
+               .withColumn("cache_hit", F.lit(False)).withColumn("n_charts", F.lit(0).cast("bigint")))
+    h = Q.cache_hits(interactions(spark, d)).select(*cols).unionByName(blocked.select(*cols))
     return h.select("request_id", C.USER, "latency_ms", Q.latency_band("latency_ms").alias("latency_band"),
                     "cache_hit", F.col("n_charts").alias("num_visualizations"))
 

@@ -47,6 +47,65 @@ def owner_tables(ledger: DataFrame) -> dict[str, DataFrame]:
     return {"cards": cards}
 
 
+def answered(passed: DataFrame, owners: DataFrame, responses: DataFrame,
+             bucket: str = Q.DEFAULT_BUCKET) -> DataFrame:
+    """R1 for screened requests that passed, up to the final answer: fallback,
+    chart summary, output screening, and what the history keeps of it (prompt,
+    operation, result_summary). ``owners``: the cards of ``owner_tables``."""
+    ok = Q.cache_hits(passed)
+    resp = L.parse_responses(responses.select("request_id", "status", "provider", "raw_json",
+                                              F.col("instance_id").alias("_instance"),
+                                              F.col("ts").alias("_call_ts")))
+    breaker = Q.failure_runs(
+        responses.select("request_id", "instance_id", "ts", "status"),
+        key="instance_id", tie="request_id", bucket=bucket).select(
+        "request_id", "tripped")
+    routed = L.route_tool_calls(resp).where("success")
+    charts = routed.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(
+        "call_pos", "chart_type", "description"))).alias("_charts"))
+    a = (ok.join(resp, "request_id", "left").join(breaker, "request_id", "left")
+         .join(charts, "request_id", "left")
+         .join(owners, C.USER))
+    viz = F.transform(F.coalesce(F.col("_charts"), F.array()), lambda c: c["chart_type"])
+    a = a.withColumn("visualizations", viz.cast(EMPTY)) \
+         .withColumn("_n_charts", F.size("visualizations"))
+    failed = F.col("status") == "failed"
+    skipped = F.col("status") == "skipped"
+    fallback = failed | skipped | F.col("status").isNull()
+    text = (F.when(fallback, PR.fallback_text())
+            .when((G.py_strip(F.coalesce(F.col("llm_text"), F.lit(""))) == "") & (F.col("_n_charts") > 0),
+                  M.chart_summary(C.NAME, "_n_charts"))
+            .otherwise(F.coalesce(F.col("llm_text"), F.lit(""))))
+    a = a.withColumn("response_raw", text).withColumn("_fallback", fallback)
+    a = G.screen_answers(a, text_col="response_raw", actuals_col="actuals",
+                         start_col="first_date", end_col="last_date", rows_col="n_rows",
+                         skip_grounding_col="_fallback")
+    llm_flags = (F.when(skipped, F.array(F.lit("CIRCUIT_BREAKER_OPEN")))
+                 .when(failed, F.when(F.col("tripped"), F.array(
+                     F.lit("LLM_UNAVAILABLE"), F.lit("CIRCUIT_BREAKER_TRIPPED")))
+                       .otherwise(F.array(F.lit("LLM_UNAVAILABLE"))))
+                 .when(F.col("malformed_retry"), F.array(F.lit("MALFORMED_TOOL_CALL_RETRY"))))
+    return (a.withColumn("_llm_flags", llm_flags)
+            .withColumn("prompt", F.col("effective_prompt"))
+            .withColumn("operation", Q.infer_operation("effective_prompt", "_n_charts"))
+            .withColumn("result_summary", F.substring(F.coalesce(
+                F.nullif(F.col("final_response"), F.lit("")), F.lit("No response generated")), 1, 200))
+            .withColumn("_profile_text", PR.profile_text(a)))
+
+
+#: What the history, the message context and the result rows read of an answer.
+ANSWERED = ["request_id", C.USER, "ts", C.NAME, "final_response", "visualizations", "cache_hit",
+            "latency_ms", "input_flag", "_llm_flags", "output_flags", "effective_prompt", "prompt",
+            "operation", "result_summary", "_profile_text", "text_summary"]
+
+
+def with_messages(a: DataFrame, bucket: str = Q.DEFAULT_BUCKET) -> DataFrame:
+    """Answered requests with their few-shot block and message context."""
+    a = Q.few_shot(a.select(*ANSWERED), bucket=bucket)
+    return a.withColumn("messages", M.build_messages("_profile_text", "text_summary", "few_shot",
+                                                     "effective_prompt"))
+
+
 def answer_requests(requests: DataFrame, ledger: DataFrame, responses: DataFrame,
                     bucket: str = Q.DEFAULT_BUCKET,
                     tables: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -91,50 +150,8 @@ def answer_requests(requests: DataFrame, ledger: DataFrame, responses: DataFrame
         F.lit(None).cast("string").alias("error"), "effective_prompt")
 
     # --- R1: answered ---------------------------------------------------------
-    ok = Q.cache_hits(known.where("input_passed"))
-    resp = L.parse_responses(responses.select("request_id", "status", "provider", "raw_json",
-                                              F.col("instance_id").alias("_instance"),
-                                              F.col("ts").alias("_call_ts")))
-    breaker = Q.failure_runs(
-        responses.select("request_id", "instance_id", "ts", "status"),
-        key="instance_id", tie="request_id", bucket=bucket).select(
-        "request_id", "tripped")
-    routed = L.route_tool_calls(resp).where("success")
-    charts = routed.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(
-        "call_pos", "chart_type", "description"))).alias("_charts"))
-    a = (ok.join(resp, "request_id", "left").join(breaker, "request_id", "left")
-         .join(charts, "request_id", "left")
-         .join(owners, C.USER))
-    viz = F.transform(F.coalesce(F.col("_charts"), F.array()), lambda c: c["chart_type"])
-    a = a.withColumn("visualizations", viz.cast(EMPTY)) \
-         .withColumn("_n_charts", F.size("visualizations"))
-    failed = F.col("status") == "failed"
-    skipped = F.col("status") == "skipped"
-    fallback = failed | skipped | F.col("status").isNull()
-    text = (F.when(fallback, PR.fallback_text())
-            .when((G.py_strip(F.coalesce(F.col("llm_text"), F.lit(""))) == "") & (F.col("_n_charts") > 0),
-                  M.chart_summary(C.NAME, "_n_charts"))
-            .otherwise(F.coalesce(F.col("llm_text"), F.lit(""))))
-    a = a.withColumn("response_raw", text).withColumn("_fallback", fallback)
-    a = G.screen_answers(a, text_col="response_raw", actuals_col="actuals",
-                         start_col="first_date", end_col="last_date", rows_col="n_rows",
-                         skip_grounding_col="_fallback")
-    llm_flags = (F.when(skipped, F.array(F.lit("CIRCUIT_BREAKER_OPEN")))
-                 .when(failed, F.when(F.col("tripped"), F.array(
-                     F.lit("LLM_UNAVAILABLE"), F.lit("CIRCUIT_BREAKER_TRIPPED")))
-                       .otherwise(F.array(F.lit("LLM_UNAVAILABLE"))))
-                 .when(F.col("malformed_retry"), F.array(F.lit("MALFORMED_TOOL_CALL_RETRY"))))
-    a = a.withColumn("_llm_flags", llm_flags)
-
     # history (needs final answers) -> few-shot -> messages -> budget flag
-    a = a.withColumn("prompt", F.col("effective_prompt")) \
-         .withColumn("operation", Q.infer_operation("effective_prompt", "_n_charts")) \
-         .withColumn("result_summary", F.substring(F.coalesce(
-             F.nullif(F.col("final_response"), F.lit("")), F.lit("No response generated")), 1, 200))
-    a = Q.few_shot(a, bucket=bucket)
-    a = a.withColumn("_profile_text", PR.profile_text(a))
-    a = a.withColumn("messages", M.build_messages("_profile_text", "text_summary", "few_shot",
-                                                  "effective_prompt"))
+    a = with_messages(answered(known.where("input_passed"), owners, responses, bucket), bucket)
     a = a.withColumn("_budget", M.budget_flag(F.col("messages")))
     ans = a.select(
         "request_id", C.USER, "ts", C.NAME,

@@ -103,7 +103,7 @@ ans0 AS (
           LEFT JOIN lm USING (user_id)
 ),
 ans AS (
-  SELECT user_id AS answer_id, ans0.user_id, n_rows, first_date, last_date, acts.actuals,
+  SELECT user_id AS answer_id, ans0.user_id, false AS skip_grounding, n_rows, first_date, last_date, acts.actuals,
     {_fill_answer('tmpl', {
         'cat': "coalesce(parent_category, 'nothing')",
         'cat_amt': cur('coalesce(top_total, 0)'),
@@ -163,7 +163,7 @@ sa AS (
 ),
 sb AS (
   SELECT *,
-    CASE WHEN len(details) > 0 THEN list_concat(['POTENTIAL_HALLUCINATION'], details[1:3])
+    CASE WHEN len(details) > 0 AND NOT skip_grounding THEN list_concat(['POTENTIAL_HALLUCINATION'], details[1:3])
          ELSE []::VARCHAR[] END AS hall
   FROM sa
 ),
