@@ -31,7 +31,8 @@ def test_owner_card_one_pass(spark):
     from ledgerlens.operators import profile as PR
     from ledgerlens.sources.ledger import driver_ledger
     plan = _final_plan(PR.owner_cards(driver_ledger(spark, SF)))
-    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 2
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) == 3   # aggregate, bounded merchants, owner
+    assert plan.count("WindowGroupLimit") >= 2              # a hot owner's merchants are cut before the shuffle
     assert plan.count("Scan parquet") <= 5                  # each of the 5 tables once
     assert "SortAggregate" not in plan and "Expand" in plan
 
