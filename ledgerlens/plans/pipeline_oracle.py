@@ -195,7 +195,7 @@ SELECT request_id, user_id, CAST(coalesce(len(prev), 0) AS BIGINT) AS n_previous
 ORACLE["build_messages"] = _MSG + f"""
 SELECT request_id, user_id, CAST(len(messages) AS BIGINT) AS n_messages,
   array_to_string(list_transform(messages, lambda m: m.role), ',') AS roles,
-  sha256(array_to_string({_CONTENTS}, chr(1))) AS content_sha256 FROM budget"""
+  sha256(array_to_string({_CONTENTS}, chr(0))) AS content_sha256 FROM budget"""
 
 ORACLE["token_budget"] = _MSG + """
 SELECT request_id, context_tokens, message_tokens, budget_flag FROM budget"""
