@@ -25,16 +25,18 @@ def _inc():
     return F.col(C.AMOUNT) < 0
 
 
-def daily_rollup(ledger: DataFrame) -> DataFrame:
-    """(owner, day, parent) -> expense/income sums and row counts.
+def daily_rollup(ledger: DataFrame, by_parent: bool = True) -> DataFrame:
+    """(owner, day, parent) -> expense/income sums and row counts; without
+    ``by_parent`` (owner, day), for series that read no category.
 
     The base of all windowed series: the lookback cutoff is a date, so the
     daily grain keeps its semantics exactly, while a hot owner shrinks to at
     most days x parents rows before any per-owner window sees it.
     """
-    return (ledger
-            .withColumn(C.PARENT, X.parent_category(C.CATEGORY))
-            .groupBy(C.USER, F.col(C.DATE).alias(C.DAY), C.PARENT)
+    keys = [C.USER, F.col(C.DATE).alias(C.DAY)]
+    if by_parent:
+        keys.append(X.parent_category(C.CATEGORY).alias(C.PARENT))
+    return (ledger.groupBy(*keys)
             .agg(F.sum(F.when(_exp(), F.col(C.AMOUNT))).alias("expense"),
                  F.sum(F.when(_inc(), F.col(C.AMOUNT))).alias("income"),
                  F.count_if(_exp()).alias("n_expense"),
@@ -92,13 +94,18 @@ def top_merchants(ledger: DataFrame, k: int = 10) -> DataFrame:
 
 # --- A5-A8, A10, A17, A18 --------------------------------------------------
 
-def owner_totals(ledger: DataFrame) -> DataFrame:
-    """One conditional-aggregate pass: totals, counts, mean, date ranges."""
+def owner_totals(ledger: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """One conditional-aggregate pass: totals, counts, mean, date ranges.
+
+    ``names``: an (owner, name) table with one row per owner, joined after the
+    aggregate, which then stays hash-based; without it the name is the
+    smallest one among the owner's rows."""
     sum_exp = F.sum(F.when(_exp(), F.col(C.AMOUNT)))
     sum_inc = F.sum(F.when(_inc(), F.col(C.AMOUNT)))
     n_exp = F.count_if(_exp())
-    return ledger.groupBy(C.USER).agg(
-        F.min(C.NAME).alias(C.NAME),
+    name = [F.min(C.NAME).alias(C.NAME)] if names is None else []
+    out = ledger.groupBy(C.USER).agg(
+        *name,
         F.count(F.lit(1)).alias("n_rows"),
         n_exp.alias("n_expense"),
         F.count_if(_inc()).alias("n_income"),
@@ -113,6 +120,7 @@ def owner_totals(ledger: DataFrame) -> DataFrame:
         F.when(F.col("n_expense") > 0,
                X.cents(F.col("total_expense").cast("double") / F.col("n_expense")))
         .otherwise(F.lit(0.0)))
+    return out if names is None else out.join(names, C.USER)
 
 
 def avg_monthly_spend_expr() -> "F.Column":
@@ -141,9 +149,12 @@ def amount_describe(ledger: DataFrame) -> DataFrame:
         X.cents(F.sum(C.AMOUNT).cast("double") / F.count(C.AMOUNT)).alias("mean_amount"))
 
 
-def roster(ledger: DataFrame) -> DataFrame:
-    """Distinct (owner, name) sorted by name, with the 'name (id)' label."""
-    return (ledger.select(C.USER, C.NAME).distinct()
+def roster(ledger: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Distinct (owner, name) sorted by name, with the 'name (id)' label.
+    ``names``: an (owner, name) table to join the distinct owners with."""
+    pairs = (ledger.select(C.USER, C.NAME).distinct() if names is None
+             else ledger.select(C.USER).distinct().join(names, C.USER))
+    return (pairs
             .withColumn("label", F.concat(F.col(C.NAME), F.lit(" ("), F.col(C.USER), F.lit(")")))
             .orderBy(C.NAME, C.USER))
 

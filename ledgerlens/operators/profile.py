@@ -285,10 +285,10 @@ def actual_values(ledger: DataFrame) -> DataFrame:
         F.transform(summary_entries(), lambda e: e["value"]).alias("actuals"))
 
 
-def no_data_answers(ledger: DataFrame, owners: DataFrame) -> DataFrame:
-    """M7 text for owners whose requested window is empty."""
-    t = A.owner_totals(ledger).join(owners, C.USER, "left_semi")
-    return t.select(
+def no_data_answers(owners: DataFrame, names: DataFrame) -> DataFrame:
+    """M7 text for owners whose requested window is empty: rows of
+    ``series.owners_without_data`` and an (owner, name) table."""
+    return owners.join(names, C.USER).select(
         C.USER,
         fill(NO_DATA_TEMPLATE, name=F.col(C.NAME),
              start=F.date_format("first_date", "yyyy-MM-dd"),

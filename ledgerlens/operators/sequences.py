@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import patterns as P
 
-DEFAULT_BUCKET = "hour"
+#: Results do not depend on the bucket. Rows of one (key, bucket) are sorted in
+#: one task, so a busy log wants a fine one; a key has one summary row a bucket.
+DEFAULT_BUCKET = "minute"
 
 
 def infer_operation(prompt, n_charts) -> Column:

@@ -39,8 +39,11 @@ def _monthly(df: DataFrame, aggs: dict) -> DataFrame:
 
 def monthly_spend(ledger: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
     """Zero-filled monthly expense over all of an owner's expense rows (A3)."""
-    r = rollup if rollup is not None else A.daily_rollup(ledger)
-    m = _monthly(r.where(F.col("n_expense") > 0), {"expense": F.sum("expense")})
+    if rollup is not None:
+        m = _monthly(rollup.where(F.col("n_expense") > 0), {"expense": F.sum("expense")})
+    else:                                  # no window: one shuffle at the month grain
+        m = _monthly(FL.expenses(ledger).withColumnRenamed(C.DATE, C.DAY),
+                     {"expense": F.sum(C.AMOUNT)})
     return (zero_filled_months(m, ["expense"])
             .withColumn("month_key", X.month_key(C.MONTH)))
 
@@ -50,7 +53,7 @@ def monthly_trend(ledger: DataFrame, months: int = 1, category: str | None = Non
     """Lookback -> expenses -> optional parent filter -> zero-filled
     months -> 3-month rolling mean (min_periods=1), only when the series has
     at least 3 months; the mean is left unrounded (Q13)."""
-    r = rollup if rollup is not None else A.daily_rollup(ledger)
+    r = rollup if rollup is not None else A.daily_rollup(ledger, bool(category))
     win = A.windowed_rollup(r, months).where(F.col("n_expense") > 0)
     win = FL.in_parent(win, category)
     m = _monthly(win, {"total": F.sum("expense")})
@@ -69,7 +72,7 @@ def income_vs_expense(ledger: DataFrame, months: int = 6, show_net_line: bool =
                       rollup: DataFrame | None = None) -> DataFrame:
     """Both signs in one pass per month; the spine spans all remaining
     rows of the window (income, expense or zero amounts)."""
-    r = rollup if rollup is not None else A.daily_rollup(ledger)
+    r = rollup if rollup is not None else A.daily_rollup(ledger, by_parent=False)
     win = A.windowed_rollup(r, months)
     m = _monthly(win, {
         "income": F.coalesce(-F.sum("income"), F.lit(0).cast(C.MONEY_TYPE)),
@@ -91,11 +94,14 @@ def avg_monthly_spend(ledger: DataFrame) -> DataFrame:
 def owners_without_data(ledger: DataFrame, months: int, expense_only: bool = True,
                         category: str | None = None,
                         rollup: DataFrame | None = None) -> DataFrame:
-    """C4: owners whose chart window holds no (expense) rows -> 'no data'."""
-    r = rollup if rollup is not None else A.daily_rollup(ledger)
-    win = A.windowed_rollup(r, months)
+    """C4: owners whose chart window holds no (expense) rows -> 'no data',
+    with the date range of all their rows."""
+    r = rollup if rollup is not None else A.daily_rollup(ledger, bool(category))
+    r = r.withColumn("ref_date", F.max(C.DAY).over(Window.partitionBy(C.USER)))
     hit = F.col("n_expense") > 0 if expense_only else F.col("n_rows") > 0
     if category:
         hit = hit & (F.col(C.PARENT) == F.lit(category.upper()))
-    return (win.groupBy(C.USER).agg(F.count_if(hit).alias("n_hits"))
-            .where(F.col("n_hits") == 0).select(C.USER))
+    hit = hit & (F.col(C.DAY) >= FL.cutoff_expr("ref_date", months))
+    return (r.groupBy(C.USER).agg(F.count_if(hit).alias("n_hits"),
+                                  F.min(C.DAY).alias("first_date"), F.max(C.DAY).alias("last_date"))
+            .where(F.col("n_hits") == 0).drop("n_hits"))

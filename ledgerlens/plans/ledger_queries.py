@@ -15,7 +15,7 @@ from ..operators import aggregates as A
 from ..operators import filters as FL
 from ..operators import profile as P
 from ..operators import series as S
-from ..sources.ledger import driver_ledger
+from ..sources.ledger import driver_ledger, driver_names
 
 TREND_CATEGORY = "brand#13"   # filter argument; compared upper-cased (Q14)
 
@@ -25,7 +25,7 @@ def _money(*names):
 
 
 def roster(spark: SparkSession, d: str) -> DataFrame:
-    return A.roster(driver_ledger(spark, d, need=(C.NAME,)))
+    return A.roster(driver_ledger(spark, d, need=()), driver_names(spark, d))
 
 
 def available_users(spark: SparkSession, d: str) -> DataFrame:
@@ -41,8 +41,8 @@ def category_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lookback_rows(spark: SparkSession, d: str) -> DataFrame:
-    L = driver_ledger(spark, d)
-    out = FL.lookback_rows(L, FL.period_months("last_3_months"))
+    months = FL.period_months("last_3_months")
+    out = driver_ledger(spark, d, rows=lambda facts: FL.lookback_rows(facts, months))
     return out.select(C.USER, C.NAME, C.DATE, *_money(C.AMOUNT), C.CATEGORY, C.MERCHANT,
                       "ref_date", "cutoff_date")
 
@@ -63,7 +63,7 @@ def sign_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def totals(spark: SparkSession, d: str) -> DataFrame:
-    t = A.owner_totals(driver_ledger(spark, d, need=(C.NAME,)))
+    t = A.owner_totals(driver_ledger(spark, d, need=()), driver_names(spark, d))
     return t.select(
         C.USER, C.NAME, "n_rows", "n_expense", "n_income",
         *_money("total_expense"),
@@ -118,7 +118,7 @@ def monthly_spend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _trend(spark, d, months, category):
-    need = (C.CATEGORY,)   # parent feeds the rollup key even without a filter
+    need = (C.CATEGORY,) if category else ()
     t = S.monthly_trend(driver_ledger(spark, d, need=need), months, category)
     return t.select(C.USER, C.MONTH, "label", *_money("total"), "avg3", "title")
 
@@ -132,7 +132,7 @@ def monthly_trend_category(spark: SparkSession, d: str) -> DataFrame:
 
 
 def income_vs_expense(spark: SparkSession, d: str) -> DataFrame:
-    t = S.income_vs_expense(driver_ledger(spark, d, need=(C.CATEGORY,)), 6, True)
+    t = S.income_vs_expense(driver_ledger(spark, d, need=()), 6, True)
     return t.select(C.USER, C.MONTH, "label", *_money("income", "expense", "net"))
 
 
@@ -141,9 +141,9 @@ def avg_monthly_spend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def users_without_data(spark: SparkSession, d: str) -> DataFrame:
-    L = driver_ledger(spark, d, need=(C.NAME, C.CATEGORY))
+    L = driver_ledger(spark, d, need=())
     none = S.owners_without_data(L, FL.period_months("last_1_month"))
-    return P.no_data_answers(L, none)
+    return P.no_data_answers(none, driver_names(spark, d))
 
 
 PROFILE_NEEDS = (C.NAME, C.CATEGORY)    # profiles read no merchant: no supplier join

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import columns as C
@@ -67,8 +67,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def owner_id(key: str) -> Column:
+    return F.concat(F.lit("usr_"), F.col(key).cast("string")).alias(C.USER)
+
+
 def driver_ledger(spark: SparkSession, sf_dir: str,
-                  need=(C.NAME, C.CATEGORY, C.MERCHANT)) -> DataFrame:
+                  need=(C.NAME, C.CATEGORY, C.MERCHANT), rows=None) -> DataFrame:
     """Ledger rows from the TPC-H-like tables: one row per line item.
 
     owner = order customer, date = order date, amount = extended price
@@ -78,12 +82,22 @@ def driver_ledger(spark: SparkSession, sf_dir: str,
     Dimension joins are added only for the columns a query needs: Spark does
     not drop an inner join nobody reads from, and at 100 TB each one is a
     full shuffle of the fact side. Keys are complete foreign keys, so the
-    row set does not change.
+    row set does not change. ``rows`` (frame of owner, date and amount ->
+    frame) filters the facts before any dimension is joined; columns that it
+    adds are kept.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    df = li.join(od, li.l_orderkey == od.o_orderkey)
+    amount = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")) \
+        .otherwise(F.col("l_extendedprice")).cast(C.MONEY_TYPE)
+    df = li.join(od, li.l_orderkey == od.o_orderkey).select(
+        "l_partkey", "l_suppkey", "o_custkey", owner_id("o_custkey"),
+        F.col("o_orderdate").cast("date").alias(C.DATE), amount.alias(C.AMOUNT))
+    facts = df.columns
+    if rows is not None:
+        df = rows(df)
+    added = [c for c in df.columns if c not in facts]
     if C.NAME in need:
         cu = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
         df = df.join(cu, df.o_custkey == cu.c_custkey)
@@ -93,17 +107,21 @@ def driver_ledger(spark: SparkSession, sf_dir: str,
     if C.MERCHANT in need:
         su = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
         df = df.join(su, df.l_suppkey == su.s_suppkey)
-    amount = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")) \
-        .otherwise(F.col("l_extendedprice")).cast(C.MONEY_TYPE)
-    cols = [F.concat(F.lit("usr_"), F.col("o_custkey").cast("string")).alias(C.USER)]
+    cols = [F.col(C.USER)]
     cols.append(F.col("c_name").alias(C.NAME) if C.NAME in need
                 else F.lit(None).cast("string").alias(C.NAME))
-    cols += [F.col("o_orderdate").cast("date").alias(C.DATE), amount.alias(C.AMOUNT)]
+    cols += [F.col(C.DATE), F.col(C.AMOUNT)]
     cols.append(F.concat(F.col("p_type"), F.lit("_"), F.upper(F.col("p_brand"))).alias(C.CATEGORY)
                 if C.CATEGORY in need else F.lit(None).cast("string").alias(C.CATEGORY))
     cols.append(F.col("s_name").alias(C.MERCHANT) if C.MERCHANT in need
                 else F.lit(None).cast("string").alias(C.MERCHANT))
-    return df.select(*cols)
+    return df.select(*cols, *added)
+
+
+def driver_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(owner, name) of every customer."""
+    cu = read_table(spark, sf_dir, "customer")
+    return cu.select(owner_id("c_custkey"), F.col("c_name").alias(C.NAME))
 
 
 def roster_users(ledger: DataFrame) -> DataFrame:

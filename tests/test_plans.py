@@ -43,3 +43,21 @@ def test_no_python_udf_in_any_query(spark):
         plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
         for node in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas"):
             assert node not in plan, (name, node)
+
+
+def test_series_read_no_dimension_they_do_not_output(spark):
+    import __spark_entry__ as E
+    for name in ("monthly_trend", "income_vs_expense", "monthly_spend", "users_without_data"):
+        plan = _final_plan(E.queries()[name](spark, SF))
+        assert "p_partkey" not in plan and "s_suppkey" not in plan, name
+        assert "SortAggregate" not in plan, name
+    plan = _final_plan(E.queries()["totals"](spark, SF))
+    assert "SortAggregate" not in plan
+
+
+def test_lookback_filters_before_dimensions(spark):
+    import __spark_entry__ as E
+    df = E.queries()["lookback_rows"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("p_partkey#") and len(re.findall(r"Relation \[p_partkey", plan)) == 1
+    assert len(re.findall(r"Relation \[s_suppkey", plan)) == 1
