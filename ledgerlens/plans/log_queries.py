@@ -10,6 +10,7 @@ from ..operators import llm_tables as L
 from ..operators import screening as G
 from ..operators import sequences as Q
 from ..sources import derived as D
+from ..session import cut_lineage
 from ..sources.ledger import driver_ledger, read_table
 from . import pipeline as PL
 
@@ -44,12 +45,12 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
         "n_charts")
 
 
-def answer_log(spark: SparkSession, d: str) -> DataFrame:
+def answer_log(spark: SparkSession, d: str, columns: list[str] = PL.ANSWERED) -> DataFrame:
     """Answered requests with their final answer (after fallback, replacement,
     chart summary and notes): what history and message contexts quote."""
     owners = PL.owner_tables(driver_ledger(spark, d))["cards"]
-    passed = G.screen_prompts(D.requests(spark, d)).where("input_passed")
-    return PL.answered(passed, owners, D.responses(spark, d))
+    passed = cut_lineage(G.screen_prompts(D.requests(spark, d)).where("input_passed"))
+    return PL.answered(passed, owners, D.responses(spark, d), columns=columns)
 
 
 def unknown_users(spark: SparkSession, d: str) -> DataFrame:
@@ -82,14 +83,12 @@ def route_tool_calls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recent_history(spark: SparkSession, d: str) -> DataFrame:
-    h = Q.recent_history(answer_log(spark, d).select(
-        "request_id", C.USER, "ts", "prompt", "operation", "result_summary"))
+    h = Q.recent_history(answer_log(spark, d, PL.HISTORY))
     return h.select(C.USER, "request_id", "position", "prompt", "operation", "result_summary")
 
 
 def few_shot(spark: SparkSession, d: str) -> DataFrame:
-    f = Q.few_shot(answer_log(spark, d).select(
-        "request_id", C.USER, "ts", "prompt", "operation", "result_summary"))
+    f = Q.few_shot(answer_log(spark, d, PL.HISTORY))
     return f.select("request_id", C.USER, F.size("prev").cast("bigint").alias("n_previous"),
                     "few_shot")
 

@@ -11,9 +11,11 @@ answer_requests(requests, ledger, responses) -> one result row per request:
    flag                                                                R1
 4. flags concatenated in stage order                                   U3
 
-Shuffles: one on owner for the per-owner tables, one on request_id for the
-response join; per-owner tables are small per owner and joined to requests
-(AQE broadcasts them when they fit the broadcast threshold).
+Frames that several later steps read are written once to the checkpoint
+folder (owner cards, parsed responses, screened requests, final answers), so
+no step derives them anew and plans stay small. Per-owner tables are small per
+owner and joined to requests (AQE broadcasts them when they fit the broadcast
+threshold).
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from ..operators import messages as M
 from ..operators import profile as PR
 from ..operators import screening as G
 from ..operators import sequences as Q
+from ..session import cut_lineage
 
 EMPTY = "array<string>"
 
@@ -39,28 +42,36 @@ def _flags(*parts) -> F.Column:
 def owner_tables(ledger: DataFrame) -> dict[str, DataFrame]:
     """Per-owner input of the pipeline: ONE card per owner carrying the
     profile, the summary text and the verified numbers (one pass over the
-    ledger via grouping sets)."""
+    ledger via grouping sets), written once."""
     has_merchants = C.MERCHANT in ledger.columns
     cards = (PR.owner_cards(ledger)
              .withColumn("text_summary", PR.summary_text(has_merchants))
              .withColumn("actuals", F.transform(PR.summary_entries(), lambda e: e["value"])))
-    return {"cards": cards}
+    return {"cards": cut_lineage(cards)}
+
+
+#: What the history, the message context and the result rows read of an answer.
+HISTORY = ["request_id", C.USER, "ts", "prompt", "operation", "result_summary"]
+ANSWERED = [*HISTORY, C.NAME, "final_response", "visualizations", "cache_hit", "latency_ms",
+            "input_flag", "_llm_flags", "output_flags", "effective_prompt", "_profile_text",
+            "text_summary"]
 
 
 def answered(passed: DataFrame, owners: DataFrame, responses: DataFrame,
-             bucket: str = Q.DEFAULT_BUCKET) -> DataFrame:
+             bucket: str = Q.DEFAULT_BUCKET, columns: list[str] = ANSWERED) -> DataFrame:
     """R1 for screened requests that passed, up to the final answer: fallback,
     chart summary, output screening, and what the history keeps of it (prompt,
-    operation, result_summary). ``owners``: the cards of ``owner_tables``."""
+    operation, result_summary). ``owners``: the cards of ``owner_tables``;
+    ``passed`` is read twice. The ``columns`` of the answers are written once."""
     ok = Q.cache_hits(passed)
-    resp = L.parse_responses(responses.select("request_id", "status", "provider", "raw_json",
-                                              F.col("instance_id").alias("_instance"),
-                                              F.col("ts").alias("_call_ts")))
+    parsed = cut_lineage(L.parse_responses(responses).select(
+        "request_id", "instance_id", "ts", "status", "llm_text", "tool_calls", "malformed_retry"))
+    resp = parsed.drop("instance_id", "ts", "tool_calls")
     breaker = Q.failure_runs(
-        responses.select("request_id", "instance_id", "ts", "status"),
+        parsed.select("request_id", "instance_id", "ts", "status"),
         key="instance_id", tie="request_id", bucket=bucket).select(
         "request_id", "tripped")
-    routed = L.route_tool_calls(resp).where("success")
+    routed = L.route_tool_calls(parsed).where("success")
     charts = routed.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(
         "call_pos", "chart_type", "description"))).alias("_charts"))
     a = (ok.join(resp, "request_id", "left").join(breaker, "request_id", "left")
@@ -85,23 +96,18 @@ def answered(passed: DataFrame, owners: DataFrame, responses: DataFrame,
                      F.lit("LLM_UNAVAILABLE"), F.lit("CIRCUIT_BREAKER_TRIPPED")))
                        .otherwise(F.array(F.lit("LLM_UNAVAILABLE"))))
                  .when(F.col("malformed_retry"), F.array(F.lit("MALFORMED_TOOL_CALL_RETRY"))))
-    return (a.withColumn("_llm_flags", llm_flags)
+    a = (a.withColumn("_llm_flags", llm_flags)
             .withColumn("prompt", F.col("effective_prompt"))
             .withColumn("operation", Q.infer_operation("effective_prompt", "_n_charts"))
             .withColumn("result_summary", F.substring(F.coalesce(
                 F.nullif(F.col("final_response"), F.lit("")), F.lit("No response generated")), 1, 200))
             .withColumn("_profile_text", PR.profile_text(a)))
-
-
-#: What the history, the message context and the result rows read of an answer.
-ANSWERED = ["request_id", C.USER, "ts", C.NAME, "final_response", "visualizations", "cache_hit",
-            "latency_ms", "input_flag", "_llm_flags", "output_flags", "effective_prompt", "prompt",
-            "operation", "result_summary", "_profile_text", "text_summary"]
+    return cut_lineage(a.select(*columns))
 
 
 def with_messages(a: DataFrame, bucket: str = Q.DEFAULT_BUCKET) -> DataFrame:
     """Answered requests with their few-shot block and message context."""
-    a = Q.few_shot(a.select(*ANSWERED), bucket=bucket)
+    a = Q.few_shot(a, bucket=bucket)
     return a.withColumn("messages", M.build_messages("_profile_text", "text_summary", "few_shot",
                                                      "effective_prompt"))
 
@@ -109,18 +115,12 @@ def with_messages(a: DataFrame, bucket: str = Q.DEFAULT_BUCKET) -> DataFrame:
 def answer_requests(requests: DataFrame, ledger: DataFrame, responses: DataFrame,
                     bucket: str = Q.DEFAULT_BUCKET,
                     tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    t = tables if tables is not None else owner_tables(ledger)
-    owners = t["cards"]
-    if tables is not None:                 # materialised card: cheap to re-read
-        users = owners.select(C.USER)
-        names = owners.select(C.USER, F.col(C.NAME).alias("_name"))
-    else:                                  # lazy plan: keep the card out of side branches
-        users = ledger.select(C.USER).distinct()
-        names = (ledger.select(C.USER, C.NAME).distinct()
-                 .groupBy(C.USER).agg(F.min(C.NAME).alias("_name")))
+    owners = (tables or owner_tables(ledger))["cards"]
+    users = owners.select(C.USER)
+    names = owners.select(C.USER, F.col(C.NAME).alias("_name"))
 
     unknown = requests.join(users, C.USER, "left_anti")
-    known = G.screen_prompts(requests.join(users, C.USER, "left_semi"))
+    known = cut_lineage(G.screen_prompts(requests.join(users, C.USER, "left_semi")))
 
     # --- R2: unknown owner ---------------------------------------------------
     err = unknown.select(
@@ -190,14 +190,10 @@ def write_audit(audit: DataFrame, path: str, batch_id: str = "0") -> None:
 
 def run_batch(requests: DataFrame, ledger: DataFrame, responses: DataFrame, out_dir: str,
               bucket: str = Q.DEFAULT_BUCKET, batch_id: str = "0") -> DataFrame:
-    """Batch job: per-owner tables are computed once and checkpointed to the
-    cluster's shared checkpoint folder (reliable, survives executor loss),
-    so the request stages join small materialised tables instead of
-    re-deriving them from the ledger; results go to parquet, audit records
+    """Batch job: results are checkpointed to the cluster's shared checkpoint
+    folder (reliable, survives executor loss) and go to parquet, audit records
     to the batch's folder of the JSON sink."""
-    from ..session import cut_lineage
-    tables = {k: cut_lineage(v) for k, v in owner_tables(ledger).items()}
-    results = cut_lineage(answer_requests(requests, ledger, responses, bucket, tables))
+    results = cut_lineage(answer_requests(requests, ledger, responses, bucket))
     results.write.mode("overwrite").parquet(f"{out_dir}/results")
     write_audit(audit_records(results), f"{out_dir}/audit", batch_id)
     return results
