@@ -1,23 +1,31 @@
-"""Katz back-off language model (operator 9), bigrams over unigrams.
-
-P(w | h) = d(c) * c(h, w) / Z(h) for a pair seen in training, else
-alpha(h) * P(w), where d is the Good-Turing discount of counts up to 5, P(w) =
-(c(w) + 0.5) / (N + 0.5 * (V + 1)) spreads over the V known words and one
-unknown word, and alpha(h) = (1 - sum of seen P(. | h)) / (1 - sum of seen
-P(.)) normalises exactly: both sums run over integers (how many pairs of a
-history have count 1 to 5 or more, and the words' counts), so no rounding
-depends on the order of rows. Z(h) is c(h), or c(h) + 1 where no count of h is
-discounted, so that every history keeps something for unseen words. A history
-that training never saw backs off whole (alpha 1).
+"""Katz back-off language model of any order (operator 9).
+
+With c the counts of training, h a history of n - 1 words and h' the same
+without its first word,
+
+    P(w | h) = d_n(c(h w)) * c(h w) / Z(h)    where training has h w,
+    P(w | h) = alpha(h) * P(w | h')           else, down to one word:
+    P(w) = (c(w) + 0.5) / (N + 0.5 * (V + 1)),
+
+spread over the V known words and one unknown word. d_n is the Good-Turing
+discount of counts up to 5 among the runs of n words. alpha(h) = (1 - sum of
+seen P(. | h)) / (1 - sum of the same words' P(. | h')) normalises exactly:
+what follows h also follows h', so both sums run over integers (how many runs
+have count 1 to 5, or more, and their totals), and no rounding depends on the
+order of rows. Z(h) is c(h), or c(h) + 1 where no count of h is discounted, so
+that every history keeps something for unseen words. A history that training
+never saw backs off whole (alpha 1). Texts are preceded by order - 1 start
+words and followed by one end word.
 
 Counts cover all training rows. They live in tables partitioned by the hash of
-a word or pair and travel as packed lists (see ``exchange``): a chunk of
-documents lists its words and pairs with its own training counts; a bucket
-totals them and answers; chunks give, for pairs they list first, what alpha
-needs by history; buckets total that; chunks score each distinct pair once,
-recursing to the unigram where the pair is unseen, and sum over their tokens.
+a run of words and travel as packed lists (see ``exchange``): a chunk of
+documents lists its runs of 1 to ``order`` words with its own training counts;
+a bucket totals them and answers; chunks give, for runs they list first, what
+alpha needs by history; buckets total that, for all orders at once; chunks
+score each distinct run once, recursing to the shorter one where it is unseen,
+and sum over their tokens.
 
-Words are compared by 64-bit hashes, pairs by a 64-bit hash of two of them.
+Words are compared by 64-bit hashes, longer runs by a 64-bit hash of those.
 
 Defined cases: a null or empty text is one end token; rows without an id are
 rows like others (their training flag decides); a null training flag is false;
@@ -40,42 +48,64 @@ from .substrings import BASE, WordHashes
 START, END = np.uint64(1), np.uint64(2)
 K = 5  # counts up to K are discounted
 CHUNK = "__chunk"
-ROW = "chunk long, bucket int, kind int, a binary, b binary, c binary, stats array<long>"
+ROW = "chunk long, bucket int, kind int, a binary, b binary, stats array<long>"
+
+
+def start_key(n: int) -> np.uint64:
+    """Key of the run of n start words."""
+    return _keys([np.array([START])] * n)[0]
+
+
+def _keys(words: list[np.ndarray]) -> np.ndarray:
+    """Keys of runs of words, given their last words, the words before, ..."""
+    if len(words) == 1:
+        return words[0]
+    value = words[-1]
+    for w in words[-2::-1]:
+        value = value * BASE + w
+    return mix(value)
 
 
 class Tokens:
-    """Keys of a chunk's tokens, their distinct words, pairs and histories."""
+    """Keys of a chunk's runs of words. At index n of each list: the distinct
+    runs of n words (sorted keys), which of them ends at each place, and of
+    each distinct run its history (a run of n - 1), its last n - 1 words and
+    whether it has a token (the start words before a text have none)."""
 
-    def __init__(self, docs: list[bytes]):
+    def __init__(self, docs: list[bytes], order: int):
         hashes = WordHashes()
         rows = []
         for d in docs:
+            rows.append(np.array([START], np.uint64))
             rows.append(np.fromiter(map(hashes.__getitem__, d.lower().split()), np.uint64))
             rows.append(np.array([END], np.uint64))
-        self.flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-        self.counts = np.array([len(r) + 1 for r in rows[::2]], np.int64)
-        before = np.empty_like(self.flat)
-        before[1:] = self.flat[:-1]
-        before[np.cumsum(self.counts) - self.counts] = START
-        self.words, self.word_of = np.unique(self.flat, return_inverse=True)
-        self.pairs, first, self.pair_of = np.unique(mix(before * BASE + self.flat),
-                                                    return_index=True, return_inverse=True)
-        self.histories, history_of = np.unique(before, return_inverse=True)
-        # of each distinct pair: its word and its history
-        self.pair_word, self.pair_history = self.word_of[first], history_of[first]
-
-    def trained(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        on = np.repeat(train, self.counts)
-        return (np.bincount(self.word_of[on], minlength=len(self.words)),
-                np.bincount(self.pair_of[on], minlength=len(self.pairs)))
-
-    def history_counts(self, word_totals: np.ndarray, n_docs: int) -> np.ndarray:
-        """c(h): a word's total (each is followed by a token), or for the
-        start of a text the number of training texts."""
-        at = np.minimum(np.searchsorted(self.words, self.histories), max(len(self.words) - 1, 0))
-        out = np.where(self.words[at] == self.histories, word_totals[at], 0) if len(self.words) else \
-            np.zeros(0, np.int64)
-        return np.where(self.histories == START, n_docs, out)
+        flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+        self.sizes = np.array([len(r) + 2 for r in rows[1::3]], np.int64)
+        begin = np.cumsum(self.sizes) - self.sizes
+        self.counts = self.sizes - 1
+        self.token = np.ones(len(flat), bool)
+        self.token[begin] = False
+        self.runs, self.run_of, self.history, self.shorter, self.real = [None], [None], [None], [None], [None]
+        words = []
+        for n in range(1, order + 1):
+            if n == 1:
+                words.append(flat)
+            else:
+                before = np.empty_like(flat)
+                before[1:] = words[-1][:-1]
+                before[begin] = START
+                words.append(before)
+            runs, first, which = np.unique(_keys(words), return_index=True, return_inverse=True)
+            self.runs.append(runs)
+            self.run_of.append(which)
+            self.real.append(runs != start_key(n))
+            self.history.append(self.run_of[n - 1][first - 1] if n > 1 else None)  # of no use where not real
+            self.shorter.append(self.run_of[n - 1][first] if n > 1 else None)
+
+    def trained(self, train: np.ndarray) -> list[np.ndarray]:
+        """Training counts of the distinct runs of 1, 2, ... words."""
+        on = np.repeat(train, self.sizes)
+        return [np.bincount(w[on], minlength=len(r)) for w, r in zip(self.run_of[1:], self.runs[1:])]
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -91,154 +121,231 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return d
 
 
-def _rows(chunk, kind, columns, stats=None):
-    """Packed rows of one chunk, one a bucket."""
-    n = len(columns[0])
-    fill = [*columns, *[[None] * n] * (3 - len(columns))]
-    return pa.table({"chunk": pa.array([chunk] * n, pa.int64()), "bucket": pa.array(range(n), pa.int32()),
-                     "kind": pa.array([kind] * n, pa.int32()),
-                     **{c: pa.array(v, pa.binary()) for c, v in zip("abc", fill)},
-                     "stats": pa.array([stats or []] * n, pa.list_(pa.int64()))})
+class Model:
+    """N, V and for each n the discounts, from the sums of all buckets."""
+
+    def __init__(self, stats: list[int]):
+        self.n, self.v = stats[:2]
+        self.d = [None, None, *[discounts(np.array([0, *stats[k:k + K + 1]])) for k in range(2, len(stats), K + 1)]]
+
+    def base(self, words, runs=1):
+        """Sum of P(w) over so many words with so many training tokens."""
+        return (words + 0.5 * runs) / (self.n + 0.5 * (self.v + 1))
+
+
+def _framed(blobs) -> bytes:
+    return b"".join(len(x).to_bytes(4, "little") + x for x in blobs)
 
 
-def _cut(keys, n_buckets, *arrays):
-    """Packed keys and squeezed arrays (aligned with them), by bucket."""
-    edges = bucket_edges(keys, n_buckets)
-    spans = list(zip(edges, edges[1:]))
-    return [[pack(keys[a:b]) for a, b in spans], *[[squeeze(x[a:b]) for a, b in spans] for x in arrays]]
+def _frames(blob: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at:at + 4], "little")
+        out.append(blob[at + 4:at + 4 + n])
+        at += 4 + n
+    return out
 
 
-def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Learns from the rows where ``train_col`` is true and scores all rows:
-    n_tokens, n_known (c > 0), train_tokens (N), base_score (unigram) and score
-    (Katz), log10 probabilities of the whole text."""
+def _rows(chunks, buckets, kind, a, b, stats):
+    """Packed rows, one for each chunk and bucket; a and b are lists of blobs."""
+    n = len(a)
+    return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array(buckets, pa.int32()),
+                     "kind": pa.array([kind] * n, pa.int32()), "a": pa.array(map(_framed, a), pa.binary()),
+                     "b": pa.array(map(_framed, b), pa.binary()), "stats": pa.array([stats] * n, pa.list_(pa.int64()))})
+
+
+def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text",
+          order: int = 2, tables: str | None = None) -> DataFrame:
+    """Learns runs of up to ``order`` words from the rows where ``train_col``
+    is true and scores all rows: n_tokens, n_known (c > 0), train_tokens (N),
+    base_score (single words) and score (Katz), log10 probabilities of the
+    whole text. With ``tables``, a folder that all machines share, the counts
+    are also written there at once, as parquet with the columns run (key) and
+    count in a folder for each n; files are ranges of keys."""
     check_columns(df, id_col, text_col, train_col)
+    if order < 2:
+        raise ValueError("order must be 2 at least")
     bounded_batches(df.sparkSession)
     least = parts(df.sparkSession)
     size = int(df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
     n_chunks, n_buckets = max(least, -(-size // CHUNK_BYTES)), max(least, -(-size // BUCKET_BYTES))
     docs = df.withColumn(CHUNK, F.pmod(F.xxhash64(id_col, text_col), F.lit(n_chunks)))
+    longer = range(2, order + 1)
 
     def tokens_of(table):
-        return Tokens(text_bytes(table.column(text_col)))
+        return Tokens(text_bytes(table.column(text_col)), order)
 
-    def train_of(table):
-        return np.array([bool(x) for x in table.column(train_col).to_pylist()], bool)
+    def cut(keys, values, how):
+        """Blobs of the values (aligned with sorted keys), one a bucket."""
+        edges = bucket_edges(keys, n_buckets)
+        return [how(values[a:b]) for a, b in zip(edges, edges[1:])]
 
     def lists(key, table):
-        """The chunk's words and pairs with its training counts."""
-        t, train = tokens_of(table), train_of(table)
-        words, pairs = t.trained(train)
-        w, wc = _cut(t.words, n_buckets, words.astype(np.uint32))
-        p, pc = _cut(t.pairs, n_buckets, pairs.astype(np.uint32))
-        both = [len(x).to_bytes(4, "little") + x + y for x, y in zip(w, p)]
-        return _rows(key[0].as_py(), 0, [both, wc, pc], [int(train.sum())])
+        """The chunk's runs with its training counts."""
+        t = tokens_of(table)
+        train = np.array([bool(x) for x in table.column(train_col).to_pylist()], bool)
+        keys = [cut(r, r, pack) for r in t.runs[1:]]
+        counts = [cut(r, c.astype(np.uint32), squeeze) for r, c in zip(t.runs[1:], t.trained(train))]
+        return _rows([key[0].as_py()] * n_buckets, range(n_buckets), 0, list(zip(*keys)), list(zip(*counts)), [])
+
+    def added(n, keys, counts):
+        """A bucket's runs of n words: those of each chunk, the distinct ones,
+        where each comes first, which is which, and their training counts."""
+        own = [unpack(x[n - 1]) for x in keys]
+        distinct, first, which = np.unique(np.concatenate(own), return_index=True, return_inverse=True)
+        total = np.bincount(which, np.concatenate([stretch(x[n - 1], np.uint32) for x in counts]), len(distinct))
+        return own, distinct, first, which, total.astype(np.int64)
+
+    def table_of(key, table):
+        """The rows of a bucket's count tables."""
+        keys, counts = ([_frames(x) for x in table.column(c).to_pylist()] for c in "ab")
+        made = []
+        for n in range(1, order + 1):
+            _, runs, _, _, total = added(n, keys, counts)
+            on = (total > 0) & (runs != start_key(n))
+            made.append(pa.table({"n": pa.array([n] * int(on.sum()), pa.int32()),
+                                  "run": pa.array(runs[on].view(np.int64)), "count": pa.array(total[on])}))
+        return pa.concat_tables(made)
 
     def totals(key, table):
-        """Totals of a bucket's words and pairs, answered to every chunk."""
+        """Totals of a bucket's runs, and which of them a chunk is the first to
+        list, answered to every chunk."""
         table = table.sort_by("chunk")
-        keys = [(unpack(x[4:4 + (n := int.from_bytes(x[:4], "little"))]), unpack(x[4 + n:]))
-                for x in table.column("a").to_pylist()]
-        answers, stats = [], [0] * (K + 4)
-        for k, col in ((0, "b"), (1, "c")):
-            own = [x[k] for x in keys]
-            distinct, first, which = np.unique(np.concatenate(own), return_index=True, return_inverse=True)
-            counts = np.concatenate([stretch(x, np.uint32) for x in table.column(col).to_pylist()])
-            total = np.bincount(which, counts, len(distinct)).astype(np.int64)
+        keys = [_frames(x) for x in table.column("a").to_pylist()]
+        counts = [_frames(x) for x in table.column("b").to_pylist()]
+        sums, firsts, stats = [], [], []
+        for n in range(1, order + 1):
+            own, distinct, first, which, total = added(n, keys, counts)
             cuts = np.cumsum([len(x) for x in own])[:-1]
-            answers.append([squeeze(x) for x in np.split(total[which].astype(np.uint32), cuts)])
-            if k == 0:
-                stats[0], stats[1] = int(total.sum()), int((total > 0).sum())
+            sums.append([squeeze(x) for x in np.split(total[which].astype(np.uint32), cuts)])
+            real = total[distinct != start_key(n)]
+            if n == 1:
+                stats += [int(real.sum()), int((real > 0).sum())]
             else:
-                for r in range(1, K + 2):
-                    stats[r + 1] = int((total == r).sum())
+                stats += [int((real == r).sum()) for r in range(1, K + 2)]
                 lists_first = np.zeros(len(which), bool)
                 lists_first[first] = True
-                answers.append([squeeze(np.packbits(x)) for x in np.split(lists_first, cuts)])
-        if key[0].as_py() == 0:
-            stats[K + 3] = sum(x[0] for x in table.column("stats").to_pylist())
-        chunks = table.column("chunk")
-        n = len(chunks)
-        return pa.table({"chunk": chunks, "bucket": table.column("bucket"), "kind": pa.array([1] * n, pa.int32()),
-                         **{c: pa.array(v, pa.binary()) for c, v in zip("abc", answers)},
-                         "stats": pa.array([stats] * n, pa.list_(pa.int64()))})
-
-    def model_of(stats):
-        """(N, V, discounts, training texts) from the sums of all buckets."""
-        return stats[0], stats[1], discounts(np.array([0, *stats[2:K + 3]])), stats[K + 3]
+                firsts.append([squeeze(np.packbits(x)) for x in np.split(lists_first, cuts)])
+        return _rows(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), 1,
+                     list(zip(*sums)), list(zip(*firsts)), stats)
 
     class Known:
-        """What a chunk's answers say about its words and pairs."""
+        """What a chunk's answers say about its runs."""
 
         def __init__(self, t: Tokens, table):
             import pyarrow.compute as pc
             rows = table.filter(pc.equal(table.column("kind"), 1)).sort_by("bucket")
-            self.words = np.concatenate([stretch(x, np.uint32) for x in rows.column("a").to_pylist()]).astype(np.int64)
-            self.pairs = np.concatenate([stretch(x, np.uint32) for x in rows.column("b").to_pylist()]).astype(np.int64)
-            sizes = np.diff(bucket_edges(t.pairs, n_buckets))
-            self.first = np.concatenate([np.unpackbits(stretch(x, np.uint8), count=n).astype(bool) for x, n in
-                                         zip(rows.column("c").to_pylist(), sizes)])
+            sums, firsts = ([_frames(x) for x in rows.column(c).to_pylist()] for c in "ab")
+            self.total, self.first, self.wanted = [None], [None, None], [None, None]
+            for n in range(1, order + 1):
+                self.total.append(np.concatenate([stretch(x[n - 1], np.uint32) for x in sums]).astype(np.int64))
+            for n in longer:
+                sizes = np.diff(bucket_edges(t.runs[n], n_buckets))
+                self.first.append(np.concatenate([np.unpackbits(stretch(x[n - 2], np.uint8), count=m).astype(bool)
+                                                  for x, m in zip(firsts, sizes)]))
+                # histories that training saw, but not before a word that follows them here
+                wanted = np.zeros(len(t.runs[n - 1]), bool)
+                wanted[t.history[n][t.real[n] & (self.total[n] == 0)]] = True
+                self.wanted.append(wanted & (self.total[n - 1] > 0))
             self.stats = np.array(rows.column("stats").to_pylist(), np.int64).sum(axis=0).tolist()
-            self.n, self.v, self.d, self.n_docs = model_of(self.stats)
-            self.base = (self.words + 0.5) / (self.n + 0.5 * (self.v + 1))
+            self.model = Model(self.stats)
 
     def histories(key, table, answers):
-        """For pairs that this chunk lists first, by history: how many have
-        count 1 to K, how many there are, the sum of their counts and that of
-        their words' counts. And which histories need alpha here: those of
-        pairs that training never saw."""
+        """For runs that this chunk lists first, by history: how many have
+        count 1 to K, the sum of their counts, and what their shorter runs'
+        probabilities add up from; and which histories need alpha here."""
         t = tokens_of(table)
         known = Known(t, answers)
-        own = known.first & (known.pairs > 0)
-        size, h, c = len(t.histories), t.pair_history[own], known.pairs[own]
-        made = np.zeros((K + 3, size), np.uint64)
-        for r in range(1, K + 1):
-            made[r - 1] = np.bincount(h[c == r], minlength=size)
-        made[K] = np.bincount(h, minlength=size)
-        np.add.at(made[K + 1], h, c.astype(np.uint64))
-        np.add.at(made[K + 2], h, known.words[t.pair_word[own]].astype(np.uint64))
-        keys, *planes = _cut(t.histories, n_buckets, *made)
-        body = [b"".join(len(p).to_bytes(4, "little") + p for p in row) for row in zip(*planes)]
-        wanted = np.zeros(size, np.uint8)
-        wanted[t.pair_history[known.pairs == 0]] = 1
-        return _rows(key[0].as_py(), 2, [keys, body, _cut(t.histories, n_buckets, wanted)[1]], known.stats)
-
-    def planes_of(blob):
-        out, at = [], 0
-        while at < len(blob):
-            n = int.from_bytes(blob[at:at + 4], "little")
-            out.append(stretch(blob[at + 4:at + 4 + n], np.uint64))
-            at += 4 + n
-        return np.stack(out).astype(np.int64)
-
-    def history_totals(key, table):
-        """For every chunk: whose histories have no discounted count, and alpha
-        of those that the chunk needs."""
-        table = table.sort_by("chunk")
-        own = [unpack(x) for x in table.column("a").to_pylist()]
-        distinct, which = np.unique(np.concatenate(own), return_inverse=True)
-        parts_ = np.concatenate([planes_of(x) for x in table.column("b").to_pylist()], axis=1)
-        total = np.zeros((K + 3, len(distinct)), np.int64)
-        for k in range(K + 3):
-            np.add.at(total[k], which, parts_[k])
-        n, v, d, _ = model_of(table.column("stats")[0].as_py())
-        kept_back = sum((1 - d[r]) * r * total[r - 1] for r in range(1, K + 1))
-        none = kept_back <= 1e-9 * total[K + 1]
-        reserve = np.where(none, 1.0, kept_back) / (total[K + 1] + none)
-        seen = (total[K + 2] + 0.5 * total[K]) / (n + 0.5 * (v + 1))
-        alpha = np.where(total[K + 1] > 0, reserve / np.maximum(1 - seen, 1e-300), 1.0)
-        cuts = np.cumsum([len(x) for x in own])[:-1]
-        wanted = [stretch(x, np.uint8).astype(bool) for x in table.column("c").to_pylist()]
-        m = len(own)
-        return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"),
-                         "kind": pa.array([3] * m, pa.int32()),
-                         "a": pa.array([squeeze(x) for x in np.split(none[which].astype(np.uint8), cuts)], pa.binary()),
-                         "b": pa.array([x[w].tobytes() for x, w in zip(np.split(alpha[which], cuts), wanted)], pa.binary()),
-                         "c": table.column("c"), "stats": pa.array([[]] * m, pa.list_(pa.int64()))})
+        body, need = [], []
+        for n in longer:
+            runs, size = t.runs[n - 1], len(t.runs[n - 1])
+            own = known.first[n] & (known.total[n] > 0) & t.real[n]
+            h, c, low = t.history[n][own], known.total[n][own], known.total[n - 1][t.shorter[n][own]]
+
+            def summed(values):
+                out = np.zeros(size, np.uint64)
+                np.add.at(out, h[values > 0], values[values > 0].astype(np.uint64))
+                return out
+
+            few = [np.bincount(h[c == r], minlength=size).astype(np.uint32) for r in range(1, K + 1)]
+            if n == 2:
+                few.append(np.bincount(h, minlength=size).astype(np.uint32))
+                sums = [summed(c), summed(low)]
+            else:
+                few += [np.bincount(h[low == r], minlength=size).astype(np.uint32) for r in range(1, K + 1)]
+                sums = [summed(c), summed(np.where(low > K, low, 0))]
+            body += [cut(runs, x, squeeze) for x in [*few, *sums]]
+            need.append(cut(runs, known.wanted[n].astype(np.uint8), squeeze))
+        return _rows([key[0].as_py()] * n_buckets, range(n_buckets), 2, list(zip(*body)), list(zip(*need)), known.stats)
+
+    def history_totals(key, listed, table):
+        """For every chunk: which of its histories have no discounted count,
+        and, of those that need alpha, alpha itself (n = 2) or what it keeps
+        back and the sum of the shorter runs' counts (its denominator is known
+        to the chunk)."""
+        listed, table = listed.sort_by("chunk"), table.sort_by("chunk")
+        keys = [_frames(x) for x in listed.column("a").to_pylist()]
+        planes = [_frames(x) for x in table.column("a").to_pylist()]
+        need = [_frames(x) for x in table.column("b").to_pylist()]
+        model = Model(table.column("stats")[0].as_py())
+        flags, values, at = [], [], 0
+        for n in longer:
+            own = [unpack(x[n - 2]) for x in keys]
+            distinct, which = np.unique(np.concatenate(own), return_inverse=True)
+            cuts = np.cumsum([len(x) for x in own])[:-1]
+
+            def total(plane, kind):
+                made = np.zeros(len(distinct), np.int64)
+                parts_ = np.concatenate([stretch(x[plane], kind) for x in planes])
+                on = np.flatnonzero(parts_)
+                np.add.at(made, which[on], parts_[on].astype(np.int64))
+                return made
+
+            d, few = model.d[n], K + 1 if n == 2 else 2 * K
+            count = [total(at + r, np.uint32) for r in range(few)]
+            c, low = total(at + few, np.uint64), total(at + few + 1, np.uint64)
+            at += few + 2
+            kept_back = sum((1 - d[r]) * r * count[r - 1] for r in range(1, K + 1))
+            none = kept_back <= 1e-9 * c
+            reserve = np.where(none, 1.0, kept_back) / (c + none)
+            if n == 2:
+                made = [reserve / np.maximum(1 - model.base(low, count[K]), 1e-300)]
+            else:
+                made = [reserve, low + sum(model.d[n - 1][r] * r * count[K + r - 1] for r in range(1, K + 1))]
+            wanted = [stretch(x[n - 2], np.uint8).astype(bool) for x in need]
+            flags.append([squeeze(np.packbits(x)) for x in np.split(none[which], cuts)])
+            values += [[squeeze(x[w]) for x, w in zip(np.split(m[which], cuts), wanted)] for m in made]
+        return _rows(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), 3,
+                     list(zip(*flags)), list(zip(*values)), [])
 
     new = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
     out_ddl = schema_with(df, new)
 
+    def probabilities(t, known, rows):
+        """P of each distinct run's last word after the others, for the runs of
+        1 and of ``order`` words."""
+        flags, values = ([_frames(x) for x in rows.column(c).to_pylist()] for c in "ab")
+        model = known.model
+        p, z, at = [None, model.base(known.total[1])], [None], 0
+        base = p[1]
+        for n in longer:
+            sizes = np.diff(bucket_edges(t.runs[n - 1], n_buckets))
+            none = np.concatenate([np.unpackbits(stretch(x[n - 2], np.uint8), count=m)
+                                   for x, m in zip(flags, sizes)])
+            z.append(known.total[n - 1] + none)
+            made = [np.concatenate([stretch(x[at + k], np.float64) for x in values]) for k in range(1 if n == 2 else 2)]
+            at += len(made)
+            alpha, on = np.ones(len(none)), known.wanted[n]
+            if n == 2:
+                alpha[on] = made[0]
+            else:
+                seen = made[1] / np.maximum(z[n - 2][t.shorter[n - 1][on]], 1)
+                alpha[on] = made[0] / np.maximum(1 - seen, 1e-300)
+            c, h = known.total[n], t.history[n]
+            direct = model.d[n][np.minimum(c, K) * (c <= K)] * c / np.maximum(z[n - 1][h], 1)
+            p.append(np.where(c > 0, direct, alpha[h] * p[n - 1][t.shorter[n]]))
+        return base, p[order]
+
     def scored(key, table, answers):
         import pyarrow.compute as pc
         table = table.drop_columns([CHUNK])
@@ -246,21 +353,14 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
         m = len(t.counts)
         if m:
             known = Known(t, answers)
-            rows = answers.filter(pc.equal(answers.column("kind"), 3)).sort_by("bucket")
-            none = np.concatenate([stretch(x, np.uint8) for x in rows.column("a").to_pylist()])
-            wanted = np.concatenate([stretch(x, np.uint8) for x in rows.column("c").to_pylist()]).astype(bool)
-            alpha = np.ones(len(none))
-            alpha[wanted] = np.concatenate([np.frombuffer(x, np.float64) for x in rows.column("b").to_pylist()])
-            z = t.history_counts(known.words, known.n_docs) + none
-            c, h = known.pairs, t.pair_history
-            direct = known.d[np.minimum(c, K) * (c <= K)] * c / np.maximum(z[h], 1)
-            p = np.where(c > 0, direct, alpha[h] * known.base[t.pair_word])
+            base, p = probabilities(t, known, answers.filter(pc.equal(answers.column("kind"), 3)).sort_by("bucket"))
             doc = np.repeat(np.arange(m), t.counts)
+            word, run = t.run_of[1][t.token], t.run_of[order][t.token]
             result = {"n_tokens": pa.array(t.counts),
-                      "n_known": pa.array(np.bincount(doc, known.words[t.word_of] > 0, m).astype(np.int64)),
-                      "train_tokens": pa.array([known.n] * m, pa.int64()),
-                      "base_score": pa.array(np.bincount(doc, np.log10(known.base)[t.word_of], m)),
-                      "score": pa.array(np.bincount(doc, np.log10(p)[t.pair_of], m))}
+                      "n_known": pa.array(np.bincount(doc, known.total[1][word] > 0, m).astype(np.int64)),
+                      "train_tokens": pa.array([known.model.n] * m, pa.int64()),
+                      "base_score": pa.array(np.bincount(doc, np.log10(base)[word], m)),
+                      "score": pa.array(np.bincount(doc, np.log10(p)[run], m))}
         else:
             result = {f.split()[0]: pa.array([], {"long": pa.int64(), "double": pa.float64()}[f.split()[1]])
                       for f in new.split(", ")}
@@ -268,7 +368,10 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
         return pa.table({c: table.column(c) for c in rest} | result)
 
     by_chunk = docs.groupBy(CHUNK)
-    counted = by_chunk.applyInArrow(lists, ROW).groupBy("bucket").applyInArrow(totals, ROW)
-    sums = (by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(histories, ROW)
-            .groupBy("bucket").applyInArrow(history_totals, ROW))
+    listed = by_chunk.applyInArrow(lists, ROW).groupBy("bucket")
+    if tables:
+        listed.applyInArrow(table_of, "n int, run long, count long").write.partitionBy("n").parquet(tables)
+    counted = listed.applyInArrow(totals, ROW)
+    sums = listed.cogroup(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(histories, ROW).groupBy("bucket")) \
+        .applyInArrow(history_totals, ROW)
     return by_chunk.cogroup(counted.unionAll(sums).groupBy("chunk")).applyInArrow(scored, out_ddl)

@@ -293,6 +293,60 @@ def test_katz_scores(spark, docs, rows, none):
     assert untrained.where("n_known > 0 OR score <> base_score").count() == 0
 
 
+def test_katz_backs_off_through_all_orders(spark, docs, rows, tmp_path):
+    from ledgerlens.llm import katz
+    flagged = docs.withColumn("train", F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+    toks = [(r[0], [*(r[1] or "").encode().lower().split(), None]) for r in rows]
+    on = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 != 1
+    for order in (3, 4):
+        folder = str(tmp_path / f"counts{order}")
+        got = {r.doc_id: r for r in katz.score(flagged, "train", order=order, tables=folder).collect()}
+        c = [collections.Counter() for _ in range(order + 1)]
+        for i, t in toks:
+            padded = ["start"] * (order - 1) + t
+            for k in range(order - 1, len(padded) if on(i) else 0):
+                for n in range(1, order + 1):
+                    c[n][tuple(padded[k - n + 1:k + 1])] += 1
+        written = collections.defaultdict(list)
+        for r in spark.read.parquet(folder).collect():
+            written[r.n].append(r["count"])
+        for n in range(1, order + 1):
+            assert sorted(written[n]) == sorted(c[n].values())
+        d = [katz.discounts(np.array([0] + [sum(x == r for x in b.values()) for r in range(1, 7)])) for b in c]
+        n_all, v = sum(c[1].values()), len(c[1])
+        after = collections.defaultdict(list)
+        for b in c[2:]:
+            for g in b:
+                after[g[:-1]].append(g[-1])
+
+        def direct(h, w):
+            own = [c[len(h) + 1][*h, x] for x in after[h]]
+            held = sum((1 - d[len(h) + 1][k]) * k for k in own if k <= 5)
+            z = sum(own) + (held <= 1e-9 * sum(own))
+            k = c[len(h) + 1][*h, w]
+            return (d[len(h) + 1][k] if k <= 5 else 1) * k / z
+
+        def p(h, w):
+            if not h:
+                return (c[1][w,] + 0.5) / (n_all + 0.5 * (v + 1))
+            if not after[h]:
+                return p(h[1:], w)
+            if c[len(h) + 1][*h, w]:
+                return direct(h, w)
+            if h not in alpha:
+                alpha[h] = (1 - sum(direct(h, x) for x in after[h])) / (1 - sum(p(h[1:], x) for x in after[h]))
+            return alpha[h] * p(h[1:], w)
+
+        alpha = {}
+        for h in (("start", "start"), ("start", b"spam"), (b"w1", b"w250"), (b"spam", b"spam"), (b"line", b"here")):
+            assert abs(sum(p(h, w) for (w,) in c[1]) + p(h, b"never seen") - 1) < 1e-9
+        for i, t in toks:
+            if i is not None:
+                padded = ["start"] * (order - 1) + t
+                want = sum(math.log10(p(tuple(padded[k - order + 1:k]), padded[k])) for k in range(order - 1, len(padded)))
+                assert got[i].score == pytest.approx(want), (order, i)
+
+
 def test_mixing(spark, docs, rows, none):
     from ledgerlens.llm import mixing
     got = mixing.mix(docs).collect()
