@@ -52,7 +52,8 @@ TOKEN = re.compile(
     r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"<]*\"|'[^'<]*')*+>|[^>]*(?:>|\Z))"
     r"|<[!?][^>]*(?:>|\Z)", re.S | re.I)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# A name, then its value if it has one; each is consumed whole, so nothing inside a value is taken for a name.
+ATTR = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*)))?")
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 #: Weight of an inline tag that no label has.
@@ -66,7 +67,7 @@ def _bad(name: str, attrs: str) -> bool:
     """Is an element with this start tag never content?"""
     if name in NEVER:
         return True
-    if name in ("html", "body", "article", "main") or "=" not in attrs and "hidden" not in attrs:
+    if name in ("html", "body", "article", "main") or "=" not in attrs and "hidden" not in attrs.lower():
         return False
     for key, *values in ATTR.findall(attrs):
         key, value = key.lower(), "".join(values).lower()

@@ -431,6 +431,21 @@ def test_main_text_of_pages(spark):
     assert html.main_text(PAGE, html.DEFAULT) == want
 
 
+def test_attributes_are_parsed_one_by_one():
+    from ledgerlens.llm import html
+    kept = ['style="overflow:hidden"', 'title="hidden gems"', "data-x='a id=ad b'", 'href="/p?id=ad"', 'data-id="share"',
+            "data-hidden", 'data-class="menu"', 'x-role=banner', "href=/p?class=menu&id=ad", 'alt=" hidden " id=story',
+            "title = 'role=\"menu\"'", 'aria-hidden="false"', 'class="story" data-role="navigation"', '/hiddenx']
+    gone = ["hidden", "HIDDEN", "hidden=''", 'title="x"hidden', 'aria-hidden="true"', "ID = 'ad-1'", "class=menu", 'role="menu"',
+            "id=x/ hidden", "data-x='>' class=\"main menu\"", 'a=1 class="x\nshare"', 'title="a=b" id=\'cookie\'']
+    for attrs in kept + gone:
+        page = (f"<body><article><h1>Title of it</h1><p>First words of the text</p><div {attrs}><p>Second words in a div</p>"
+                "</div><p>Third words of the text</p></article></body>")
+        text = html.main_text(page, html.DEFAULT)
+        assert ("Second words in a div" in text) == (attrs in kept), attrs
+        assert "First words" in text and "Third words" in text, attrs
+
+
 def test_pipeline_stages(spark, rows, tmp_path):
     import corpus_pipeline as C
     from ledgerlens.llm import quality
