@@ -35,8 +35,10 @@ MAX_KINDS = 300
 
 # FIXED VALUES: names of elements and of class, id and role words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "template", "noscript", "iframe", "svg", "canvas", "textarea", "title", "math", "object")
-NEVER = frozenset("nav menu footer aside form button select dialog head fieldset".split())
+RAW = ("script", "style", "template", "noscript", "iframe", "textarea", "title")
+FOREIGN = frozenset(["svg", "math"])
+EMBEDDED = FOREIGN | {"object", "canvas"}
+NEVER = EMBEDDED | frozenset("nav menu footer aside form button select dialog head fieldset".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small "
                    "span strike strong sub sup time tt u var wbr".split())
 BAD_WORDS = frozenset(
@@ -49,7 +51,7 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search form a
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|(?P<start><(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>).*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"<]*\"|'[^'<]*')*+>|[^>]*(?:>|\Z))"
     r"|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 # A name, then its value if it has one; each is consumed whole, so nothing inside a value is taken for a name.
@@ -82,16 +84,26 @@ def _bad(name: str, attrs: str) -> bool:
 
 def tokens(page: str) -> list[tuple[str, str]]:
     """The page as (kind, text): '#text' runs, '#raw' elements whose content
-    is no text, and tags by lower-case name ('/name' for an end)."""
-    out, at = [], 0
-    for m in TOKEN.finditer(page):
+    is no text or that are closed at once, and tags by lower-case name ('/name'
+    for an end)."""
+    out, at, foreign = [], 0, 0
+    while m := TOKEN.search(page, at):
         if m.start() > at:
             out.append(("#text", page[at:m.start()]))
         at = m.end()
         if m["name"]:
             name = m["name"].lower()
-            out.append(("/" + name, "") if m["end"] else (name, m["attrs"]))
+            if m["end"]:
+                foreign = max(0, foreign - (name in FOREIGN))
+                out.append(("/" + name, ""))
+            elif name in EMBEDDED and m["attrs"].endswith("/>"):
+                out.append(("#raw", ""))
+            else:
+                foreign += name in FOREIGN
+                out.append((name, m["attrs"]))
         elif m["raw"]:
+            if foreign and m["start"].endswith("/>"):   # only drawings and formulas close such elements at once
+                at = m.end("start")
             out.append(("#raw", ""))
     if at < len(page):
         out.append(("#text", page[at:]))

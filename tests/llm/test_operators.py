@@ -446,6 +446,22 @@ def test_attributes_are_parsed_one_by_one():
         assert "First words" in text and "Third words" in text, attrs
 
 
+def test_embedded_elements_end_where_they_end():
+    from ledgerlens.llm import html
+    want = "Title of it First words of the text Second words of the text Third words of the text"
+    for x in ("<svg-icon name=a></svg-icon>", "<title-bar></title-bar>", "<style-guide/>", "<math-field>", "<object-x>",
+              "<svg width='1'/>", "<svg/>", "<SVG viewBox='0 0 1 1' />", "<math/>", "<object data='a'/>", "<canvas/>",
+              "<svg><g><svg><text>no</text></svg><text>no</text></g></svg>", "<svg><title>no</title><path/></svg>",
+              "<svg><title/><style/><text>no</text></svg>", "<svg><path/><svg/><text>no</text></svg>", "<canvas>no</canvas>",
+              "<object><object>no</object>no</object>", "<math><mi>no</mi></math>", "<svg>", "<canvas id=c>", "<object>",
+              "<script>var no = '<svg>';</script>", "<script >no</script>", "<style/>no</style>", "<title\n>no</title>"):
+        for page in (f"<body>{x}<article><h1>Title of it</h1><p>First words of the text</p>",
+                     f"<body><article><h1>Title of it</h1>{x}<p>First words of the text</p>"):
+            page += "<p>Second words of the text</p><p>Third words of the text</p></article></body>"
+            weights = html.DEFAULT | {"#tag": -0.5, "article": -0.05, "/article": -0.05}
+            assert html.main_text(page, weights) == want, page
+
+
 def test_pipeline_stages(spark, rows, tmp_path):
     import corpus_pipeline as C
     from ledgerlens.llm import quality
