@@ -4,7 +4,7 @@ A page is a sequence of words and tags. Words score positive, tags negative,
 and a linear scan finds the contiguous region with the largest score. Weights
 are log odds from labelled pages: pages of the table that mark their content
 with exactly one ``article`` (or ``main``) element are labels, on a bounded
-sample (``LABELLED_PAGES``); a word or tag weighs what it says for lying
+sample of them (``LABELLED_PAGES``); a word or tag weighs what it says for lying
 inside. Elements that are never content (menus, forms, scripts, adverts,
 notices, comments and the like, told by tag, role, class or id) are taken out
 as one negative step, so a region may go on after them.
@@ -206,10 +206,18 @@ def _labels(page: str):
 
 def fit_weights(df: DataFrame, html_col: str = "html", labelled_pages: int = LABELLED_PAGES,
                 seed: int = 23) -> dict[str, float]:
-    """Weights from a seeded sample of about ``labelled_pages`` rows. The
+    """Weights from a seeded sample of about ``labelled_pages`` pages that may
+    be labels: pages with exactly one article or main, and, while those are
+    fewer, pages with several (some may lie in elements that are cut). The
     driver receives one row for each of the ``MAX_KINDS`` commonest kinds."""
-    rows = df.count()
-    sample = df.select(html_col).sample(fraction=min(1.0, labelled_pages / max(rows, 1)), seed=seed)
+    article, main = (F.regexp_count(html_col, F.lit(rf"(?i)<{name}[\s/>]")) for name in ("article", "main"))
+    tier = F.when(F.when(article > 0, article).otherwise(main) == 1, 1).when((article > 0) | (main > 0), 2)
+    found = df.select(F.col(html_col), tier.alias("__tier"))
+    one, several = found.agg(F.count_if(F.col("__tier") == 1), F.count_if(F.col("__tier") == 2)).first()
+    shares = {1: min(1.0, labelled_pages / max(one, 1)), 2: min(1.0, max(0, labelled_pages - one) / max(several, 1))}
+    if not shares[2]:
+        shares, found = {1: shares[1]}, found.where("__tier = 1")
+    sample = found.where("__tier IS NOT NULL").sampleBy("__tier", shares, seed).select(html_col)
 
     def run(batches):
         inside: dict[str, list[int]] = {}

@@ -431,6 +431,18 @@ def test_main_text_of_pages(spark):
     assert html.main_text(PAGE, html.DEFAULT) == want
 
 
+def test_weights_come_from_the_labelled_pages(spark):
+    from ledgerlens.llm import html
+    some = "<body><p>Some words</p><article><p>Words of a text</p><zz>More words</zz></article></body>"
+    several = some + "<aside><article>Card</article></aside>"
+    few = [(some if i % 700 == 3 else "<body><p>No label here</p></body>",) for i in range(2000)]
+    cards = [(several if i % 700 == 3 else None,) for i in range(2000)]
+    for table in (few, cards):
+        df = spark.createDataFrame(table, "html string").repartition(4)
+        assert "zz" in html.fit_weights(df, labelled_pages=5), table[3]
+    assert html.fit_weights(spark.createDataFrame([("<p>x</p>",)], "html string")) == html.DEFAULT
+
+
 def test_attributes_are_parsed_one_by_one():
     from ledgerlens.llm import html
     kept = ['style="overflow:hidden"', 'title="hidden gems"', "data-x='a id=ad b'", 'href="/p?id=ad"', 'data-id="share"',
