@@ -16,8 +16,8 @@ with a third of all rows is no single task.
 
 Defined cases: a null or empty text has size 0 and is taken 0 times; a null
 source is a source of its own, after all others; repeated rows are documents
-of their own; ties in the seeded order go to the smaller id, and rows that
-agree in everything share alike; extra columns pass through, output columns
+of their own; the seeded order goes by the id, the text and the other columns
+(maps aside), and rows that agree in everything share alike; extra columns pass through, output columns
 replace input columns of the same name; an empty table has an empty mix.
 """
 
@@ -106,8 +106,10 @@ def min_cost_flow(sizes: dict, members: dict, quotas: dict, passes: int = 2) ->
             arcs[e ^ 1][1] += sent
 
 
-def seeded_order(id_col: str, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+def seeded_order(id_col: str, seed: int, *rest: Column) -> Column:
+    """A digest of the seed, the id and what tells rows of one id apart."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+                             *[x.cast("string") for x in rest]))
 
 
 def running_before(df: DataFrame, key: str, order: list[str], value: str, out: str, blocks: Column) -> DataFrame:
@@ -159,9 +161,11 @@ def mix(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeats: int = 2,
           min(routed.get(r[0], 0) // max(words[r[0]], 1), repeats), routed.get(r[0], 0) % max(words[r[0]], 1),
           min(max(1, -(-r[2] // BLOCK_ROWS)), MAX_BLOCKS)) for r in rows],
         T.StructType.fromDDL("__pattern string, source_size long, target double, __whole long, __rest long, __blocks long"))
+    # maps have no hash
+    told_apart = [c for c, kind in df.dtypes if "map<" not in kind and c != "size"]
     # at most MAX_PATTERNS rows, checked above
     ordered = (sized.join(F.broadcast(plan), "__pattern")
-               .withColumn("__order", seeded_order(id_col, seed)))
+               .withColumn("__order", seeded_order(id_col, seed, F.col("size"), F.xxhash64(*told_apart))))
     # the first 8 hex digits of the order cut it into even blocks
     block = F.floor(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") * F.col("__blocks") / F.lit(1 << 32))
     out = running_before(ordered, "__pattern", ["__order", id_col], "size", "__before", block)

@@ -369,6 +369,21 @@ def test_mixing(spark, docs, rows, none):
     assert mixing.repeat_rows(mixing.mix(docs), docs.columns).columns == docs.columns
 
 
+def test_mixing_of_rows_without_an_id_can_be_repeated(spark):
+    from ledgerlens.llm import mixing
+    rng = random.Random(5)
+    table = [(None if k % 2 else 7, "s", f"t{k} " + "word " * rng.randint(0, 40), "k") for k in range(600)]
+    df = spark.createDataFrame(table, "doc_id long, source string, text string, kept string")
+    runs = []
+    for parts in (1, 3, 7):
+        rng.shuffle(table)
+        df = spark.createDataFrame(table, df.schema).repartition(parts)
+        runs.append(collections.Counter((r.text, r.taken) for r in mixing.mix(df).collect()))
+    assert runs[0] == runs[1] == runs[2]
+    order = df.select(mixing.seeded_order("doc_id", 11, F.xxhash64("text")).alias("o"))
+    assert order.distinct().count() == len(table)           # no block or window task holds all of them
+
+
 def test_flow_over_overlapping_sources():
     from ledgerlens.llm import mixing
     # b can be served by the overlap only; a first uses its own documents once
