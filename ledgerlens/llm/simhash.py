@@ -235,38 +235,47 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, fp, component_id) for every row. Only these three columns travel;
     texts are read once."""
     check_columns(df, id_col, text_col)
-    docs = cut_lineage(fingerprints(df.select(F.col(id_col).cast("long").alias("doc_id"),
-                                              F.col(text_col).alias("text")), "text", words))
+    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found, of_point = _grouped(own, words, bits)
+    return found.join(of_point, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+
+
+def _grouped(own: DataFrame, words: int, bits: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with fp for their text, and for each fp its group (root) and
+    the group's smallest doc_id."""
+    docs = cut_lineage(fingerprints(own, "text", words))
     points = cut_lineage(docs.groupBy("fp").agg(F.min("doc_id").alias("low")))
     labels = components(links(points, bits))
     linked = cut_lineage(labels.toDF("fp", "root").join(points, "fp"))
     # a table of its own, so that the next join can split a large component
     low = cut_lineage(linked.groupBy("root").agg(F.min("low").alias("component_id")))
-    of_linked = linked.join(low, "root").select("fp", "component_id")
-    of_point = points.join(of_linked, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return docs.join(of_point, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    of_linked = linked.join(low, "root").select("fp", "root", "component_id")
+    return docs, points.join(of_linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest id.
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
+             bits: int = 4) -> DataFrame:
+    """One row of each group of near-duplicates: the one with the smallest id,
+    among its rows that with the smallest fingerprint, then hash of the text.
     Rows without an id stay only if nothing in their group has one."""
-    found = cut_lineage(near_duplicates(df, id_col, text_col, **options))
-    kept = found.where(F.col(id_col) == F.col("component_id")).select(id_col)
-    rows, ids = kept.agg(F.count(id_col), F.count_distinct(id_col)).first()
-    out = df.join(kept, id_col, "left_semi").select(*df.columns)
-    if rows > ids:  # rows repeated under one id
-        out = out.dropDuplicates([id_col])
-    lone = found.where(F.col(id_col).isNull() & F.col("component_id").isNull())
-    if lone.limit(1).count():
-        out = out.unionByName(df.where(F.col(id_col).isNull())
-                              .join(_texts_of(df, lone, id_col, text_col, options), text_col, "left_semi")
-                              .select(*df.columns).dropDuplicates([text_col]))
-    return out
-
-
-def _texts_of(df, lone, id_col, text_col, options):
-    """Texts of rows without an id, one for each fingerprint of ``lone``."""
-    own = df.where(F.col(id_col).isNull()).select(text_col, F.col(text_col).alias("__text"))
-    own = fingerprints(own, "__text", options.get("words", 4))
-    return (own.join(lone.select("fp").distinct(), "fp", "left_semi")
-            .groupBy("fp").agg(F.min(text_col).alias(text_col)).select(text_col))
+    check_columns(df, id_col, text_col)
+    own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                    F.xxhash64(text_col).alias("__hash"))
+    found, of_point = _grouped(own, words, bits)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "__hash"))
+    # each fingerprint's best row first, so that large groups are small here
+    of_fp = found.groupBy("fp").agg(best.alias("best"))
+    chosen = cut_lineage(of_fp.join(of_point.select("fp", "root"), "fp").groupBy("root").agg(F.min("best").alias("best"))
+                         .select(F.col("best.doc_id").alias("__id"), F.col("best.__hash").alias("__hash")))
+    same = lambda a: a.eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__hash"))
+    rows = (found.select("doc_id", F.col("__hash").alias("__own"))
+            .join(chosen, same(F.col("doc_id")), "left_semi"))
+    many = cut_lineage(rows.groupBy("doc_id", "__own").count().where("count > 1")
+                       .select(F.col("doc_id").alias("__id"), F.col("__own").alias("__hash")))
+    hashed = df.withColumn("__own", F.xxhash64(text_col))
+    out = hashed.join(chosen, same(F.col(id_col).cast("long")), "left_semi")
+    if many.limit(1).count():  # rows repeated under one id and text
+        repeated = out.join(many, same(F.col(id_col).cast("long")), "left_semi").dropDuplicates([id_col, "__own"])
+        out = out.join(many, same(F.col(id_col).cast("long")), "left_anti").unionByName(repeated)
+    return out.select(*df.columns)

@@ -210,6 +210,22 @@ def test_simhash_components(spark, docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    from ledgerlens.llm import simhash
+    rng = random.Random(9)
+    make = lambda: " ".join("w%d" % rng.randint(0, 9999) for _ in range(400))
+    a, b, c, e = make(), make(), make(), make()
+    near = lambda t: next(x for k in range(400) if (x := " ".join(t.split()[:-1] + [f"z{k}"]))
+                          and 0 < (_fingerprint(x) ^ _fingerprint(t)).bit_count() <= 4)
+    near_b, near_c = near(b), near(c)
+    # 1: two texts under one id; 2: near to one of them; no id: linked copies; 5: repeated rows
+    data = [(1, a), (1, b), (2, near_b), (2, near_b), (None, c), (None, c), (None, near_c), (5, e), (5, e), (6, None), (7, "")]
+    got = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()
+    lone = min((c, near_c), key=lambda t: _fingerprint(t) - (_fingerprint(t) >> 63 << 64))
+    assert collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(
+        [(1, a), (1, b), (None, lone), (5, e), (6, None)])
+
+
 def test_vantage_point_links_are_exact(spark):
     from ledgerlens.llm import simhash
     rng = np.random.default_rng(2)
