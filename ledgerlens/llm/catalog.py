@@ -16,6 +16,9 @@ QUERIES = {
     "op8_sharding": Q.op8_sharding,
     "op9_lm_scores": Q.op9_lm_scores,
     "op10_mixing": Q.op10_mixing,
+    "op11_quality_classifier": Q.op11_quality_classifier,
+    "op12_ranked_search": Q.op12_ranked_search,
+    "op13_whitening": Q.op13_whitening,
 }
 
 ORACLE = S.ORACLE

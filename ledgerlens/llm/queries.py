@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html, katz, lengths, mixing, neighbours, quality, sharding, simhash, substrings
+from . import (bpe, compression, html, katz, lengths, mixing, neighbours, quality, ranking, sharding, simhash,
+               substrings, whitening)
 from .common import read_table
 
 
@@ -83,3 +84,21 @@ def op9_lm_scores(spark: SparkSession, d: str) -> DataFrame:
     flagged = docs.withColumn("train", ~F.coalesce("held_out", F.lit(False)))
     return katz.score(flagged, "train", order=3).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op11_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    """Score every document; three quarters of the labels (by checksum of the id) train."""
+    docs = read_table(spark, d, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = compression.fit(docs, read_table(spark, d, "labels").select("doc_id", "quality"), ~held_out)
+    return compression.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op12_ranked_search(spark: SparkSession, d: str) -> DataFrame:
+    """The 10 highest-scoring documents for each benchmark item."""
+    return ranking.search(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"), k=10)
+
+
+def op13_whitening(spark: SparkSession, d: str) -> DataFrame:
+    """Each embedding on the first four whitened components, fitted on each distinct vector once."""
+    return whitening.whiten(read_table(spark, d, "embeddings"), k=4, weights="one")

@@ -54,4 +54,27 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND NOT 10 * n_symbols > n_words AND word_chars BETWEEN 3 * n_words AND 10 * n_words
   AND NOT 10 * n_dup_lines > 7 * n_lines AND NOT 5 * stutters > n_words AND NOT 2 * lettered < n_words AS kept
 FROM f""",
+
+    "op12_ranked_search": """
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents),
+held AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM docs) GROUP BY r, t),
+total AS (SELECT count(*) AS n, sum(len(ts))::BIGINT AS l FROM docs WHERE len(ts) > 0),
+weight AS (SELECT t, floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+           FROM held, total GROUP BY t, n),
+asked AS (
+  SELECT DISTINCT item_id, text, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+scored AS (
+  SELECT a.item_id, a.text, h.r, d.doc_id, sum(w.w * ((1000000000 * h.tf) //
+    (1000 * h.tf + 8 * (10 + (90 * len(d.ts) * total.n) // total.l))))::BIGINT AS score
+  FROM asked a JOIN weight w USING (t) JOIN held h USING (t) JOIN docs d ON d.r = h.r, total
+  GROUP BY a.item_id, a.text, h.r, d.doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank
+  FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
