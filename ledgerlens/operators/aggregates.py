@@ -27,11 +27,8 @@ def _inc():
 
 def daily_rollup(ledger: DataFrame, by_parent: bool = True) -> DataFrame:
     """(owner, day, parent) -> expense/income sums and row counts; without
-    ``by_parent`` (owner, day), for series that read no category.
-
-    The base of all windowed series: the lookback cutoff is a date, so the
-    daily grain keeps its semantics exactly, while a hot owner shrinks to at
-    most days x parents rows before any per-owner window sees it.
+    ``by_parent`` (owner, day), for series that read no category. A hot owner
+    shrinks to at most days x parents rows before any per-owner step sees it.
     """
     keys = [C.USER, F.col(C.DATE).alias(C.DAY)]
     if by_parent:
@@ -44,13 +41,6 @@ def daily_rollup(ledger: DataFrame, by_parent: bool = True) -> DataFrame:
                  F.count(F.lit(1)).alias("n_rows")))
 
 
-def windowed_rollup(rollup: DataFrame, months: int) -> DataFrame:
-    """Keep rollup rows within N months of the owner's latest day (Q2)."""
-    w = Window.partitionBy(C.USER)
-    return (rollup.withColumn("ref_date", F.max(C.DAY).over(w))
-            .where(F.col(C.DAY) >= FL.cutoff_expr("ref_date", months)))
-
-
 def ranked(df: DataFrame, part: str, value: str, name: str, k: int | None = None,
            rank_col: str = "rank") -> DataFrame:
     """Rank within ``part`` by value desc, name asc (a total order, Q10).
@@ -139,14 +129,71 @@ def sign_split(ledger: DataFrame) -> DataFrame:
             .agg(F.sum(C.AMOUNT).alias("total"), F.count(F.lit(1)).alias("n")))
 
 
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
+def amount_band(amount) -> "F.Column":
+    """A band number that rises with the amount: 64 bands for each factor e of
+    its size, so an owner has a few thousand at most, whatever the rows."""
+    size = F.floor(F.log1p(F.abs(amount).cast("double")) * 64)
+    return F.when(amount < 0, -1 - size).otherwise(size).cast("bigint")
+
+
+def amount_quantiles(ledger: DataFrame, quantiles: dict[str, float] = QUARTILES) -> DataFrame:
+    """Exact quantiles of the amounts per owner, interpolated linearly between
+    the two order statistics around (n - 1) q.
+
+    No owner's amounts are sorted in one task. Amounts are counted by (owner,
+    band, amount) with map-side combine; running counts over an owner's bands
+    (a few thousand rows) tell which bands hold the wanted positions; only
+    those bands are scanned in order of amount, each in its own partition."""
+    hist = (ledger.where(F.col(C.AMOUNT).isNotNull())
+            .groupBy(C.USER, amount_band(F.col(C.AMOUNT)).alias("band"), C.AMOUNT)
+            .agg(F.count(F.lit(1)).alias("n")))
+    bands = hist.groupBy(C.USER, "band").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(C.USER)
+    bands = (bands.withColumn("upto", F.sum("n").over(w.orderBy("band").rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("rows", F.sum("n").over(w)))
+    # positions from 0: the order statistics below and above (n - 1) q
+    place = {k: (F.col("rows") - 1) * F.lit(q) for k, q in quantiles.items()}
+    wanted = F.array(*[f(p).cast("bigint") for p in place.values() for f in (F.floor, F.ceil)])
+    held = bands.select(C.USER, "band", (F.col("upto") - F.col("n")).alias("before"), "upto", "rows",
+                        F.explode(F.array_distinct(wanted)).alias("position")).where(
+        (F.col("position") >= F.col("before")) & (F.col("position") < F.col("upto")))
+    w_band = Window.partitionBy(C.USER, "band").orderBy(C.AMOUNT).rowsBetween(Window.unboundedPreceding, 0)
+    inside = hist.join(held.select(C.USER, "band").distinct(), [C.USER, "band"], "left_semi") \
+        .withColumn("_upto", F.sum("n").over(w_band))
+    at = held.join(inside.select(C.USER, "band", C.AMOUNT, "_upto", "n"), [C.USER, "band"]).where(
+        (F.col("position") - F.col("before") < F.col("_upto"))
+        & (F.col("position") - F.col("before") >= F.col("_upto") - F.col("n")))
+
+    def value(position):
+        return F.max(F.when(F.col("position") == position.cast("bigint"), F.col(C.AMOUNT)))
+
+    got = at.groupBy(C.USER, "rows").agg(*[
+        f(place[k]).alias(f"{k}_{side}") for k in quantiles
+        for side, f in (("low", lambda p: value(F.floor(p))), ("high", lambda p: value(F.ceil(p))))])
+    share = {k: (p - F.floor(p)).cast("decimal(9,6)") for k, p in place.items()}
+    return got.select(C.USER, *[
+        (F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * share[k]).alias(k) for k in quantiles])
+
+
 def amount_describe(ledger: DataFrame) -> DataFrame:
-    """Whole-owner total and describe-style figures."""
-    return ledger.groupBy(C.USER).agg(
-        F.count(C.AMOUNT).alias("n"),
-        F.sum(C.AMOUNT).alias("total"),
-        F.min(C.AMOUNT).alias("min_amount"),
-        F.max(C.AMOUNT).alias("max_amount"),
-        X.cents(F.sum(C.AMOUNT).cast("double") / F.count(C.AMOUNT)).alias("mean_amount"))
+    """Whole-owner total and describe figures (A18): count, total, mean,
+    standard deviation (divisor n - 1; null for one row), minimum, quartiles,
+    maximum. The deviation comes from exact sums of amounts and squares."""
+    x = F.col(C.AMOUNT)
+    sums = ledger.groupBy(C.USER).agg(
+        F.count(x).alias("n"),
+        F.sum(x).alias("total"),
+        F.sum((x * x).cast("decimal(38,4)")).alias("_squares"),
+        F.min(x).alias("min_amount"),
+        F.max(x).alias("max_amount"))
+    n, total = F.col("n"), F.col("total").cast("double")
+    variance = (F.col("_squares").cast("double") - total * total / n) / (n - 1)
+    out = sums.withColumn("mean_amount", X.cents(total / n)).withColumn(
+        "std_amount", F.when(n > 1, X.cents(F.sqrt(F.greatest(variance, F.lit(0.0)))))).drop("_squares")
+    return out.join(amount_quantiles(ledger), C.USER, "left")
 
 
 def roster(ledger: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -162,7 +209,7 @@ def roster(ledger: DataFrame, names: DataFrame | None = None) -> DataFrame:
 # --- C2 / T3 / U1 / A16 / F9 -----------------------------------------------
 
 def category_breakdown(ledger: DataFrame, period: str = "last_3_months",
-                       top_n: int = 7, rollup: DataFrame | None = None) -> DataFrame:
+                       top_n: int = 7) -> DataFrame:
     """Top-n parent categories + one trailing 'Other' bucket, with shares.
 
     Output per owner: (category, amount, pct, show_label, is_other, slice_order,
@@ -170,10 +217,7 @@ def category_breakdown(ledger: DataFrame, period: str = "last_3_months",
     """
     if top_n < 0:
         raise ValueError("top_n must be >= 0")
-    months = FL.period_months(period)
-    r = rollup if rollup is not None else daily_rollup(ledger)
-    win = windowed_rollup(r, months).where((F.col("n_expense") > 0) & F.col(C.PARENT).isNotNull())
-    totals = win.groupBy(C.USER, C.PARENT).agg(F.sum("expense").alias("amount"))
+    totals = category_totals(FL.window(ledger, FL.period_months(period))).withColumnRenamed("total_expense", "amount").drop("n_transactions")
     w_user = Window.partitionBy(C.USER)
     rk = (ranked(totals, C.USER, "amount", C.PARENT)
           .withColumn("n_categories", F.count(F.lit(1)).over(w_user)))

@@ -16,6 +16,10 @@ def with_categories(df: DataFrame) -> DataFrame:
               .withColumn(C.SUBCATEGORY, X.subcategory(C.CATEGORY)))
 
 
+#: Months of the period 'all': longer than any ledger.
+ALL_MONTHS = 999
+
+
 def for_user(df: DataFrame, user_id: str) -> DataFrame:
     """Single-owner slice; an equality Catalyst pushes into the parquet scan."""
     return df.where(F.col(C.USER) == F.lit(user_id))
@@ -64,3 +68,13 @@ def lookback_rows(ledger: DataFrame, months: int, reference_date=None) -> DataFr
         rows = ledger.join(refs, C.USER)
     return (rows.where(F.col(at) >= cutoff_expr("ref_date", months))
             .withColumn("cutoff_date", cutoff_expr("ref_date", months)))
+
+
+def window(ledger: DataFrame, months: int) -> DataFrame:
+    """The rows within N months of the owner's latest row, before anything is
+    added up: the latest day of each owner is one small aggregate joined to the
+    facts, so rows before the cutoff are not shuffled for the rollup. A ledger
+    that was cut already (it has ``cutoff_date``) is taken as it is."""
+    if months >= ALL_MONTHS or "cutoff_date" in ledger.columns:
+        return ledger
+    return lookback_rows(ledger, months)

@@ -97,10 +97,10 @@ BAD_ARGUMENTS = "Tool execution error: invalid arguments"
 
 
 def _argument(args: Column, name: str) -> tuple[Column, Column]:
-    """(text, JSON type) of an argument; the type is null if it is absent and
-    VOID if it is an explicit null."""
-    value = F.try_variant_get(F.try_parse_json(args), f"$.{name}", "variant")
-    return F.get_json_object(args, f"$.{name}"), F.schema_of_variant(value)
+    """(text, JSON type) of an argument of parsed arguments; the type is null if
+    it is absent and VOID if it is an explicit null."""
+    value = F.try_variant_get(args, f"$.{name}", "variant")
+    return F.try_variant_get(args, f"$.{name}", "string"), F.schema_of_variant(value)
 
 
 def _whole(text: Column, kind: Column) -> Column:
@@ -110,9 +110,10 @@ def _whole(text: Column, kind: Column) -> Column:
 
 
 def valid_arguments(name: Column, args: Column) -> Column:
-    """Would the tool accept these arguments? They are an object; months and
-    top_n are whole numbers, period a text, category_filter a text or null."""
-    ok = F.json_object_keys(args).isNotNull()
+    """Would the tool accept these parsed arguments (a VARIANT)? They are an
+    object; months and top_n are whole numbers, period a text, category_filter a
+    text or null."""
+    ok = F.coalesce(F.schema_of_variant(args).startswith("OBJECT"), F.lit(False))
 
     def number(key):
         text, kind = _argument(args, key)
@@ -130,8 +131,9 @@ def route_tool_calls(parsed: DataFrame, key: str = "request_id") -> DataFrame:
     """One row per valid tool call with defaults filled; unknown tools
     and calls with wrong arguments become error rows (never a failed job). The
     tool dimension is a 3-way CASE (no join needed)."""
-    tc = parsed.select(key, F.posexplode("tool_calls").alias("call_pos", "tc"))
-    name, args = F.col("tc.name"), F.col("tc.arguments")
+    tc = (parsed.select(key, F.posexplode("tool_calls").alias("call_pos", "tc"))
+          .withColumn("_args", F.try_parse_json("tc.arguments")))      # parsed once a call
+    name, args = F.col("tc.name"), F.col("_args")
     ok = valid_arguments(name, args)
 
     def arg(path):
@@ -169,4 +171,5 @@ def route_tool_calls(parsed: DataFrame, key: str = "request_id") -> DataFrame:
         .when(~ok, F.lit(BAD_ARGUMENTS)).alias("error"),
         months.alias("months"), period.alias("period"), top_n.alias("top_n"),
         category.alias("category_filter"), net.alias("show_net_line"),
-        description.alias("description"), args.alias("arguments"))
+        description.alias("description"), F.col("tc.arguments").alias("arguments"),
+        F.when(known_type.isNotNull() & ok, args).alias("raw_arguments"))

@@ -75,6 +75,11 @@ def context_tokens(msgs: Column) -> Column:
     return X.estimate_tokens(F.array_join(F.transform(msgs, lambda m: m["content"]), " "))
 
 
+def cut_context(msgs: Column) -> Column:
+    """M3: the space-joined context, cut to the budget's characters."""
+    return F.substring(F.array_join(F.transform(msgs, lambda m: m["content"]), " "), 1, P.MAX_INPUT_TOKENS * 4)
+
+
 def budget_flag(msgs: Column) -> Column:
     t = context_tokens(msgs)
     return F.when(t > P.MAX_INPUT_TOKENS,

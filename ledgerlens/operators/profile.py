@@ -37,6 +37,10 @@ NO_DATA_TEMPLATE = (
 )
 
 
+NO_ROWS_TEXT = "No transactions found for this user."
+NO_PROFILE_TEXT = "No cached profile available for this user."
+
+
 def fill(template: str, **cols: Column) -> Column:
     """Fill ``{name}`` slots of a fixed template with string columns."""
     parts: list[Column] = []
@@ -59,10 +63,11 @@ ALL_GRAINS = ("parent", "merchant", "month")
 _GRAIN_COL = {"parent": C.PARENT, "merchant": C.MERCHANT, "month": C.MONTH}
 
 
-def owner_facts(ledger: DataFrame, grains=ALL_GRAINS) -> DataFrame:
+def owner_facts(ledger: DataFrame, grains=ALL_GRAINS, names: bool = True) -> DataFrame:
     """One pass over the facts: grouping sets (owner) plus the requested
     (owner, parent), (owner, merchant), (owner, month) grains, with
-    conditional sums/counts/dates.
+    conditional sums/counts/dates. Without ``names`` an owner with several
+    names is one row of the owner grain.
 
     A single Expand + partial/final aggregate replaces separate scans of the
     ledger (each a multi-way join at scale). The owner name is a grouping key
@@ -72,8 +77,9 @@ def owner_facts(ledger: DataFrame, grains=ALL_GRAINS) -> DataFrame:
     L = (ledger.withColumn(C.PARENT, X.parent_category(C.CATEGORY))
                .withColumn(C.MONTH, F.trunc(C.DATE, "MM")))
     cols = [_GRAIN_COL[g] for g in grains]
-    sets = [[C.USER, C.NAME]] + [[C.USER, c] for c in cols]
-    g = L.groupingSets(sets, C.USER, C.NAME, *cols).agg(
+    owner = [C.USER, C.NAME] if names else [C.USER]
+    sets = [owner] + [[C.USER, c] for c in cols]
+    g = L.groupingSets(sets, *owner, *cols).agg(
         *[F.grouping(c).alias(f"_g_{c}") for c in cols],
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(exp).alias("n_expense"),
@@ -94,14 +100,32 @@ def owner_facts(ledger: DataFrame, grains=ALL_GRAINS) -> DataFrame:
     return g
 
 
+#: Measures of ``owner_facts`` and how those of several parts of the rows merge.
+MERGE = {"n_rows": F.sum, "n_expense": F.sum, "n_income": F.sum, "sum_expense": F.sum, "sum_income": F.sum,
+         "first_date": F.min, "last_date": F.max, "first_expense_date": F.min, "last_expense_date": F.max}
+FACT_KEYS = [C.USER, C.NAME, C.PARENT, C.MERCHANT, C.MONTH, "grain"]
+
+
+def merged_facts(parts: DataFrame, keys: list[str] = FACT_KEYS) -> DataFrame:
+    """The facts of all rows from the facts of disjoint parts of them (days,
+    months, batches): every measure is a sum, a minimum or a maximum."""
+    return parts.groupBy(*keys).agg(*[
+        how(c).cast(parts.schema[c].dataType).alias(c) for c, how in MERGE.items()])
+
+
 def owner_cards(ledger: DataFrame, grains=ALL_GRAINS) -> DataFrame:
     """Everything the profile, the text summary and the verified numbers
-    need, as ONE row per owner built from ``owner_facts``: totals, top-5
+    need, as ONE row per owner (``cards_of``), in one pass over the ledger."""
+    return cards_of(owner_facts(ledger, grains), grains)
+
+
+def cards_of(facts: DataFrame, grains=ALL_GRAINS) -> DataFrame:
+    """One row per owner from ``owner_facts``: totals, top-5
     categories, all category totals, top-10 merchants and the zero-filled
     monthly expense series (lists of absent grains are empty). Every list is
     bounded (k, the category taxonomy, the months between first and last
     expense)."""
-    f = owner_facts(ledger, grains).where((F.col("grain") == "owner") | (F.col("n_expense") > 0))
+    f = facts.where((F.col("grain") == "owner") | (F.col("n_expense") > 0))
     if "merchant" in grains:
         # Only merchant rows share a window partition: the other grains' keys
         # are null there, and rows of other grains are a partition each. So the
@@ -250,39 +274,82 @@ def text_summaries(ledger: DataFrame) -> DataFrame:
         C.USER, summary_text(has_merchants).alias("text_summary"))
 
 
-def summary_entries() -> Column:
-    """A14 as array<struct<key, value>> over card columns (bounded list)."""
+def data_summary_map() -> Column:
+    """A14 as the field of a result record: key -> text (amounts with two
+    decimals), over card columns."""
     def kv(k, v):
         return F.struct(k.alias("key"), v.alias("value"))
 
+    def amount(v):
+        return F.call_function("format_number", v, F.lit("0.00"))
+
     head = F.array(
-        kv(F.lit("total_expense"), X.cents(F.col("total_expense"))),
-        kv(F.lit("total_income"), X.cents(F.abs(F.col("total_income_signed")))),
-        kv(F.lit("transaction_count"), F.col("n_rows").cast("double")),
-        kv(F.lit("avg_expense"), F.col("avg_expense")))
+        kv(F.lit("total_expense"), amount(X.cents(F.col("total_expense")))),
+        kv(F.lit("total_income"), amount(X.cents(F.abs(F.col("total_income_signed"))))),
+        kv(F.lit("transaction_count"), F.col("n_rows").cast("string")),
+        kv(F.lit("avg_expense"), amount(F.col("avg_expense"))),
+        kv(F.lit("date_range_start"), F.date_format("first_date", "yyyy-MM-dd")),
+        kv(F.lit("date_range_end"), F.date_format("last_date", "yyyy-MM-dd")))
     cats = F.transform("categories", lambda c: kv(
-        F.concat(F.lit("category_"), c["name"]), X.cents(c["total"])))
+        F.concat(F.lit("category_"), c["name"]), amount(X.cents(c["total"]))))
     months = F.transform("months", lambda m: kv(
-        F.concat(F.lit("month_"), X.month_key(m["month"])), X.cents(m["expense"])))
+        F.concat(F.lit("month_"), X.month_key(m["month"])), amount(X.cents(m["expense"]))))
     mers = F.transform("top_merchants", lambda c: kv(
-        F.concat(F.lit("merchant_"), c["name"]), X.cents(c["total"])))
-    return F.concat(head, cats, months, mers)
-
-
-def data_summary_long(ledger: DataFrame) -> DataFrame:
-    """A14 in long form (owner, key, value): totals, count, mean expense,
-    category_*, zero-filled month_YYYY_MM, merchant_* (top 10)."""
-    has_merchants = C.MERCHANT in ledger.columns          # F10: plan-time guard
-    led = ledger if has_merchants else ledger.withColumn(C.MERCHANT, F.lit(None).cast("string"))
-    return (owner_cards(led).select(C.USER, F.explode(summary_entries()).alias("kv"))
-            .select(C.USER, "kv.key", "kv.value"))
-
-
-def actual_values(ledger: DataFrame) -> DataFrame:
-    """Per owner: the verified numbers as an array plus the date range."""
-    return owner_cards(ledger).select(
-        C.USER, "first_date", "last_date", "n_rows",
-        F.transform(summary_entries(), lambda e: e["value"]).alias("actuals"))
+        F.concat(F.lit("merchant_"), c["name"]), amount(X.cents(c["total"]))))
+    return F.map_from_entries(F.concat(head, cats, months, mers))
+
+
+def summary_rows(ledger: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """A14 as rows (owner, key, value, text): totals, count, mean expense, the
+    date range (text, no value), category_*, zero-filled month_YYYY_MM,
+    merchant_* (top 10). One pass over the ledger, or none where its ``facts``
+    (``owner_facts`` of all grains) are given; every row of the facts gives its
+    own entries, so no row holds an owner's lists."""
+    if facts is None:
+        has_merchants = C.MERCHANT in ledger.columns      # F10: plan-time guard
+        led = ledger if has_merchants else ledger.withColumn(C.MERCHANT, F.lit(None).cast("string"))
+        f = owner_facts(led, ALL_GRAINS, names=False)
+    else:                                                 # an owner's names are one row
+        f = merged_facts(facts, [k for k in FACT_KEYS if k != C.NAME])
+    f = f.where((F.col("grain") == "owner") | (F.col("n_expense") > 0))
+    f = f.where((F.col("grain") != "merchant") | F.col(C.MERCHANT).isNotNull())
+    f = f.where((F.col("grain") != "parent") | F.col(C.PARENT).isNotNull())
+    # months up to the owner's next month with an expense are 0
+    w_next = Window.partitionBy(C.USER, "grain", C.PARENT, C.MERCHANT).orderBy(C.MONTH)
+    f = f.withColumn("_next", F.lead(C.MONTH).over(w_next))
+    # bare rank test: a partial and a final group limit (see cards_of)
+    w = Window.partitionBy(C.USER, "grain", C.PARENT, C.MONTH).orderBy(
+        F.col("sum_expense").desc(), F.col(C.MERCHANT).asc())
+    f = f.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= 10)
+
+    def entry(key, value, text=None):
+        return F.struct(key.alias("key"), (F.lit(None) if value is None else value).cast("double").alias("value"),
+                        (F.lit(None).cast("string") if text is None else text).alias("text"))
+
+    spent = X.cents(F.col("sum_expense"))
+    n = F.col("n_expense")
+    owner = F.array(
+        entry(F.lit("total_expense"), X.cents(F.coalesce("sum_expense", F.lit(0).cast(MONEY_SUM)))),
+        entry(F.lit("total_income"), X.cents(F.abs(F.coalesce("sum_income", F.lit(0).cast(MONEY_SUM))))),
+        entry(F.lit("transaction_count"), F.col("n_rows")),
+        entry(F.lit("avg_expense"), F.when(n > 0, X.cents(F.col("sum_expense").cast("double") / n))
+              .otherwise(F.lit(0.0))),
+        entry(F.lit("date_range_start"), None, F.date_format("first_date", "yyyy-MM-dd")),
+        entry(F.lit("date_range_end"), None, F.date_format("last_date", "yyyy-MM-dd")))
+    last = F.coalesce(F.add_months("_next", -1), F.col(C.MONTH))
+    months = F.transform(F.sequence(F.col(C.MONTH), last.cast("date"), F.expr("interval 1 month")), lambda m, i: entry(
+        F.concat(F.lit("month_"), X.month_key(m)), F.when(i == 0, spent).otherwise(F.lit(0.0))))
+    entries = (F.when(F.col("grain") == "owner", owner)
+               .when(F.col("grain") == "parent", F.array(entry(F.concat(F.lit("category_"), F.col(C.PARENT)), spent)))
+               .when(F.col("grain") == "merchant",
+                     F.array(entry(F.concat(F.lit("merchant_"), F.col(C.MERCHANT)), spent)))
+               .otherwise(months))
+    return f.select(C.USER, F.explode(entries).alias("e")).select(C.USER, "e.key", "e.value", "e.text")
+
+
+def actual_rows(ledger: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """The verified numbers as rows (owner, value)."""
+    return summary_rows(ledger, facts).where(F.col("value").isNotNull()).select(C.USER, "value")
 
 
 def no_data_answers(owners: DataFrame, names: DataFrame) -> DataFrame:

@@ -119,15 +119,6 @@ def extracted_numbers(text) -> Column:
                     F.filter(plains, lambda n: n > 1))
 
 
-def ungrounded_number_flags(text, actuals) -> Column:
-    """Numbers with no actual within 5 % (relative to max(|a|, 1))."""
-    acts = _c(actuals)
-    tol = F.lit(P.GROUNDING_TOLERANCE)
-    bad = F.filter(extracted_numbers(text), lambda n: ~F.exists(
-        acts, lambda a: F.abs(n - a) / F.greatest(F.abs(a), F.lit(1.0)) < tol))
-    return F.transform(bad, lambda n: F.concat(F.lit("UNGROUNDED_NUMBER:"), X.py_float_text(n)))
-
-
 def ungrounded_date_flags(text, start, end) -> Column:
     """G7: 'Month YYYY' mentions outside [first day of start month, end]."""
     low = F.lower(_c(text))
@@ -146,9 +137,10 @@ def ungrounded_date_flags(text, start, end) -> Column:
         F.lit("UNGROUNDED_DATE:"), F.initcap(p["m"]), F.lit(" "), p["y"]))
 
 
-def hallucination_flags(text, actuals, start, end) -> Column:
-    """['POTENTIAL_HALLUCINATION'] + first 3 details, or []."""
-    details = F.concat(ungrounded_number_flags(text, actuals),
+def hallucination_flags(text, number_flags, start, end) -> Column:
+    """['POTENTIAL_HALLUCINATION'] + first 3 details, or []. The flags of
+    numbers come from ``grounding.number_flags`` (null: none)."""
+    details = F.concat(F.coalesce(_c(number_flags), F.array().cast("array<string>")),
                        F.when(_c(start).isNotNull() & _c(end).isNotNull(),
                               ungrounded_date_flags(text, start, end))
                        .otherwise(F.array().cast("array<string>")))
@@ -165,7 +157,7 @@ def hedging_hit(text) -> Column:
     return X.contains_any(F.lower(_c(text)), P.HEDGING_PHRASES)
 
 
-def screen_answers(df: DataFrame, text_col: str = "response", actuals_col: str = "actuals",
+def screen_answers(df: DataFrame, text_col: str = "response", numbers_col: str = "number_flags",
                    start_col: str = "first_date", end_col: str = "last_date",
                    rows_col: str = "n_rows", skip_grounding_col: str | None = None) -> DataFrame:
     """G11 + G12: toxicity blocks and replaces; otherwise grounding flags
@@ -175,7 +167,7 @@ def screen_answers(df: DataFrame, text_col: str = "response", actuals_col: str =
     toxic = toxic_hit(text)
     skip = F.col(skip_grounding_col) if skip_grounding_col else F.lit(False)
     hall = F.when(skip, F.array().cast("array<string>")).otherwise(
-        hallucination_flags(text, actuals_col, start_col, end_col))
+        hallucination_flags(text, numbers_col, start_col, end_col))
     hedge = hedging_hit(text)
     sparse = F.col(rows_col) < P.SPARSE_ROWS
     conf_flags = F.concat(F.when(hedge, F.array(F.lit("LOW_CONFIDENCE"))).otherwise(F.array()),

@@ -99,13 +99,15 @@ def few_shot(log: DataFrame, key: str = "user_id", ts: str = "ts", tie: str = "r
 
 
 def viz_state(charts: DataFrame, key: str = "user_id") -> DataFrame:
-    """Latest successful chart per key (max_by = partial aggregate).
-    The chart's axes/filters are its routed parameters (defaults filled)."""
+    """Latest successful chart per key (max_by = partial aggregate): its
+    axes and filters, both the call's raw arguments (VARIANT), and the routed
+    parameters (defaults filled)."""
     order = F.struct("ts", "request_id", "call_pos")
     params = ["months", "period", "top_n", "category_filter", "show_net_line"]
-    latest = F.max_by(F.struct("chart_type", "ts", *params), order)
+    latest = F.max_by(F.struct("chart_type", "ts", "raw_arguments", *params), order)
     return (charts.where(F.col("success")).groupBy(key).agg(latest.alias("_s"))
             .select(key, F.col("_s.chart_type").alias("last_chart_type"),
+                    F.col("_s.raw_arguments").alias("axes"), F.col("_s.raw_arguments").alias("filters"),
                     *[F.col(f"_s.{p}").alias(p) for p in params],
                     F.col("_s.ts").alias("updated_at")))
 
@@ -192,3 +194,44 @@ def flag_report(df: DataFrame, key: str, flags_col: str) -> DataFrame:
                     s["severity"].alias("severity"), s["label"].alias("label"),
                     F.when(s["severity"] == "error", F.concat(F.lit("BLOCKED: "), s["label"]))
                     .otherwise(s["label"]).alias("display"))
+
+
+SPAN = 64
+
+
+def running_sum(df: DataFrame, key: str, order: str, value, out: str, newest_first: bool = False,
+                span: int = SPAN) -> DataFrame:
+    """Running sum of ``value`` within ``key`` along the whole number ``order``
+    (or against it), this row included, as a two-level scan: rows are summed
+    within spans of ``span`` places, a key's spans carry over, so a hot key is
+    spread over its spans."""
+    b = "_span"
+    way = (lambda c: F.col(c).desc()) if newest_first else (lambda c: F.col(c).asc())
+    rows = df.withColumn(b, F.floor(F.col(order) / span)).withColumn("_value", value)
+    w = Window.partitionBy(key, b).orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
+    w_span = Window.partitionBy(key).orderBy(way(b)).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (rows.groupBy(key, b).agg(F.sum("_value").alias("_sum"))
+             .withColumn("_carry", F.coalesce(F.sum("_sum").over(w_span), F.lit(0))).select(key, b, "_carry"))
+    return (rows.withColumn("_own", F.sum("_value").over(w)).join(carry, [key, b])
+            .withColumn(out, F.col("_carry") + F.col("_own")).drop(b, "_value", "_own", "_carry"))
+
+
+def budgeted_suffix(turns: DataFrame, budget: int, key: str = "conv_id", order: str = "turn",
+                    text: str = "text") -> DataFrame:
+    """M2 to M4 on long conversations: the newest turns whose tokens together
+    stay within the budget. Adds tokens, suffix_tokens (from the newest turn back
+    to this one) and kept."""
+    rows = turns.withColumn("tokens", X.estimate_tokens(text))
+    return running_sum(rows, key, order, F.col("tokens"), "suffix_tokens", newest_first=True) \
+        .withColumn("kept", F.col("suffix_tokens") <= budget)
+
+
+def visible_history(turns: DataFrame, reset, key: str = "conv_id", order: str = "turn") -> DataFrame:
+    """R6 with clear: ``visible`` rows come after the key's last reset row
+    (``reset``: a condition), numbered from 1 in ``visible_position``; rows up
+    to it are cleared. The last reset is a partial aggregate joined back."""
+    last = turns.groupBy(key).agg(F.max(F.when(reset, F.col(order))).alias("_reset"))
+    rows = turns.join(last, key).withColumn(
+        "visible", F.col("_reset").isNull() | (F.col(order) > F.col("_reset")))
+    seen = running_sum(rows, key, order, F.col("visible").cast("bigint"), "visible_position")
+    return seen.withColumn("visible_position", F.when(F.col("visible"), F.col("visible_position"))).drop("_reset")

@@ -37,26 +37,22 @@ def _monthly(df: DataFrame, aggs: dict) -> DataFrame:
             .agg(*[e.alias(n) for n, e in aggs.items()]))
 
 
-def monthly_spend(ledger: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
-    """Zero-filled monthly expense over all of an owner's expense rows (A3)."""
-    if rollup is not None:
-        m = _monthly(rollup.where(F.col("n_expense") > 0), {"expense": F.sum("expense")})
-    else:                                  # no window: one shuffle at the month grain
-        m = _monthly(FL.expenses(ledger).withColumnRenamed(C.DATE, C.DAY),
-                     {"expense": F.sum(C.AMOUNT)})
+def monthly_spend(ledger: DataFrame) -> DataFrame:
+    """Zero-filled monthly expense over all of an owner's expense rows (A3);
+    one shuffle, at the month grain."""
+    m = _monthly(FL.expenses(ledger).withColumnRenamed(C.DATE, C.DAY), {"expense": F.sum(C.AMOUNT)})
     return (zero_filled_months(m, ["expense"])
             .withColumn("month_key", X.month_key(C.MONTH)))
 
 
-def monthly_trend(ledger: DataFrame, months: int = 1, category: str | None = None,
-                  rollup: DataFrame | None = None) -> DataFrame:
+def monthly_trend(ledger: DataFrame, months: int = 1, category: str | None = None) -> DataFrame:
     """Lookback -> expenses -> optional parent filter -> zero-filled
     months -> 3-month rolling mean (min_periods=1), only when the series has
     at least 3 months; the mean is left unrounded (Q13)."""
-    r = rollup if rollup is not None else A.daily_rollup(ledger, bool(category))
-    win = A.windowed_rollup(r, months).where(F.col("n_expense") > 0)
-    win = FL.in_parent(win, category)
-    m = _monthly(win, {"total": F.sum("expense")})
+    rows = FL.expenses(FL.window(ledger, months))
+    if category:
+        rows = FL.in_parent(rows.withColumn(C.PARENT, X.parent_category(C.CATEGORY)), category)
+    m = _monthly(rows.withColumnRenamed(C.DATE, C.DAY), {"total": F.sum(C.AMOUNT)})
     filled = zero_filled_months(m, ["total"])
     w_all = Window.partitionBy(C.USER)
     w3 = Window.partitionBy(C.USER).orderBy(C.MONTH).rowsBetween(-2, 0)
@@ -68,15 +64,14 @@ def monthly_trend(ledger: DataFrame, months: int = 1, category: str | None = Non
             .withColumn("title", F.lit(title)))
 
 
-def income_vs_expense(ledger: DataFrame, months: int = 6, show_net_line: bool = True,
-                      rollup: DataFrame | None = None) -> DataFrame:
+def income_vs_expense(ledger: DataFrame, months: int = 6, show_net_line: bool = True) -> DataFrame:
     """Both signs in one pass per month; the spine spans all remaining
     rows of the window (income, expense or zero amounts)."""
-    r = rollup if rollup is not None else A.daily_rollup(ledger, by_parent=False)
-    win = A.windowed_rollup(r, months)
-    m = _monthly(win, {
-        "income": F.coalesce(-F.sum("income"), F.lit(0).cast(C.MONEY_TYPE)),
-        "expense": F.coalesce(F.sum("expense"), F.lit(0).cast(C.MONEY_TYPE)),
+    x = F.col(C.AMOUNT)
+    zero = F.lit(0).cast(C.MONEY_TYPE)
+    m = _monthly(FL.window(ledger, months).withColumnRenamed(C.DATE, C.DAY), {
+        "income": F.coalesce(-F.sum(F.when(x < 0, x)), zero),
+        "expense": F.coalesce(F.sum(F.when(x > 0, x)), zero),
     })
     out = (zero_filled_months(m, ["income", "expense"])
            .withColumn("label", X.month_label(C.MONTH)))
@@ -92,11 +87,10 @@ def avg_monthly_spend(ledger: DataFrame) -> DataFrame:
 
 
 def owners_without_data(ledger: DataFrame, months: int, expense_only: bool = True,
-                        category: str | None = None,
-                        rollup: DataFrame | None = None) -> DataFrame:
+                        category: str | None = None) -> DataFrame:
     """C4: owners whose chart window holds no (expense) rows -> 'no data',
     with the date range of all their rows."""
-    r = rollup if rollup is not None else A.daily_rollup(ledger, bool(category))
+    r = A.daily_rollup(ledger, bool(category))
     r = r.withColumn("ref_date", F.max(C.DAY).over(Window.partitionBy(C.USER)))
     hit = F.col("n_expense") > 0 if expense_only else F.col("n_rows") > 0
     if category:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from ..operators.profile import FALLBACK_TEMPLATE, NO_DATA_TEMPLATE
+from ..operators.profile import FALLBACK_TEMPLATE, NO_DATA_TEMPLATE, NO_PROFILE_TEXT, NO_ROWS_TEXT
+from ..sources.derived import OWNER_CONVERSATIONS
 from .ledger_queries import TREND_CATEGORY
 from .sql import (AVG_EXPENSE, AVG_MONTHLY, CAT_TOTALS, LEDGER, MER_TOTALS, MONTHLY_EXPENSE,
                   OWNER_TOTALS, REF, TOP_CATS, TOP_MERS, cents, cur, fill, money2, parent, q,
@@ -52,13 +53,23 @@ SELECT user_id, user_name, n_rows, n_expense, n_income,
        {AVG_EXPENSE} AS avg_expense, first_date, last_date
 FROM ot"""
 
+_QUARTILES = ", ".join(
+    f"CAST(xs[CAST(floor((n - 1) * {f}) AS BIGINT) + 1] + (xs[CAST(ceil((n - 1) * {f}) AS BIGINT) + 1]"
+    f" - xs[CAST(floor((n - 1) * {f}) AS BIGINT) + 1]) * CAST((n - 1) * {f} - floor((n - 1) * {f}) AS DECIMAL(9,6))"
+    f" AS DOUBLE) AS {k}" for k, f in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)))
 ORACLE["amount_describe"] = W(LEDGER) + f"""
-SELECT user_id, count(transaction_amount) AS n,
-       CAST(sum(transaction_amount) AS DOUBLE) AS total,
-       CAST(min(transaction_amount) AS DOUBLE) AS min_amount,
-       CAST(max(transaction_amount) AS DOUBLE) AS max_amount,
-       {cents('CAST(sum(transaction_amount) AS DOUBLE) / count(transaction_amount)')} AS mean_amount
-FROM txn GROUP BY user_id"""
+, g AS (SELECT user_id, count(transaction_amount) AS n, sum(transaction_amount) AS total,
+          sum(transaction_amount * transaction_amount) AS squares, min(transaction_amount) AS lo,
+          max(transaction_amount) AS hi, list_sort(list(transaction_amount)) AS xs
+        FROM txn GROUP BY user_id)
+SELECT user_id, n, CAST(total AS DOUBLE) AS total, CAST(lo AS DOUBLE) AS min_amount, CAST(hi AS DOUBLE) AS max_amount,
+       {_QUARTILES}, {cents('CAST(total AS DOUBLE) / n')} AS mean_amount,
+       CASE WHEN n > 1 THEN {cents('sqrt(greatest((CAST(squares AS DOUBLE) - CAST(total AS DOUBLE) * CAST(total AS DOUBLE) / n) / (n - 1), 0))')} END AS std_amount
+FROM g"""
+
+ORACLE["owner_rows"] = W(LEDGER) + """
+SELECT user_id, user_name, transaction_date, CAST(transaction_amount AS DOUBLE) AS transaction_amount,
+       transaction_category_detail, merchant_name FROM txn WHERE user_id = 'usr_1'"""
 
 ORACLE["category_totals"] = W(LEDGER, CAT_TOTALS) + """
 SELECT user_id, parent_category, CAST(total_expense AS DOUBLE) AS total_expense, n_transactions
@@ -229,7 +240,40 @@ DATA_SUMMARY_CTE = (OWNER_TOTALS + "," + CAT_TOTALS + "," + MER_TOTALS + "," + T
   UNION ALL SELECT user_id, 'merchant_' || merchant_name, {cents('total_expense')} FROM tm
 )""")
 
-ORACLE["data_summary"] = W(LEDGER, DATA_SUMMARY_CTE) + "SELECT user_id, key, value FROM ds"
+ORACLE["data_summary"] = W(LEDGER, DATA_SUMMARY_CTE) + f"""
+SELECT user_id, key, value, CAST(NULL AS VARCHAR) AS text FROM ds
+UNION ALL SELECT user_id, 'date_range_start', NULL, {ymd('first_date')} FROM ot
+UNION ALL SELECT user_id, 'date_range_end', NULL, {ymd('last_date')} FROM ot"""
 
 ORACLE["hashed_ids"] = W(LEDGER) + """
 SELECT DISTINCT user_id, left(sha256(user_id), 12) AS user_id_hash FROM txn"""
+
+ORACLE["request_profiles"] = W(LEDGER, OWNER_TOTALS) + f"""
+, r AS (SELECT conv_id * 4294967296 + turn AS request_id,
+          CASE WHEN turn % 7 = 5 THEN 'usr_x' || CAST(conv_id AS VARCHAR)
+               ELSE 'usr_' || CAST(conv_id // {OWNER_CONVERSATIONS} + 1 AS VARCHAR) END AS user_id
+        FROM conversations WHERE role = 'user')
+SELECT request_id, user_id, user_name, n_rows AS total_transactions, {ymd('last_date')} AS date_range_end,
+       {AVG_MONTHLY} AS avg_monthly_spend, {cents('total_expense')} AS total_expense
+FROM r JOIN ot USING (user_id)"""
+
+ORACLE["absent_profiles"] = f"""
+WITH prof AS ({ORACLE["user_profile"]}), ptext AS ({ORACLE["profile_text"]}), summ AS ({ORACLE["text_summary"]}),
+top AS ({ORACLE["top_categories"]}), cu AS (SELECT 'usr_' || CAST(c_custkey AS VARCHAR) AS user_id FROM customer
+       UNION SELECT CASE WHEN turn % 7 = 5 THEN 'usr_x' || CAST(conv_id AS VARCHAR)
+                         ELSE 'usr_' || CAST(conv_id // {OWNER_CONVERSATIONS} + 1 AS VARCHAR) END
+       FROM conversations WHERE role = 'user')
+SELECT user_id, coalesce(user_name, 'Unknown') AS user_name, date_range_start, date_range_end,
+       coalesce(total_transactions, 0) AS total_transactions,
+       (SELECT count(*) FROM top WHERE top.user_id = cu.user_id) AS n_top_categories,
+       coalesce(avg_monthly_spend, 0.0) AS avg_monthly_spend, coalesce(total_income, 0.0) AS total_income,
+       coalesce(total_expense, 0.0) AS total_expense, coalesce(profile_text, {q(NO_PROFILE_TEXT)}) AS profile_text,
+       coalesce(text_summary, {q(NO_ROWS_TEXT)}) AS text_summary
+FROM cu LEFT JOIN prof USING (user_id) LEFT JOIN ptext USING (user_id) LEFT JOIN summ USING (user_id)"""
+
+ORACLE["quarantine"] = """
+SELECT event_id, 'usr_' || CAST(user_id AS VARCHAR) AS user_id,
+  CASE WHEN event_type <> 'signup' THEN CAST(ts AS DATE) END AS transaction_date,
+  CASE WHEN event_type <> 'error' THEN CAST(CAST(value AS DECIMAL(28,8)) AS DOUBLE) END AS transaction_amount,
+  CASE event_type WHEN 'signup' THEN 'bad date: signup' WHEN 'error' THEN 'bad amount: ' || props END AS reason
+FROM events"""

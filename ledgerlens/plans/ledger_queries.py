@@ -6,6 +6,8 @@ every computed column aliased to the same name as in the oracle SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,12 @@ from ..operators import aggregates as A
 from ..operators import filters as FL
 from ..operators import profile as P
 from ..operators import series as S
-from ..sources.ledger import driver_ledger, driver_names
+from ..sources import derived as D
+from ..session import ensure_checkpoint_dir
+from ..sources.ledger import driver_ledger, driver_names, load_with_quarantine
+from .card_store import CardStore, with_absent
+from .card_store import request_profiles as request_cards
+from .store import once
 
 TREND_CATEGORY = "brand#13"   # filter argument; compared upper-cased (Q14)
 
@@ -75,7 +82,8 @@ def totals(spark: SparkSession, d: str) -> DataFrame:
 
 def amount_describe(spark: SparkSession, d: str) -> DataFrame:
     t = A.amount_describe(driver_ledger(spark, d, need=()))
-    return t.select(C.USER, "n", *_money("total", "min_amount", "max_amount"), "mean_amount")
+    return t.select(C.USER, "n", *_money("total", "min_amount", "max_amount", "p25", "p50", "p75"),
+                    "mean_amount", "std_amount")
 
 
 def category_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -98,8 +106,14 @@ def top_merchants(spark: SparkSession, d: str) -> DataFrame:
     return t.select(C.USER, C.MERCHANT, *_money("total_expense"), F.col("rank").cast("bigint"))
 
 
+def _within(months: int):
+    """Cuts the facts to each owner's window before a dimension is joined."""
+    return None if months >= FL.ALL_MONTHS else lambda facts: FL.lookback_rows(facts, months)
+
+
 def _breakdown(spark, d, period, top_n):
-    b = A.category_breakdown(driver_ledger(spark, d, need=(C.CATEGORY,)), period, top_n)
+    rows = driver_ledger(spark, d, need=(C.CATEGORY,), rows=_within(FL.period_months(period)))
+    b = A.category_breakdown(rows, period, top_n)
     return b.select(C.USER, "category", "is_other", *_money("amount", "total"),
                     F.col("slice_order").cast("bigint"), "pct", "show_label", "legend")
 
@@ -119,7 +133,7 @@ def monthly_spend(spark: SparkSession, d: str) -> DataFrame:
 
 def _trend(spark, d, months, category):
     need = (C.CATEGORY,) if category else ()
-    t = S.monthly_trend(driver_ledger(spark, d, need=need), months, category)
+    t = S.monthly_trend(driver_ledger(spark, d, need=need, rows=_within(months)), months, category)
     return t.select(C.USER, C.MONTH, "label", *_money("total"), "avg3", "title")
 
 
@@ -132,7 +146,7 @@ def monthly_trend_category(spark: SparkSession, d: str) -> DataFrame:
 
 
 def income_vs_expense(spark: SparkSession, d: str) -> DataFrame:
-    t = S.income_vs_expense(driver_ledger(spark, d, need=()), 6, True)
+    t = S.income_vs_expense(driver_ledger(spark, d, need=(), rows=_within(6)), 6, True)
     return t.select(C.USER, C.MONTH, "label", *_money("income", "expense", "net"))
 
 
@@ -183,7 +197,53 @@ def text_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def data_summary(spark: SparkSession, d: str) -> DataFrame:
-    return P.data_summary_long(driver_ledger(spark, d))
+    return P.summary_rows(driver_ledger(spark, d))
+
+
+#: The owner of the single-owner path.
+ONE_OWNER = "usr_1"
+
+
+def owner_rows(spark: SparkSession, d: str) -> DataFrame:
+    """one owner's rows."""
+    L = driver_ledger(spark, d, owner=ONE_OWNER)
+    return L.select(C.USER, C.NAME, C.DATE, *_money(C.AMOUNT), C.CATEGORY, C.MERCHANT)
+
+
+def stored_cards(spark: SparkSession, d: str) -> DataFrame:
+    """The owner cards of these tables, stored once a session."""
+    def build():
+        store = CardStore(spark)
+        store.refresh(driver_ledger(spark, d))
+        return store
+    inputs = [f"{d}/{t}.parquet" for t in ("lineitem", "orders", "customer", "part", "supplier")]
+    return once(spark, "card_store", inputs, build).cards()
+
+
+def request_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Every request with its owner's stored profile."""
+    r = request_cards(D.requests(spark, d).select("request_id", C.USER), stored_cards(spark, d))
+    return r.select(
+        "request_id", C.USER, C.NAME, F.col("n_rows").alias("total_transactions"),
+        F.date_format("last_date", "yyyy-MM-dd").alias("date_range_end"), "avg_monthly_spend",
+        X.cents(F.col("total_expense")).alias("total_expense"))
+
+
+def quarantine(spark: SparkSession, d: str) -> DataFrame:
+    """The event feed split into ledger rows and rejected rows, in one
+    pass; both sides are read back here."""
+    folder = f"{ensure_checkpoint_dir(spark)}/tables/feed-{uuid.uuid4().hex}"
+    good, bad = load_with_quarantine(D.event_feed(spark, d), folder)
+    cols = ["event_id", C.USER, C.DATE, F.col(C.AMOUNT).cast("double").alias(C.AMOUNT)]
+    return good.select(*cols, F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select(*cols, "reason"))
+
+
+def absent_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """A13, A15, M1 with their empty forms: a profile for every customer and
+    every owner that a request names, with ledger rows or without."""
+    ids = driver_names(spark, d).select(C.USER).unionAll(D.requests(spark, d).select(C.USER)).distinct()
+    return with_absent(ids, stored_cards(spark, d))
 
 
 def hashed_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -220,4 +280,8 @@ QUERIES = {
     "text_summary": text_summary,
     "data_summary": data_summary,
     "hashed_ids": hashed_ids,
+    "owner_rows": owner_rows,
+    "request_profiles": request_profiles,
+    "absent_profiles": absent_profiles,
+    "quarantine": quarantine,
 }

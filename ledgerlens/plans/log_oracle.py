@@ -7,30 +7,44 @@ building *and* parsing the two response formats loses nothing.
 
 from __future__ import annotations
 
+import json
+
 from ..functions import patterns as P
 from ..operators.llm_tables import TOOLS
-from ..sources.derived import PROMPT_TEMPLATES, TOOL_PLAN
+from ..sources.derived import HEDGING, PROMPT_TEMPLATES, RUDE, TOOL_PLAN, WRONG_ARGUMENTS
+from .log_queries import CONVERSATION_TOKENS
 from .screening_oracle import REQUESTS, RULES, any_sql
 from .sql import q, with_
 
-_PLAN_ROWS = ", ".join(f"({i}, {pos}, {q(n)}, {q(a)})"
+def _sorted(args: str) -> str:
+    """Arguments as JSON with sorted keys, or the text itself where they are none."""
+    try:
+        return json.dumps(json.loads(args), sort_keys=True, separators=(",", ":"))
+    except ValueError:
+        return args
+
+
+_PLAN_ROWS = ", ".join(f"({i}, {pos}, {q(n)}, {q(a)}, {str((i, pos) not in WRONG_ARGUMENTS).lower()}, {q(_sorted(a))})"
                        for i, calls in TOOL_PLAN.items() for pos, (n, a) in enumerate(calls))
 _KNOWN = "[" + ", ".join(q(t) for t in TOOLS) + "]"
 
 RESP = f"""
-plan AS (SELECT * FROM (VALUES {_PLAN_ROWS}) t(idx, pos, name, args)),
+plan AS (SELECT * FROM (VALUES {_PLAN_ROWS}) t(idx, pos, name, args, args_ok, args_sorted)),
 turns AS (
-  SELECT u.conv_id, u.turn, u.text, coalesce(a.text, '') AS answer,
+  SELECT u.conv_id, u.turn, u.text, coalesce(a.text || CASE WHEN u.conv_id % 9 = 4 THEN {q(HEDGING)} ELSE '' END
+           || CASE WHEN u.conv_id % 11 = 3 THEN {q(RUDE)} ELSE '' END, '') AS answer,
          (u.conv_id + u.turn) % {len(PROMPT_TEMPLATES)} AS idx,
          u.conv_id * 4294967296 + u.turn AS request_id,
-         CASE WHEN (u.conv_id * 31 + u.turn) % 13 = 0 THEN 'failed' ELSE 'ok' END AS status,
+         CASE WHEN u.conv_id % 13 = 7 THEN 'skipped'
+              WHEN u.conv_id % 13 = 5 OR (u.conv_id * 31 + u.turn) % 13 = 0 THEN 'failed' ELSE 'ok' END AS status,
          CASE WHEN u.conv_id % 2 = 0 THEN 'chat' ELSE 'native' END AS provider
   FROM conversations u
   LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant'
   WHERE u.role = 'user'
 ),
 calls AS (
-  SELECT t.request_id, t.provider, t.status, p.pos, p.name, p.args, json_valid(p.args) AS valid,
+  SELECT t.request_id, t.provider, t.status, p.pos, p.name, p.args, p.args_ok, p.args_sorted,
+         json_valid(p.args) AS valid,
          CASE WHEN t.provider = 'chat' THEN 'call_' || CAST(p.pos + 1 AS VARCHAR)
               ELSE 'call_' || p.name END AS call_id
   FROM turns t JOIN plan p ON p.idx = t.idx WHERE t.status = 'ok'
@@ -52,7 +66,7 @@ pr AS (
   FROM turns t
   LEFT JOIN (SELECT request_id, count(*) AS n, string_agg(name, ',' ORDER BY pos) AS names,
                     string_agg(call_id, ',' ORDER BY pos) AS ids,
-                    count(*) FILTER (WHERE list_contains({_KNOWN}, name)) AS n_known
+                    count(*) FILTER (WHERE args_ok AND list_contains({_KNOWN}, name)) AS n_known
              FROM good GROUP BY request_id) g USING (request_id)
   LEFT JOIN (SELECT request_id, count(*) AS n FROM calls WHERE NOT valid GROUP BY request_id) m
     USING (request_id)
@@ -102,34 +116,37 @@ ORACLE["parse_content_json"] = _parse("native")
 
 ORACLE["route_tool_calls"] = with_(RESP) + """
 , r AS (
-  SELECT request_id, CAST(call_pos AS BIGINT) AS call_pos, call_id, name AS tool_name, args,
+  SELECT request_id, CAST(call_pos AS BIGINT) AS call_pos, call_id, name AS tool_name,
+         CASE WHEN args_ok THEN args END AS args, args_ok,
          CASE name WHEN 'plot_monthly_spending_trend' THEN 'monthly_spending_trend'
                    WHEN 'plot_category_breakdown' THEN 'category_breakdown'
                    WHEN 'plot_income_vs_expense' THEN 'income_vs_expense' END AS chart_type
   FROM good)
-SELECT request_id, call_pos, call_id, tool_name, chart_type, chart_type IS NOT NULL AS success,
-  CASE WHEN chart_type IS NULL THEN 'Unknown tool: ' || tool_name END AS error,
-  CASE WHEN tool_name = 'plot_monthly_spending_trend'
+SELECT request_id, call_pos, call_id, tool_name, CASE WHEN args_ok THEN chart_type END AS chart_type,
+  args_ok AND chart_type IS NOT NULL AS success,
+  CASE WHEN chart_type IS NULL THEN 'Unknown tool: ' || tool_name
+       WHEN NOT args_ok THEN 'Tool execution error: invalid arguments' END AS error,
+  CASE WHEN args_ok AND tool_name = 'plot_monthly_spending_trend'
          THEN coalesce(CAST(json_extract_string(args, '$.months') AS BIGINT), 1)
-       WHEN tool_name = 'plot_income_vs_expense'
+       WHEN args_ok AND tool_name = 'plot_income_vs_expense'
          THEN coalesce(CAST(json_extract_string(args, '$.months') AS BIGINT), 6) END AS months,
-  CASE WHEN tool_name = 'plot_category_breakdown'
+  CASE WHEN args_ok AND tool_name = 'plot_category_breakdown'
          THEN coalesce(json_extract_string(args, '$.period'), 'last_3_months') END AS period,
-  CASE WHEN tool_name = 'plot_category_breakdown'
+  CASE WHEN args_ok AND tool_name = 'plot_category_breakdown'
          THEN coalesce(CAST(json_extract_string(args, '$.top_n') AS BIGINT), 7) END AS top_n,
-  CASE WHEN tool_name = 'plot_monthly_spending_trend'
+  CASE WHEN args_ok AND tool_name = 'plot_monthly_spending_trend'
          THEN json_extract_string(args, '$.category_filter') END AS category_filter,
-  CASE WHEN tool_name = 'plot_income_vs_expense'
+  CASE WHEN args_ok AND tool_name = 'plot_income_vs_expense'
          THEN coalesce(CAST(json_extract_string(args, '$.show_net_line') AS BOOLEAN), true) END
     AS show_net_line,
-  CASE WHEN tool_name = 'plot_monthly_spending_trend'
+  CASE WHEN args_ok AND tool_name = 'plot_monthly_spending_trend'
          THEN 'Monthly spending trend chart generated for the last '
               || CAST(coalesce(CAST(json_extract_string(args, '$.months') AS BIGINT), 1) AS VARCHAR)
               || ' month(s).'
-       WHEN tool_name = 'plot_category_breakdown'
+       WHEN args_ok AND tool_name = 'plot_category_breakdown'
          THEN 'Category breakdown donut chart generated for '
               || replace(coalesce(json_extract_string(args, '$.period'), 'last_3_months'), '_', ' ') || '.'
-       WHEN tool_name = 'plot_income_vs_expense'
+       WHEN args_ok AND tool_name = 'plot_income_vs_expense'
          THEN 'Income vs expense chart generated for the last '
               || CAST(coalesce(CAST(json_extract_string(args, '$.months') AS BIGINT), 6) AS VARCHAR)
               || ' month(s).' END AS description
@@ -139,15 +156,15 @@ ORACLE["infer_operation"] = _BASE + "SELECT request_id, n_charts, operation FROM
 
 ORACLE["viz_state"] = _BASE + """
 , ch AS (
-  SELECT i.user_id, i.ts, g.request_id, g.call_pos, g.name, g.args,
+  SELECT i.user_id, i.ts, g.request_id, g.call_pos, g.name, g.args, g.args_sorted,
          CASE g.name WHEN 'plot_monthly_spending_trend' THEN 'monthly_spending_trend'
                      WHEN 'plot_category_breakdown' THEN 'category_breakdown'
                      WHEN 'plot_income_vs_expense' THEN 'income_vs_expense' END AS chart_type
-  FROM good g JOIN inter i USING (request_id) WHERE i.status = 'ok'),
+  FROM good g JOIN inter i USING (request_id) WHERE i.status = 'ok' AND g.args_ok),
 last AS (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, request_id DESC, call_pos DESC) AS r
   FROM ch WHERE chart_type IS NOT NULL)
-SELECT user_id, chart_type AS last_chart_type,
+SELECT user_id, chart_type AS last_chart_type, args_sorted AS axes, args_sorted AS filters,
   CASE WHEN name = 'plot_monthly_spending_trend'
          THEN coalesce(CAST(json_extract_string(args, '$.months') AS BIGINT), 1)
        WHEN name = 'plot_income_vs_expense'
@@ -172,7 +189,8 @@ FROM inter"""
 ORACLE["failure_runs"] = f"""
 WITH c AS (
   SELECT event_id AS call_id, 'svc_' || CAST(user_id % 4 AS VARCHAR) AS instance_id, ts,
-         CASE WHEN event_type IN ('error', 'signup') THEN 'failed' ELSE 'ok' END AS status
+         CASE WHEN event_type IN ('error', 'signup') THEN 'failed' WHEN event_type = 'purchase' THEN 'skipped'
+              ELSE 'ok' END AS status
   FROM events),
 a AS (
   SELECT *,
@@ -219,7 +237,7 @@ SELECT request_id, user_id, latency_ms,
   cache_hit, CAST(n_charts AS BIGINT) AS num_visualizations
 FROM r"""
 
-ORACLE["chat_history"] = """
-SELECT conv_id, turn + 1 AS position, role, text AS content, CAST(length(text) AS BIGINT) AS n_chars,
-       turn = max(turn) OVER (PARTITION BY conv_id) AS is_last
-FROM conversations"""
+ORACLE["conversation_suffix"] = f"""
+WITH t AS (SELECT *, CAST(greatest(1, floor(length(text) / 4)) AS BIGINT) AS tokens FROM conversations),
+s AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS BIGINT) AS suffix_tokens FROM t)
+SELECT conv_id, turn, role, tokens, suffix_tokens, suffix_tokens <= {CONVERSATION_TOKENS} AS kept FROM s"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from .. import columns as C
 from ..operators import llm_tables as L
 from ..operators import screening as G
 from ..operators import sequences as Q
+from ..operators.cache_state import merge_batch
+from ..session import ensure_checkpoint_dir
 from ..sources import derived as D
-from ..session import cut_lineage
 from ..sources.ledger import driver_ledger, read_table
 from . import pipeline as PL
+from .store import stored
 
 
 def known_users(spark: SparkSession, d: str) -> DataFrame:
@@ -26,7 +30,7 @@ def parsed_responses(spark: SparkSession, d: str) -> DataFrame:
 def n_charts_expr():
     """Successful chart calls of a response, counted without exploding."""
     return F.size(F.filter(F.coalesce(F.col("tool_calls"), F.array()),
-                           lambda c: L.valid_arguments(c["name"], c["arguments"]))).cast("bigint")
+                           lambda c: L.valid_arguments(c["name"], F.try_parse_json(c["arguments"])))).cast("bigint")
 
 
 def interactions(spark: SparkSession, d: str) -> DataFrame:
@@ -45,12 +49,34 @@ def interactions(spark: SparkSession, d: str) -> DataFrame:
         "n_charts")
 
 
-def answer_log(spark: SparkSession, d: str, columns: list[str] = PL.ANSWERED) -> DataFrame:
-    """Answered requests with their final answer (after fallback, replacement,
-    chart summary and notes): what history and message contexts quote."""
-    owners = PL.owner_tables(driver_ledger(spark, d))["cards"]
-    passed = cut_lineage(G.screen_prompts(D.requests(spark, d)).where("input_passed"))
-    return PL.answered(passed, owners, D.responses(spark, d), columns=columns)
+LOG_INPUTS = ("conversations", "lineitem", "orders", "customer", "part", "supplier")
+
+
+def log_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(screened requests, answers): stored tables that the history, message and
+    result queries of a session share. The answers are final (after fallback,
+    replacement, chart summary and notes)."""
+    inputs = [f"{d}/{t}.parquet" for t in LOG_INPUTS]
+    made = {}
+
+    def owners():
+        if not made:
+            made.update(PL.owner_tables(driver_ledger(spark, d), D.requests(spark, d)))
+        return made
+
+    rows = stored(spark, "screened", inputs, lambda: PL.screened(D.requests(spark, d), owners()["names"]))
+    answers = stored(spark, "answers", inputs, lambda: PL.answered(
+        rows.where("known AND input_passed"), owners(), D.responses(spark, d)))
+    return rows, answers
+
+
+def result_rows(spark: SparkSession, d: str) -> DataFrame:
+    return PL.results(*log_tables(spark, d))
+
+
+def stored_interactions(spark: SparkSession, d: str) -> DataFrame:
+    inputs = [f"{d}/{t}.parquet" for t in ("conversations", "lineitem", "orders")]
+    return stored(spark, "interactions", inputs, lambda: interactions(spark, d))
 
 
 def unknown_users(spark: SparkSession, d: str) -> DataFrame:
@@ -79,32 +105,33 @@ def parse_content_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_tool_calls(spark: SparkSession, d: str) -> DataFrame:
-    return L.route_tool_calls(parsed_responses(spark, d)).drop("arguments")
+    return L.route_tool_calls(parsed_responses(spark, d)).drop("arguments", "raw_arguments")
 
 
 def recent_history(spark: SparkSession, d: str) -> DataFrame:
-    h = Q.recent_history(answer_log(spark, d, PL.HISTORY))
+    h = Q.recent_history(log_tables(spark, d)[1])
     return h.select(C.USER, "request_id", "position", "prompt", "operation", "result_summary")
 
 
 def few_shot(spark: SparkSession, d: str) -> DataFrame:
-    f = Q.few_shot(answer_log(spark, d, PL.HISTORY))
+    f = Q.few_shot(log_tables(spark, d)[1])
     return f.select("request_id", C.USER, F.size("prev").cast("bigint").alias("n_previous"),
                     "few_shot")
 
 
 def infer_operation(spark: SparkSession, d: str) -> DataFrame:
-    return interactions(spark, d).select("request_id", "n_charts", "operation")
+    return stored_interactions(spark, d).select("request_id", "n_charts", "operation")
 
 
 def viz_state(spark: SparkSession, d: str) -> DataFrame:
-    inter = interactions(spark, d).where(F.col("status") == "ok").select("request_id", C.USER, "ts")
+    inter = stored_interactions(spark, d).where(F.col("status") == "ok").select("request_id", C.USER, "ts")
     charts = L.route_tool_calls(parsed_responses(spark, d)).join(inter, "request_id")
-    return Q.viz_state(charts)
+    state = Q.viz_state(charts)
+    return state.withColumns({c: F.to_json(c) for c in ("axes", "filters")})
 
 
 def cache_hit(spark: SparkSession, d: str) -> DataFrame:
-    h = Q.cache_hits(interactions(spark, d))
+    h = Q.cache_hits(stored_interactions(spark, d))
     return h.select("request_id", C.USER, "cache_hit")
 
 
@@ -117,7 +144,7 @@ def failure_runs(spark: SparkSession, d: str) -> DataFrame:
 def flag_report(spark: SparkSession, d: str) -> DataFrame:
     """All flags of every request of a known owner: input, budget, model call
     and answer rules, in pipeline order."""
-    r = PL.answer_requests(D.requests(spark, d), driver_ledger(spark, d), D.responses(spark, d))
+    r = result_rows(spark, d)
     return Q.flag_report(r.where(F.col("error").isNull()), "request_id", "guardrail_flags")
 
 
@@ -127,20 +154,53 @@ def request_report(spark: SparkSession, d: str) -> DataFrame:
     blocked = (G.screen_prompts(D.requests(spark, d)).where(~F.col("input_passed"))
                .join(known_users(spark, d), C.USER, "left_semi")
                .withColumn("cache_hit", F.lit(False)).withColumn("n_charts", F.lit(0).cast("bigint")))
-    h = Q.cache_hits(interactions(spark, d)).select(*cols).unionByName(blocked.select(*cols))
+    h = Q.cache_hits(stored_interactions(spark, d)).select(*cols).unionByName(blocked.select(*cols))
     return h.select("request_id", C.USER, "latency_ms", Q.latency_band("latency_ms").alias("latency_band"),
                     "cache_hit", F.col("n_charts").alias("num_visualizations"))
 
 
+def _clears(role: str = "role", text: str = "text"):
+    """Turns that clear a conversation: system turns, and user turns whose length
+    is a multiple of seven (a given column stands in for the button)."""
+    return (F.col(role) == "system") | ((F.col(role) == "user") & (F.length(text) % 7 == 0))
+
+
 def chat_history(spark: SparkSession, d: str) -> DataFrame:
-    """Conversation messages in order, per conversation (long form)."""
-    cv = read_table(spark, d, "conversations")
+    """Conversation messages in order, per conversation (long form), with
+    what is visible since the last clear; an answer carries the metadata of its
+    request's result."""
+    cv = Q.visible_history(read_table(spark, d, "conversations"), _clears())
     last = cv.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    return (cv.join(last, "conv_id")
+    meta = result_rows(spark, d).where(F.col("error").isNull()).select(
+        F.shiftright("request_id", 32).alias("conv_id"), (F.col("request_id").bitwiseAND(F.lit((1 << 32) - 1)) + 1).alias("turn"),
+        F.lit("assistant").alias("role"), "cache_hit", "latency_ms", F.array_join("guardrail_flags", "|").alias("flags"))
+    return (cv.join(last, "conv_id").join(meta, ["conv_id", "turn", "role"], "left")
             .select("conv_id", (F.col("turn") + 1).alias("position"), "role",
                     F.col("text").alias("content"),
                     F.length("text").cast("bigint").alias("n_chars"),
-                    (F.col("turn") == F.col("_last")).alias("is_last")))
+                    (F.col("turn") == F.col("_last")).alias("is_last"),
+                    "visible", "visible_position", "cache_hit", "latency_ms", "flags"))
+
+
+#: Tokens of conversation history that a context may hold.
+CONVERSATION_TOKENS = 400
+
+
+def conversation_suffix(spark: SparkSession, d: str) -> DataFrame:
+    """M2 to M4: the newest turns of every conversation within the budget."""
+    s = Q.budgeted_suffix(read_table(spark, d, "conversations"), CONVERSATION_TOKENS)
+    return s.select("conv_id", "turn", "role", "tokens", "suffix_tokens", "kept")
+
+
+def cache_hit_batches(spark: SparkSession, d: str) -> DataFrame:
+    """W5 in two batches: an owner's first two conversations, then the others;
+    the state goes from batch to batch through its table."""
+    folder = f"{ensure_checkpoint_dir(spark)}/tables/cache-{uuid.uuid4().hex}"
+    log = log_tables(spark, d)[1].select("request_id", C.USER, "ts")
+    batch = F.floor(F.pmod(F.shiftright("request_id", 32), F.lit(D.OWNER_CONVERSATIONS)) * 2
+                    / D.OWNER_CONVERSATIONS).cast("int")
+    done = [merge_batch(log.where(batch == b), folder, b).withColumn("batch", F.lit(b)) for b in (0, 1)]
+    return done[0].unionByName(done[1]).select("request_id", C.USER, "batch", "cache_hit")
 
 
 QUERIES = {
@@ -157,4 +217,6 @@ QUERIES = {
     "flag_report": flag_report,
     "request_report": request_report,
     "chat_history": chat_history,
+    "conversation_suffix": conversation_suffix,
+    "cache_hit_batches": cache_hit_batches,
 }

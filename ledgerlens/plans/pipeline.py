@@ -2,7 +2,7 @@
 
 answer_requests(requests, ledger, responses) -> one result row per request:
 
-1. unknown owners  -> error rows (anti join; no audit record)          R2
+1. unknown owners  -> error rows (no audit record)                     R2
 2. input screening -> blocked rows with the rule's message             R3
 3. passing rows    -> owner profile/summaries (computed once per owner,
    joined), model output from the response table (text, fallback when
@@ -11,11 +11,13 @@ answer_requests(requests, ledger, responses) -> one result row per request:
    flag                                                                R1
 4. flags concatenated in stage order                                   U3
 
-Frames that several later steps read are written once to the checkpoint
-folder (owner cards, parsed responses, screened requests, final answers), so
-no step derives them anew and plans stay small. Per-owner tables are small per
-owner and joined to requests (AQE broadcasts them when they fit the broadcast
-threshold).
+Only the ledger rows of owners that the log names are aggregated: the ledger is
+semi-joined with them before its one large shuffle. Frames that several later
+steps read are written once to the checkpoint folder (owner facts, screened
+requests, parsed responses, answers before and after screening), so no step
+derives them anew and plans stay small; these jobs run while the result's frame
+is built. Per-owner tables are small per owner and joined to requests (AQE
+broadcasts them when they fit the broadcast threshold).
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .. import columns as C
 from ..functions import exprs as X
+from ..operators import grounding as GR
 from ..operators import llm_tables as L
 from ..operators import messages as M
 from ..operators import profile as PR
@@ -39,30 +42,42 @@ def _flags(*parts) -> F.Column:
     return F.concat(*[F.coalesce(p, F.array().cast(EMPTY)) for p in parts])
 
 
-def owner_tables(ledger: DataFrame) -> dict[str, DataFrame]:
-    """Per-owner input of the pipeline: ONE card per owner carrying the
-    profile, the summary text and the verified numbers (one pass over the
-    ledger via grouping sets), written once."""
+def owner_tables(ledger: DataFrame, requests: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Per-owner input of the pipeline from one pass over the ledger, written
+    once: ``facts`` (``profile.owner_facts``), and what is made of them, namely
+    names, cards (profile, summary text, summary map) and actuals (verified
+    numbers as rows). With ``requests`` only of their owners."""
     has_merchants = C.MERCHANT in ledger.columns
-    cards = (PR.owner_cards(ledger)
-             .withColumn("text_summary", PR.summary_text(has_merchants))
-             .withColumn("actuals", F.transform(PR.summary_entries(), lambda e: e["value"])))
-    return {"cards": cut_lineage(cards)}
+    led = ledger if has_merchants else ledger.withColumn(C.MERCHANT, F.lit(None).cast("string"))
+    if requests is not None:
+        led = led.join(requests.select(C.USER).distinct(), C.USER, "left_semi")
+    facts = cut_lineage(PR.owner_facts(led))
+    names = facts.where("grain = 'owner'").groupBy(C.USER).agg(F.min(C.NAME).alias("_name"))
+    cards = (PR.cards_of(facts).withColumn("text_summary", PR.summary_text(has_merchants))
+             .withColumn("data_summary", PR.data_summary_map()))
+    return {"facts": facts, "names": names, "cards": cards, "actuals": PR.actual_rows(facts=facts)}
+
+
+def screened(requests: DataFrame, names: DataFrame) -> DataFrame:
+    """All requests, screened, with ``known`` (their owner has ledger rows) and
+    the owner's ``_name``, written once."""
+    rows = requests.join(names.withColumn("known", F.lit(True)), C.USER, "left")
+    return cut_lineage(G.screen_prompts(rows.withColumn("known", F.coalesce("known", F.lit(False)))))
 
 
 #: What the history, the message context and the result rows read of an answer.
 HISTORY = ["request_id", C.USER, "ts", "prompt", "operation", "result_summary"]
 ANSWERED = [*HISTORY, C.NAME, "final_response", "visualizations", "cache_hit", "latency_ms",
             "input_flag", "_llm_flags", "output_flags", "effective_prompt", "_profile_text",
-            "text_summary"]
+            "text_summary", "data_summary"]
 
 
-def answered(passed: DataFrame, owners: DataFrame, responses: DataFrame,
-             bucket: str = Q.DEFAULT_BUCKET, columns: list[str] = ANSWERED) -> DataFrame:
+def answered(passed: DataFrame, owners: dict[str, DataFrame], responses: DataFrame,
+             bucket: str = Q.DEFAULT_BUCKET) -> DataFrame:
     """R1 for screened requests that passed, up to the final answer: fallback,
     chart summary, output screening, and what the history keeps of it (prompt,
-    operation, result_summary). ``owners``: the cards of ``owner_tables``;
-    ``passed`` is read twice. The ``columns`` of the answers are written once."""
+    operation, result_summary); the columns ANSWERED. ``owners``:
+    ``owner_tables``; ``passed`` is read twice."""
     ok = Q.cache_hits(passed)
     parsed = cut_lineage(L.parse_responses(responses).select(
         "request_id", "instance_id", "ts", "status", "llm_text", "tool_calls", "malformed_retry"))
@@ -76,7 +91,7 @@ def answered(passed: DataFrame, owners: DataFrame, responses: DataFrame,
         "call_pos", "chart_type", "description"))).alias("_charts"))
     a = (ok.join(resp, "request_id", "left").join(breaker, "request_id", "left")
          .join(charts, "request_id", "left")
-         .join(owners, C.USER))
+         .join(owners["cards"], C.USER))
     viz = F.transform(F.coalesce(F.col("_charts"), F.array()), lambda c: c["chart_type"])
     a = a.withColumn("visualizations", viz.cast(EMPTY)) \
          .withColumn("_n_charts", F.size("visualizations"))
@@ -88,9 +103,12 @@ def answered(passed: DataFrame, owners: DataFrame, responses: DataFrame,
                   M.chart_summary(C.NAME, "_n_charts"))
             .otherwise(F.coalesce(F.col("llm_text"), F.lit(""))))
     a = a.withColumn("response_raw", text).withColumn("_fallback", fallback)
-    a = G.screen_answers(a, text_col="response_raw", actuals_col="actuals",
-                         start_col="first_date", end_col="last_date", rows_col="n_rows",
-                         skip_grounding_col="_fallback")
+    a = cut_lineage(a.withColumn("_profile_text", PR.profile_text(a)).drop(
+        "categories", "top_categories", "top_merchants", "months", "_charts"))
+    numbers = GR.number_flags(a.where(~F.col("_fallback")), owners["actuals"], "request_id", C.USER, "response_raw")
+    a = G.screen_answers(a.join(numbers, "request_id", "left"), text_col="response_raw",
+                         numbers_col="number_flags", start_col="first_date", end_col="last_date",
+                         rows_col="n_rows", skip_grounding_col="_fallback")
     llm_flags = (F.when(skipped, F.array(F.lit("CIRCUIT_BREAKER_OPEN")))
                  .when(failed, F.when(F.col("tripped"), F.array(
                      F.lit("LLM_UNAVAILABLE"), F.lit("CIRCUIT_BREAKER_TRIPPED")))
@@ -100,9 +118,8 @@ def answered(passed: DataFrame, owners: DataFrame, responses: DataFrame,
             .withColumn("prompt", F.col("effective_prompt"))
             .withColumn("operation", Q.infer_operation("effective_prompt", "_n_charts"))
             .withColumn("result_summary", F.substring(F.coalesce(
-                F.nullif(F.col("final_response"), F.lit("")), F.lit("No response generated")), 1, 200))
-            .withColumn("_profile_text", PR.profile_text(a)))
-    return cut_lineage(a.select(*columns))
+                F.nullif(F.col("final_response"), F.lit("")), F.lit("No response generated")), 1, 200)))
+    return a.select(*ANSWERED)
 
 
 def with_messages(a: DataFrame, bucket: str = Q.DEFAULT_BUCKET) -> DataFrame:
@@ -115,17 +132,24 @@ def with_messages(a: DataFrame, bucket: str = Q.DEFAULT_BUCKET) -> DataFrame:
 def answer_requests(requests: DataFrame, ledger: DataFrame, responses: DataFrame,
                     bucket: str = Q.DEFAULT_BUCKET,
                     tables: dict[str, DataFrame] | None = None) -> DataFrame:
-    owners = (tables or owner_tables(ledger))["cards"]
-    users = owners.select(C.USER)
-    names = owners.select(C.USER, F.col(C.NAME).alias("_name"))
+    owners = tables or owner_tables(ledger, requests)
+    rows = screened(requests, owners["names"])
+    answers = cut_lineage(answered(rows.where("known AND input_passed"), owners, responses, bucket))
+    return results(rows, answers, bucket)
+
+
+EMPTY_SUMMARY = "map<string,string>"
+
 
-    unknown = requests.join(users, C.USER, "left_anti")
-    known = cut_lineage(G.screen_prompts(requests.join(users, C.USER, "left_semi")))
+def results(rows: DataFrame, answers: DataFrame, bucket: str = Q.DEFAULT_BUCKET) -> DataFrame:
+    """One result row per request from the screened requests and the answers."""
+    unknown, known = rows.where(~F.col("known")), rows.where("known")
 
     # --- R2: unknown owner ---------------------------------------------------
     err = unknown.select(
         "request_id", C.USER, "ts", F.lit(None).cast("string").alias(C.NAME),
         F.lit(None).cast("string").alias("response"),
+        F.lit(None).cast(EMPTY_SUMMARY).alias("data_summary"),
         F.lit(None).cast(EMPTY).alias("visualizations"),
         F.lit(None).cast("boolean").alias("cache_hit"), F.col("latency_ms"),
         F.lit(None).cast(EMPTY).alias("guardrail_flags"),
@@ -137,13 +161,13 @@ def answer_requests(requests: DataFrame, ledger: DataFrame, responses: DataFrame
     passed_first = known.where("input_passed").groupBy(C.USER).agg(
         F.min(F.struct("ts", "request_id")).alias("_first_pass"))
     blocked = (known.where(~F.col("input_passed"))
-               .join(passed_first, C.USER, "left")
-               .join(names, C.USER, "left"))
+               .join(passed_first, C.USER, "left"))
     seen = F.col("_first_pass").isNotNull() & (F.col("_first_pass") < F.struct("ts", "request_id"))
     blk = blocked.select(
         "request_id", C.USER, "ts",
         F.when(seen, F.col("_name")).otherwise(F.lit("Unknown")).alias(C.NAME),
         F.col("input_message").alias("response"),
+        F.create_map().cast(EMPTY_SUMMARY).alias("data_summary"),
         F.array().cast(EMPTY).alias("visualizations"),
         F.lit(False).alias("cache_hit"), "latency_ms",
         F.array(F.col("input_flag")).alias("guardrail_flags"),
@@ -151,11 +175,11 @@ def answer_requests(requests: DataFrame, ledger: DataFrame, responses: DataFrame
 
     # --- R1: answered ---------------------------------------------------------
     # history (needs final answers) -> few-shot -> messages -> budget flag
-    a = with_messages(answered(known.where("input_passed"), owners, responses, bucket), bucket)
+    a = with_messages(answers, bucket)
     a = a.withColumn("_budget", M.budget_flag(F.col("messages")))
     ans = a.select(
         "request_id", C.USER, "ts", C.NAME,
-        F.col("final_response").alias("response"), "visualizations", "cache_hit", "latency_ms",
+        F.col("final_response").alias("response"), "data_summary", "visualizations", "cache_hit", "latency_ms",
         _flags(F.array_compact(F.array(F.col("input_flag"))),
                F.array_compact(F.array(F.col("_budget"))),
                F.col("_llm_flags"), F.col("output_flags")).alias("guardrail_flags"),

@@ -20,8 +20,11 @@ own_totals AS ({with_(LEDGER, OWNER_TOTALS)} SELECT * FROM ot),
 own_profile AS ({LEDGER_ORACLE['profile_text']}),
 own_summary AS ({LEDGER_ORACLE['text_summary']}),
 own_fallback AS ({LEDGER_ORACLE['fallback_answer']}),
-own_actuals AS (SELECT user_id, list(value) AS actuals FROM ({LEDGER_ORACLE['data_summary']})
-                GROUP BY user_id)"""
+own_actuals AS (SELECT user_id, list(value) FILTER (WHERE value IS NOT NULL) AS actuals,
+                  string_agg(key || '=' || coalesce(text, CASE WHEN key = 'transaction_count'
+                    THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE format('{{:.2f}}', value) END), '|'
+                    ORDER BY key || '=') AS data_summary
+                FROM ({LEDGER_ORACLE['data_summary']}) GROUP BY user_id)"""
 
 #: Trips of the breaker: every THRESHOLD-th failed call since the last good one.
 BREAKER = f"""
@@ -45,16 +48,16 @@ charts AS (
                CASE name WHEN 'plot_monthly_spending_trend' THEN 'monthly_spending_trend'
                          WHEN 'plot_category_breakdown' THEN 'category_breakdown'
                          WHEN 'plot_income_vs_expense' THEN 'income_vs_expense' END AS chart_type
-        FROM good)
+        FROM good WHERE args_ok)
   WHERE chart_type IS NOT NULL GROUP BY request_id)"""
 
 ANS = f"""
 ans AS (
   SELECT s.request_id, s.user_id, s.ts, s.latency_ms, s.input_flag, s.effective_prompt, o.user_name,
-         o.n_rows, o.first_date, o.last_date, oa.actuals, pr.status, pr.malformed_retry,
+         o.n_rows, o.first_date, o.last_date, oa.actuals, oa.data_summary, pr.status, pr.malformed_retry,
          coalesce(c.visualizations, '') AS visualizations, CAST(coalesce(c.n, 0) AS BIGINT) AS n_charts,
-         pr.status = 'failed' AS skip_grounding, b.tripped,
-         CASE WHEN pr.status = 'failed' THEN f.fallback_answer
+         pr.status <> 'ok' AS skip_grounding, b.tripped,
+         CASE WHEN pr.status <> 'ok' THEN f.fallback_answer
               WHEN {low_strip("coalesce(pr.llm_text, '')")} = '' AND coalesce(c.n, 0) > 0
                 THEN 'Here''s your financial analysis, ' || coalesce(o.user_name, '')
                      || '! I''ve generated ' || CAST(c.n AS VARCHAR) || ' chart'
@@ -116,7 +119,9 @@ msgs AS (
         || 'DATA SUMMARY:' || chr(10) || t.text_summary || chr(10)}}],
     CASE WHEN few_shot IS NOT NULL THEN [{{'role': 'system', 'content': few_shot}}] ELSE [] END,
     [{{'role': 'user', 'content': effective_prompt}}]) AS messages
-  FROM few f JOIN own_profile p USING (user_id) JOIN own_summary t USING (user_id)),
+  FROM few f JOIN own_profile p USING (user_id) JOIN own_summary t USING (user_id))"""
+
+BUDGET = f"""
 bud AS (
   SELECT *, {_tokens(f"array_to_string({_CONTENTS}, ' ')")} AS context_tokens,
          {_token_sum('messages')} AS message_tokens FROM msgs),
@@ -156,7 +161,7 @@ trimmed AS (
 RESULTS = f"""
 results AS (
   SELECT request_id, user_id, ts, CAST(NULL AS VARCHAR) AS user_name, CAST(NULL AS VARCHAR) AS response,
-         CAST(NULL AS VARCHAR) AS visualizations, CAST(NULL AS BIGINT) AS n_charts,
+         CAST(NULL AS VARCHAR) AS data_summary, CAST(NULL AS VARCHAR) AS visualizations, CAST(NULL AS BIGINT) AS n_charts,
          CAST(NULL AS BOOLEAN) AS cache_hit, latency_ms, CAST(NULL AS VARCHAR[]) AS flags,
          'User ''' || user_id || ''' not found.' AS error, prompt AS effective_prompt
   FROM req WHERE user_id NOT IN (SELECT user_id FROM users)
@@ -165,21 +170,22 @@ results AS (
          CASE WHEN EXISTS (SELECT 1 FROM scr e WHERE e.user_id = s.user_id AND e.input_passed
                            AND (e.ts < s.ts OR e.ts = s.ts AND e.request_id < s.request_id))
               THEN o.user_name ELSE 'Unknown' END,
-         input_message, '', 0, false, latency_ms, [input_flag], NULL, effective_prompt
+         input_message, '', '', 0, false, latency_ms, [input_flag], NULL, effective_prompt
   FROM scr s JOIN own_totals o USING (user_id) WHERE NOT input_passed
   UNION ALL
-  SELECT request_id, user_id, ts, user_name, final_response, visualizations, n_charts, cache_hit, latency_ms,
+  SELECT request_id, user_id, ts, user_name, final_response, data_summary, visualizations, n_charts, cache_hit, latency_ms,
     list_concat(
       CASE WHEN input_flag IS NOT NULL THEN [input_flag] ELSE []::VARCHAR[] END,
       CASE WHEN budget_flag IS NOT NULL THEN [budget_flag] ELSE []::VARCHAR[] END,
-      CASE WHEN status = 'failed' AND tripped THEN ['LLM_UNAVAILABLE', 'CIRCUIT_BREAKER_TRIPPED']
+      CASE WHEN status = 'skipped' THEN ['CIRCUIT_BREAKER_OPEN']
+           WHEN status = 'failed' AND tripped THEN ['LLM_UNAVAILABLE', 'CIRCUIT_BREAKER_TRIPPED']
            WHEN status = 'failed' THEN ['LLM_UNAVAILABLE']
            WHEN malformed_retry THEN ['MALFORMED_TOOL_CALL_RETRY'] ELSE []::VARCHAR[] END,
       output_flags), NULL, effective_prompt
   FROM budget)"""
 
 _LOG = with_(REQUESTS, RULES, RESP, USERS, OWNERS, BREAKER, CHARTS, ANS, NUMS, FINAL, FEW)
-_MSG = _LOG + "," + MESSAGES
+_MSG = _LOG + "," + MESSAGES + "," + BUDGET
 _ALL = _MSG + "," + RESULTS
 
 ORACLE: dict[str, str] = {}
@@ -204,7 +210,7 @@ ORACLE["trim_messages"] = _MSG + "," + TRIM + f"""
 SELECT request_id, CAST(len(t) AS BIGINT) AS n_messages, {_token_sum('t')} AS message_tokens FROM trimmed"""
 
 ORACLE["answer_requests"] = _ALL + """
-SELECT request_id, user_id, user_name, response, visualizations, cache_hit, latency_ms,
+SELECT request_id, user_id, user_name, response, data_summary, visualizations, cache_hit, latency_ms,
        array_to_string(flags, '|') AS guardrail_flags, error FROM results"""
 
 ORACLE["audit_records"] = _ALL + f"""
@@ -226,3 +232,36 @@ SELECT request_id, CAST(flag_pos AS BIGINT) AS flag_pos, flag,
   CASE WHEN {severity_case('fk', 0, "'info'")} = 'error' THEN 'BLOCKED: ' || {severity_case('fk', 1, 'flag')}
        ELSE {severity_case('fk', 1, 'flag')} END AS display
 FROM k"""
+
+ORACLE["cache_hit_batches"] = _LOG + """
+SELECT request_id, user_id, CAST((request_id >> 32) % 4 // 2 AS INTEGER) AS batch, cache_hit FROM fin"""
+
+ORACLE["chat_history"] = _ALL + """
+, c AS (SELECT *, max(CASE WHEN role = 'system' OR role = 'user' AND length(text) % 7 = 0 THEN turn END)
+          OVER (PARTITION BY conv_id) AS cleared FROM conversations),
+v AS (SELECT *, cleared IS NULL OR turn > cleared AS visible FROM c)
+SELECT v.conv_id, v.turn + 1 AS position, v.role, v.text AS content, CAST(length(v.text) AS BIGINT) AS n_chars,
+       v.turn = max(v.turn) OVER (PARTITION BY v.conv_id) AS is_last, v.visible,
+       CASE WHEN v.visible THEN CAST(count(*) FILTER (WHERE v.visible)
+         OVER (PARTITION BY v.conv_id ORDER BY v.turn) AS BIGINT) END AS visible_position,
+       r.cache_hit, r.latency_ms, array_to_string(r.flags, '|') AS flags
+FROM v LEFT JOIN (SELECT * FROM results WHERE error IS NULL) r
+  ON v.role = 'assistant' AND r.request_id = v.conv_id * 4294967296 + v.turn - 1"""
+
+#: A third of each text as history, as data summary and as prompt.
+_DOCS = f"""
+doc0 AS (SELECT doc_id, coalesce(text, '') AS text, CAST(floor(length(coalesce(text, '')) / 3) AS BIGINT) AS n FROM documents),
+msgs AS (
+  SELECT doc_id AS request_id,
+    [{{'role': 'system', 'content': {q(M.SYSTEM_PROMPT)}}},
+     {{'role': 'system', 'content': 'CURRENT USER CONTEXT:' || chr(10) || 'Document ' || CAST(doc_id AS VARCHAR) || chr(10)
+        || chr(10) || 'DATA SUMMARY:' || chr(10) || substr(text, n + 1, n) || chr(10)}},
+     {{'role': 'system', 'content': {q(FEW_SHOT_HEADER)} || left(text, n)}},
+     {{'role': 'user', 'content': substr(text, 2 * n + 1)}}] AS messages
+  FROM doc0)"""
+ORACLE["document_contexts"] = with_(_DOCS, BUDGET, TRIM) + f"""
+SELECT b.request_id AS doc_id, context_tokens, budget_flag,
+  sha256(left(array_to_string({_CONTENTS}, ' '), {P.MAX_INPUT_TOKENS * 4})) AS cut_sha256,
+  CAST(len(t) AS BIGINT) AS n_messages, {_token_sum('t')} AS message_tokens,
+  sha256(array_to_string(list_transform(t, lambda m: m.content), chr(0))) AS trimmed_sha256
+FROM budget b JOIN trimmed USING (request_id)"""

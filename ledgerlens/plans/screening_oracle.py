@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from ..functions import patterns as P
 from ..operators.screening import STRIP_PATTERN
-from ..sources.derived import ANSWER_TEMPLATES, EPOCH, PROMPT_TEMPLATES
+from ..sources.derived import ANSWER_TEMPLATES, EPOCH, OWNER_CONVERSATIONS, PROMPT_TEMPLATES
 from .ledger_oracle import DATA_SUMMARY_CTE
 from .sql import LEDGER, TOP_CATS, cents, cur, q, with_
 
@@ -34,7 +34,7 @@ REQUESTS = f"""
 req0 AS (
   SELECT conv_id, turn, text,
          CASE WHEN turn % 7 = 5 THEN 'usr_x' || CAST(conv_id AS VARCHAR)
-              ELSE 'usr_' || CAST(conv_id AS VARCHAR) END AS user_id,
+              ELSE 'usr_' || CAST(conv_id // {OWNER_CONVERSATIONS} + 1 AS VARCHAR) END AS user_id,
          {_list(PROMPT_TEMPLATES)}[((conv_id + turn) % {len(PROMPT_TEMPLATES)}) + 1] AS tmpl
   FROM conversations WHERE role = 'user'
 ),
@@ -43,8 +43,9 @@ req AS (
          'svc_' || CAST(conv_id % 3 AS VARCHAR) AS instance_id,
          TIMESTAMP '{EPOCH}' + to_seconds(conv_id * 3600 + turn * 60) AS ts,
          user_id,
-         replace(replace(tmpl, '{{own}}', user_id), '{{other}}', 'usr_' || CAST(conv_id + 1 AS VARCHAR))
-           || ' ' || text AS prompt,
+         replace(replace(tmpl, '{{own}}', user_id), '{{other}}',
+           'usr_' || CAST(conv_id // {OWNER_CONVERSATIONS} + 2 AS VARCHAR))
+           || ' ' || repeat(text, conv_id % 6 + 1) AS prompt,
          CAST((conv_id * 7919 + turn * 104729) % 9000 AS DOUBLE) AS latency_ms
   FROM req0
 )"""

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from .. import columns as C
 from ..functions import exprs as X
 from ..functions import patterns as P
+from ..operators import grounding as GR
+from ..operators import profile as PR
 from ..operators import screening as G
+from ..session import cut_lineage
 from ..sources import derived as D
-from ..sources.ledger import read_table
+from ..sources.ledger import driver_ledger, read_table
 
 
 def _screened(spark, d):
@@ -72,28 +75,31 @@ def screen_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _answers(spark, d):
-    return D.answers_with_actuals(spark, d)
+    """Answers with the flags of the numbers that their owner's ledger does not
+    back. The answers, read by both sides of the join, are written once."""
+    a = cut_lineage(D.answers(spark, d))
+    flags = GR.number_flags(a, PR.actual_rows(driver_ledger(spark, d)), "answer_id")
+    return a.join(flags, "answer_id", "left")
 
 
 def number_grounding(spark: SparkSession, d: str) -> DataFrame:
     a = _answers(spark, d)
-    return a.select("answer_id", F.array_join(
-        G.ungrounded_number_flags("response", "actuals"), "|").alias("number_flags"))
+    return a.select("answer_id", F.coalesce(F.array_join("number_flags", "|"), F.lit("")).alias("number_flags"))
 
 
 def date_grounding(spark: SparkSession, d: str) -> DataFrame:
-    a = D.answers(spark, d, with_actuals=False)
+    a = D.answers(spark, d)
     return a.select("answer_id", F.array_join(
         G.ungrounded_date_flags("response", "first_date", "last_date"), "|").alias("date_flags"))
 
 
 def toxicity(spark: SparkSession, d: str) -> DataFrame:
-    a = D.answers(spark, d, with_actuals=False)
+    a = D.answers(spark, d)
     return a.select("answer_id", G.toxic_hit("response").alias("is_toxic"))
 
 
 def confidence(spark: SparkSession, d: str) -> DataFrame:
-    a = D.answers(spark, d, with_actuals=False)
+    a = D.answers(spark, d)
     return a.select("answer_id", G.hedging_hit("response").alias("is_hedging"),
                     (F.col("n_rows") < P.SPARSE_ROWS).alias("is_sparse"))
 

@@ -63,6 +63,39 @@ def dq_counts(raw: DataFrame) -> DataFrame:
     )
 
 
+def judged(raw: DataFrame) -> DataFrame:
+    """Raw rows (text columns) with the typed ledger columns, ``accepted`` and
+    ``reason``: why a row is not taken. A missing owner, a date or an amount that
+    does not parse rejects a row; so does a missing date or amount."""
+    validate_columns(raw)
+    extra = [c for c in raw.columns if c not in C.LEDGER_COLUMNS]
+    given = raw.select(*C.LEDGER_COLUMNS, *extra)
+    date, amount = F.col(C.DATE).cast("string"), F.col(C.AMOUNT).cast("string")
+    parsed = given.withColumn("_time", date.try_cast("timestamp_ntz")) \
+        .withColumn("_amount", amount.try_cast(C.LOADED_MONEY_TYPE))
+    reason = F.concat_ws("; ", *[
+        F.when(F.col(C.USER).isNull(), F.lit("no owner")),
+        F.when(date.isNull(), F.lit("no date")).when(F.col("_time").isNull(), F.concat(F.lit("bad date: "), date)),
+        F.when(amount.isNull(), F.lit("no amount"))
+        .when(F.col("_amount").isNull(), F.concat(F.lit("bad amount: "), amount))])
+    return parsed.select(
+        F.col(C.USER).cast("string").alias(C.USER), F.col(C.NAME).cast("string").alias(C.NAME),
+        F.col("_time").cast("date").alias(C.DATE), F.col("_amount").alias(C.AMOUNT),
+        F.col(C.CATEGORY).cast("string").alias(C.CATEGORY), F.col(C.MERCHANT).cast("string").alias(C.MERCHANT),
+        F.col("_time").alias(C.TIME), *extra, (reason == "").alias("accepted"), F.nullif(reason, F.lit("")).alias("reason"),
+        date.alias("raw_date"), amount.alias("raw_amount"))
+
+
+def load_with_quarantine(raw: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(ledger rows, rejected rows with their reason): raw rows are read and
+    judged once and written to two partitions of one table."""
+    rows = judged(raw).withColumn("accepted", F.col("accepted").cast("string"))
+    rows.write.mode("overwrite").partitionBy("accepted").parquet(folder)
+    both = raw.sparkSession.read.schema(rows.schema).parquet(folder)
+    return (both.where("accepted = 'true'").drop("accepted", "reason", "raw_date", "raw_amount"),
+            both.where("accepted = 'false'").drop("accepted"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -71,8 +104,14 @@ def owner_id(key: str) -> Column:
     return F.concat(F.lit("usr_"), F.col(key).cast("string")).alias(C.USER)
 
 
-def driver_ledger(spark: SparkSession, sf_dir: str,
-                  need=(C.NAME, C.CATEGORY, C.MERCHANT), rows=None) -> DataFrame:
+def owner_key(user_id: str) -> int | None:
+    """The customer key of an owner id, or None: the inverse of ``owner_id``."""
+    key = user_id.removeprefix("usr_")
+    return int(key) if user_id.startswith("usr_") and key.isdecimal() and str(int(key)) == key else None
+
+
+def driver_ledger(spark: SparkSession, sf_dir: str, need=(C.NAME, C.CATEGORY, C.MERCHANT), rows=None,
+                  owner: str | None = None) -> DataFrame:
     """Ledger rows from the TPC-H-like tables: one row per line item.
 
     owner = order customer, date = order date, amount = extended price
@@ -84,11 +123,15 @@ def driver_ledger(spark: SparkSession, sf_dir: str,
     full shuffle of the fact side. Keys are complete foreign keys, so the
     row set does not change. ``rows`` (frame of owner, date and amount ->
     frame) filters the facts before any dimension is joined; columns that it
-    adds are kept.
+    adds are kept. ``owner`` keeps one owner's rows (F1): the id is turned back
+    into its key, so the test is one on a stored column and reaches the scan.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if owner is not None:
+        key = owner_key(owner)
+        od = od.where(F.lit(False) if key is None else F.col("o_custkey") == key)
     amount = F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")) \
         .otherwise(F.col("l_extendedprice")).cast(C.MONEY_TYPE)
     df = li.join(od, li.l_orderkey == od.o_orderkey).select(

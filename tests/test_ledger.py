@@ -129,13 +129,16 @@ def test_text_summary(spark):
 
 
 def test_data_summary_keys(spark):
-    ds = {(r.user_id, r.key): r.value for r in PR.data_summary_long(ledger_df(spark, CACHE_ROWS)).collect()}
+    rows = PR.summary_rows(ledger_df(spark, CACHE_ROWS)).collect()
+    ds = {(r.user_id, r.key): r.value for r in rows}
     assert ds[("usr_001", "total_expense")] == 1850.0
     assert ds[("usr_001", "total_income")] == 10000.0
     assert ds[("usr_001", "avg_expense")] == 462.5
     assert ds[("usr_001", "month_2025_02")] == 250.0
     assert ds[("usr_001", "category_FOOD")] == 250.0
     assert ds[("usr_001", "merchant_AvalonBay")] == 1600.0
+    text = {(r.user_id, r.key): r.text for r in rows}
+    assert (text[("usr_001", "date_range_start")], text[("usr_001", "date_range_end")]) == ("2025-01-01", "2025-03-15")
 
 
 def test_plan_pushes_owner_filter(spark, tmp_path):
@@ -164,6 +167,24 @@ def test_csv_loader_and_dq(spark, tmp_path):
     assert (dq.n_rows, dq.bad_dates, dq.bad_amounts, dq.null_categories) == (3, 1, 0, 1)
 
 
+def test_bad_rows_go_to_quarantine(spark, tmp_path):
+    from ledgerlens.sources.ledger import load_with_quarantine
+    p = tmp_path / "tx.csv"
+    p.write_text("user_id,user_name,transaction_date,transaction_amount,transaction_category_detail,merchant_name,note\n"
+                 "usr_1,A,2025-05-01,18.505,X_Y,m,a\nusr_1,A,2025-05-01 10:30:00,-5,,m,b\n"
+                 "usr_1,A,not-a-date,1,X_Y,m,c\nusr_1,A,2025-05-01,12x,X_Y,m,d\n,A,2025-13-01,,X_Y,m,e\n")
+    raw = spark.read.option("header", True).csv(str(p))
+    good, bad = load_with_quarantine(raw, str(tmp_path / "out"))
+    rows = {r.note: r for r in good.collect()}
+    assert set(rows) == {"a", "b"} and float(rows["a"].transaction_amount) == 18.505
+    assert str(rows["b"].transaction_time) == "2025-05-01 10:30:00" and str(rows["b"].transaction_date) == "2025-05-01"
+    assert {r.note: r.reason for r in bad.collect()} == {
+        "c": "bad date: not-a-date", "d": "bad amount: 12x", "e": "no owner; bad date: 2025-13-01; no amount"}
+    assert {r.note: r.raw_amount for r in bad.collect()}["d"] == "12x"
+    good, bad = load_with_quarantine(raw.where("note = 'a'"), str(tmp_path / "clean"))
+    assert good.count() == 1 and bad.count() == 0
+
+
 def test_text_summary_without_merchant_column(spark):
     df = ledger_df(spark, CACHE_ROWS).drop("merchant_name")
     t = {r.user_id: r.text_summary for r in PR.text_summaries(df).collect()}

@@ -19,7 +19,8 @@ def test_stream_screen_and_audit(spark):
         (3, "svc", t0, "usr_404", "hello", 10.0),
     ], REQUEST_SCHEMA).write.parquet(src)
     stream = spark.readStream.schema(REQUEST_SCHEMA).parquet(src)
-    owners = ledger_df(spark, CACHE_ROWS).select("user_id", "user_name").distinct()
+    twice = [*CACHE_ROWS, ("usr_001", "Alicia", "2025-01-01", 1, "X_Y", "m")]          # an owner with two names
+    owners = ledger_df(spark, twice).select("user_id", "user_name").distinct()
     screened = screen_request_stream(stream, owners)
     q = (screened.writeStream.format("memory").queryName("screened_requests")
          .option("checkpointLocation", os.path.join(base, "ck1")).start())
@@ -34,3 +35,8 @@ def test_stream_screen_and_audit(spark):
     aq.awaitTermination(120)
     audit = spark.read.json(os.path.join(base, "audit"))
     assert audit.count() == 2
+    assert set(audit.columns) - {"epoch"} == {
+        "timestamp", "user_id_hash", "prompt_hash", "prompt_length", "response_length", "latency_ms",
+        "guardrail_flags", "cache_hit", "num_visualizations", "error"}
+    rows = {tuple(r.guardrail_flags): r for r in audit.collect()}
+    assert rows[("PROMPT_INJECTION_DETECTED",)].response_length > 20 and rows[()].response_length is None
