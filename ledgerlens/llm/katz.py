@@ -41,13 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, check_columns, parts, schema_with, text_bytes
-from .exchange import BUCKET_BYTES, CHUNK_BYTES, bucket_edges, mix, pack, squeeze, stretch, unpack
+from .common import bounded_batches, check_columns, parts, schema_with
+from .exchange import CHUNK, RANK, bucket_edges, dealt, dealt_texts, mix, pack, sizes, spans, squeeze, stretch, unpack
 from .substrings import BASE, WordHashes
 
 START, END = np.uint64(1), np.uint64(2)
 K = 5  # counts up to K are discounted
-CHUNK = "__chunk"
+STATS = 9   # kind of the rows that carry the totals
 ROW = "chunk long, bucket int, kind int, a binary, b binary, stats array<long>"
 
 
@@ -155,7 +155,7 @@ def _rows(chunks, buckets, kind, a, b, stats):
 
 
 def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str = "text",
-          order: int = 2, tables: str | None = None) -> DataFrame:
+          order: int = 2, tables: str | None = None, drop_text: bool = False) -> DataFrame:
     """Learns runs of up to ``order`` words from the rows where ``train_col``
     is true and scores all rows: n_tokens, n_known (c > 0), train_tokens (N),
     base_score (single words) and score (Katz), log10 probabilities of the
@@ -168,25 +168,36 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
     bounded_batches(df.sparkSession)
     least = parts(df.sparkSession)
     size = int(df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
-    n_chunks, n_buckets = max(least, -(-size // CHUNK_BYTES)), max(least, -(-size // BUCKET_BYTES))
-    docs = df.withColumn(CHUNK, F.pmod(F.xxhash64(id_col, text_col), F.lit(n_chunks)))
+    n_chunks, n_buckets = (max(least, -(-size // x)) for x in sizes(size))
     longer = range(2, order + 1)
 
+    def place(batch, hashes, nth):
+        """Rows by their hash; equal rows one chunk after the other."""
+        chunk = ((hashes.view(np.uint64) % np.uint64(n_chunks)).astype(np.int64) + nth) % n_chunks
+        return chunk, chunk
+
+    docs = dealt(df, text_col, place).drop(RANK)
+
     def tokens_of(table):
-        return Tokens(text_bytes(table.column(text_col)), order)
+        return Tokens(dealt_texts(table.column(text_col)), order)
 
-    def cut(keys, values, how):
+    def held(t):
+        """The buckets of a chunk's runs, rising."""
+        return np.unique(np.concatenate([bucket_edges(r, n_buckets)[0] for r in t.runs[1:]]))
+
+    def cut(keys, values, how, buckets):
         """Blobs of the values (aligned with sorted keys), one a bucket."""
-        edges = bucket_edges(keys, n_buckets)
-        return [how(values[a:b]) for a, b in zip(edges, edges[1:])]
+        return [how(values[a:b]) for a, b in zip(*spans(keys, n_buckets, buckets))]
 
     def lists(key, table):
-        """The chunk's runs with its training counts."""
+        """The chunk's runs with its training counts, a row for each bucket of
+        them."""
         t = tokens_of(table)
         train = np.array([bool(x) for x in table.column(train_col).to_pylist()], bool)
-        keys = [cut(r, r, pack) for r in t.runs[1:]]
-        counts = [cut(r, c.astype(np.uint32), squeeze) for r, c in zip(t.runs[1:], t.trained(train))]
-        return _rows([key[0].as_py()] * n_buckets, range(n_buckets), 0, list(zip(*keys)), list(zip(*counts)), [])
+        buckets = held(t)
+        keys = [cut(r, r, pack, buckets) for r in t.runs[1:]]
+        counts = [cut(r, c.astype(np.uint32), squeeze, buckets) for r, c in zip(t.runs[1:], t.trained(train))]
+        return _rows([key[0].as_py()] * len(buckets), buckets, 0, list(zip(*keys)), list(zip(*counts)), [])
 
     def added(n, keys, counts):
         """A bucket's runs of n words: those of each chunk, the distinct ones,
@@ -213,49 +224,61 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
         table = table.sort_by("chunk")
         keys = [_frames(x) for x in table.column("a").to_pylist()]
         counts = [_frames(x) for x in table.column("b").to_pylist()]
-        sums, firsts, stats = [], [], []
+        sums, firsts = [], []
         for n in range(1, order + 1):
             own, distinct, first, which, total = added(n, keys, counts)
             cuts = np.cumsum([len(x) for x in own])[:-1]
             sums.append([squeeze(x) for x in np.split(total[which].astype(np.uint32), cuts)])
-            real = total[distinct != start_key(n)]
-            if n == 1:
-                stats += [int(real.sum()), int((real > 0).sum())]
-            else:
-                stats += [int((real == r).sum()) for r in range(1, K + 2)]
+            if n > 1:
                 lists_first = np.zeros(len(which), bool)
                 lists_first[first] = True
                 firsts.append([squeeze(np.packbits(x)) for x in np.split(lists_first, cuts)])
         return _rows(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), 1,
-                     list(zip(*sums)), list(zip(*firsts)), stats)
+                     list(zip(*sums)), list(zip(*firsts)), [])
+
+    def counts_of_counts(key, table):
+        """Training tokens and words of a bucket, and for each longer n how many
+        of its runs have count 1 to K + 1."""
+        keys, counts = ([_frames(x) for x in table.column(c).to_pylist()] for c in "ab")
+        stats = []
+        for n in range(1, order + 1):
+            _, distinct, _, _, total = added(n, keys, counts)
+            real = total[distinct != start_key(n)]
+            stats += [int(real.sum()), int((real > 0).sum())] if n == 1 else \
+                [int((real == r).sum()) for r in range(1, K + 2)]
+        return pa.table({"stats": pa.array([stats], pa.list_(pa.int64()))})
 
     class Known:
         """What a chunk's answers say about its runs."""
 
         def __init__(self, t: Tokens, table):
             import pyarrow.compute as pc
+            self.stats = table.filter(pc.equal(table.column("kind"), STATS)).column("stats")[0].as_py()
+            self.model = Model(self.stats)
             rows = table.filter(pc.equal(table.column("kind"), 1)).sort_by("bucket")
+            buckets = held(t)
             sums, firsts = ([_frames(x) for x in rows.column(c).to_pylist()] for c in "ab")
             self.total, self.first, self.wanted = [None], [None, None], [None, None]
             for n in range(1, order + 1):
                 self.total.append(np.concatenate([stretch(x[n - 1], np.uint32) for x in sums]).astype(np.int64))
             for n in longer:
-                sizes = np.diff(bucket_edges(t.runs[n], n_buckets))
+                begin, end = spans(t.runs[n], n_buckets, buckets)
                 self.first.append(np.concatenate([np.unpackbits(stretch(x[n - 2], np.uint8), count=m).astype(bool)
-                                                  for x, m in zip(firsts, sizes)]))
+                                                  for x, m in zip(firsts, end - begin)]))
                 # histories that training saw, but not before a word that follows them here
                 wanted = np.zeros(len(t.runs[n - 1]), bool)
                 wanted[t.history[n][t.real[n] & (self.total[n] == 0)]] = True
                 self.wanted.append(wanted & (self.total[n - 1] > 0))
-            self.stats = np.array(rows.column("stats").to_pylist(), np.int64).sum(axis=0).tolist()
-            self.model = Model(self.stats)
 
     def histories(key, table, answers):
         """For runs that this chunk lists first, by history: how many have
         count 1 to K, the sum of their counts, and what their shorter runs'
         probabilities add up from; and which histories need alpha here."""
+        if not table.num_rows:
+            return _rows([], [], 2, [], [], [])
         t = tokens_of(table)
         known = Known(t, answers)
+        buckets = held(t)
         body, need = [], []
         for n in longer:
             runs, size = t.runs[n - 1], len(t.runs[n - 1])
@@ -274,9 +297,9 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
             else:
                 few += [np.bincount(h[low == r], minlength=size).astype(np.uint32) for r in range(1, K + 1)]
                 sums = [summed(c), summed(np.where(low > K, low, 0))]
-            body += [cut(runs, x, squeeze) for x in [*few, *sums]]
-            need.append(cut(runs, known.wanted[n].astype(np.uint8), squeeze))
-        return _rows([key[0].as_py()] * n_buckets, range(n_buckets), 2, list(zip(*body)), list(zip(*need)), known.stats)
+            body += [cut(runs, x, squeeze, buckets) for x in [*few, *sums]]
+            need.append(cut(runs, known.wanted[n].astype(np.uint8), squeeze, buckets))
+        return _rows([key[0].as_py()] * len(buckets), buckets, 2, list(zip(*body)), list(zip(*need)), known.stats)
 
     def history_totals(key, listed, table):
         """For every chunk: which of its histories have no discounted count,
@@ -319,19 +342,19 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
                      list(zip(*flags)), list(zip(*values)), [])
 
     new = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    out_ddl = schema_with(df, new)
+    out_ddl = schema_with(df, new, (text_col,) if drop_text else ())
 
     def probabilities(t, known, rows):
         """P of each distinct run's last word after the others, for the runs of
         1 and of ``order`` words."""
         flags, values = ([_frames(x) for x in rows.column(c).to_pylist()] for c in "ab")
         model = known.model
-        p, z, at = [None, model.base(known.total[1])], [None], 0
+        p, z, at, buckets = [None, model.base(known.total[1])], [None], 0, held(t)
         base = p[1]
         for n in longer:
-            sizes = np.diff(bucket_edges(t.runs[n - 1], n_buckets))
+            begin, end = spans(t.runs[n - 1], n_buckets, buckets)
             none = np.concatenate([np.unpackbits(stretch(x[n - 2], np.uint8), count=m)
-                                   for x, m in zip(flags, sizes)])
+                                   for x, m in zip(flags, end - begin)])
             z.append(known.total[n - 1] + none)
             made = [np.concatenate([stretch(x[at + k], np.float64) for x in values]) for k in range(1 if n == 2 else 2)]
             at += len(made)
@@ -350,6 +373,13 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
         import pyarrow.compute as pc
         table = table.drop_columns([CHUNK])
         t = tokens_of(table)
+        if drop_text:
+            table = table.drop_columns([text_col])
+        else:
+            null = table.column(text_col).is_null().to_pylist()
+            back = [None if n else x.decode() for x, n in zip(dealt_texts(table.column(text_col)), null)]
+            at = table.column_names.index(text_col)
+            table = table.set_column(at, text_col, pa.array(back, pa.string()))
         m = len(t.counts)
         if m:
             known = Known(t, answers)
@@ -371,7 +401,14 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
     listed = by_chunk.applyInArrow(lists, ROW).groupBy("bucket")
     if tables:
         listed.applyInArrow(table_of, "n int, run long, count long").write.partitionBy("n").parquet(tables)
-    counted = listed.applyInArrow(totals, ROW)
+    # totals over all buckets, one row that every chunk receives
+    width = 2 + (K + 1) * (order - 1)
+    summed = listed.applyInArrow(counts_of_counts, "stats array<long>").agg(
+        F.array(*[F.coalesce(F.sum(F.col("stats")[i]), F.lit(0)) for i in range(width)]).alias("stats"))
+    everywhere = summed.select(F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<long>")).alias("chunk"),
+                               F.lit(0).alias("bucket"), F.lit(STATS).alias("kind"), F.lit(b"").alias("a"),
+                               F.lit(b"").alias("b"), "stats")
+    counted = listed.applyInArrow(totals, ROW).unionAll(everywhere)
     sums = listed.cogroup(by_chunk.cogroup(counted.groupBy("chunk")).applyInArrow(histories, ROW).groupBy("bucket")) \
         .applyInArrow(history_totals, ROW)
     return by_chunk.cogroup(counted.unionAll(sums).groupBy("chunk")).applyInArrow(scored, out_ddl)

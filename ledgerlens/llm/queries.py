@@ -82,7 +82,7 @@ def op9_lm_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").select(
         "doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("held_out"))
     flagged = docs.withColumn("train", ~F.coalesce("held_out", F.lit(False)))
-    return katz.score(flagged, "train", order=3).select(
+    return katz.score(flagged, "train", order=3, drop_text=True).select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -3,17 +3,19 @@
 Every window of ``width`` consecutive words of a document has a Rabin-Karp
 hash: a polynomial in the words' 64-bit hashes, modulo 2**64, rolled along the
 document. A word is removed if a window that covers it also starts in a
-document with a smaller id. Chunks are ranges of ids in order, so for a window
-it is enough to know whether an earlier chunk has it (one bit, counted per
-bucket of hashes in Spark) or an earlier document of its own chunk. Repeated
-windows are merged into maximal intervals of removed words.
+document with a smaller id. Chunks are ranges of ids in order (chunks of one
+heavy id have one rank), so for a window it is enough to know whether a chunk of
+smaller rank has it (one bit, counted per bucket of hashes in Spark) or an
+earlier document of its own chunk. Repeated windows are merged into maximal
+intervals of removed words.
 
 Windows are compared by 64-bit hashes: among n distinct windows a false match
 is expected about n**2 / 2**65 times (4e-4 at 100 million windows).
 
 Defined cases: a null or empty text has no words; a text shorter than a
 window keeps all its words; copies within one document or under one id do not
-remove each other; rows without an id neither remove nor lose words; extra
+remove each other; rows without an id neither remove nor lose words, so they are
+not exchanged; extra
 columns pass through and output columns replace input columns of the same
 name.
 """
@@ -27,11 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, check_columns, schema_with, text_bytes
-from .exchange import Layout, bucket_edges, mix, pack, squeeze, stretch, unpack
+from .common import bounded_batches, check_columns, schema_with, slices, text_bytes
+from .exchange import CHUNK, RANK, Layout, bucket_edges, dealt, dealt_texts, mix, pack, squeeze, stretch, unpack
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd multiplier
-CHUNK = "__chunk"
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -105,7 +106,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bounded_batches(df.sparkSession)
     layout = Layout(df, id_col, text_col)
     n_buckets = layout.n_buckets
-    docs = df.withColumn(CHUNK, layout.chunk(id_col))
+    known = F.col(id_col).isNotNull()
+    docs = dealt(df.where(known), text_col, layout.place)
 
     def in_order(table):
         ids = table.column(id_col).combine_chunks().cast(pa.int64()).to_numpy(zero_copy_only=False)
@@ -113,26 +115,24 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return table.take(pa.array(order)), ids[order]
 
     def listed(key, table):
-        chunk = key[0].as_py()
-        if chunk < 0:
-            keys = np.zeros(0, np.uint64)
-        else:
-            value, there, _ = windows(text_bytes(table.column(text_col)), width)
-            keys = np.unique(value[there])
-        edges = bucket_edges(keys, n_buckets)
-        some = np.flatnonzero(np.diff(edges))
-        return pa.table({"chunk": pa.array([chunk] * len(some), pa.int64()),
-                         "bucket": pa.array(some.astype(np.int32)),
-                         "keys": pa.array([pack(keys[edges[b]:edges[b + 1]]) for b in some], pa.binary())})
+        value, there, _ = windows(dealt_texts(table.column(text_col)), width)
+        keys = np.unique(value[there])
+        buckets, edges = bucket_edges(keys, n_buckets)
+        n = len(buckets)
+        return pa.table({"chunk": pa.array([key[0].as_py()] * n, pa.int64()),
+                         "rank": pa.array([table.column(RANK)[0].as_py()] * n, pa.int64()),
+                         "bucket": pa.array(buckets, pa.int32()),
+                         "keys": pa.array([pack(keys[a:b]) for a, b in zip(edges, edges[1:])], pa.binary())})
 
     def counted(key, table):
-        table = table.sort_by("chunk")
+        table = table.sort_by([("rank", "ascending"), ("chunk", "ascending")])
         lists = [unpack(b) for b in table.column("keys").to_pylist()]
         sizes = [len(x) for x in lists]
         flat = np.concatenate(lists)
-        order = np.argsort(flat, kind="stable")  # equal keys stay in order of chunk
-        again = np.zeros(len(flat), bool)
-        again[order[1:]] = flat[order[1:]] == flat[order[:-1]]
+        rank = np.repeat(table.column("rank").combine_chunks().to_numpy(zero_copy_only=False), sizes)
+        # equal keys stay in order of rank: the first has the smallest
+        _, first, which = np.unique(flat, return_index=True, return_inverse=True)
+        again = rank > rank[first][which]
         cuts = np.cumsum(sizes)[:-1]
         return pa.table({CHUNK: table.column("chunk"), "bucket": table.column("bucket"),
                          "seen": pa.array([squeeze(np.packbits(x)) for x in np.split(again, cuts)], pa.binary()),
@@ -142,17 +142,20 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                               "removed array<struct<start:int,end:int>>")
 
     def cut(key, table, answers):
-        table = table.drop_columns([CHUNK])
-        if key[0].as_py() >= 0 and table.num_rows:
+        table = table.drop_columns([CHUNK, RANK])
+        if table.num_rows:
             table, ids = in_order(table)
-        docs_ = text_bytes(table.column(text_col))
+        docs_ = dealt_texts(table.column(text_col))
         value, there, counts = windows(docs_, width)
         gone = np.zeros(len(value), bool)
-        if key[0].as_py() >= 0 and there.any():
+        if there.any():
             answers = answers.sort_by("bucket")
             earlier = np.concatenate([np.unpackbits(stretch(s, np.uint8), count=n).astype(bool) for s, n in
                                       zip(answers.column("seen").to_pylist(), answers.column("n").to_pylist())])
             gone = removed_words(ids, counts, value, there, earlier, width)
+        return result(table, docs_, counts, gone)
+
+    def result(table, docs_, counts, gone):
         nulls = table.column(text_col).is_null().to_pylist()
         kept, spans, n_removed, lo = [], [], [], 0
         for text, n, null in zip(docs_, counts.tolist(), nulls):
@@ -168,6 +171,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rest = [c for c in table.column_names if c not in new]
         return pa.table({c: table.column(c) for c in rest} | new)
 
-    lists = docs.groupBy(CHUNK).applyInArrow(listed, "chunk long, bucket int, keys binary")
+    def alone(batches):
+        """Rows without an id keep all their words."""
+        for whole in batches:
+            for batch in slices(whole, text_col):
+                docs_ = text_bytes(batch.column(text_col))
+                counts = np.array([len(t.split()) for t in docs_], np.int64)
+                yield from result(pa.Table.from_batches([batch]), docs_, counts, np.zeros(counts.sum(), bool)).to_batches()
+
+    lists = docs.groupBy(CHUNK).applyInArrow(listed, "chunk long, rank long, bucket int, keys binary")
     seen = lists.groupBy("bucket").applyInArrow(counted, f"`{CHUNK}` long, bucket int, seen binary, n long")
-    return docs.groupBy(CHUNK).cogroup(seen.groupBy(CHUNK)).applyInArrow(cut, out_ddl)
+    done = docs.groupBy(CHUNK).cogroup(seen.groupBy(CHUNK)).applyInArrow(cut, out_ddl)
+    return done.unionAll(df.where(~known).mapInArrow(alone, out_ddl))

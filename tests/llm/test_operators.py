@@ -142,6 +142,108 @@ def test_packed_lists_round_trip():
         assert (E.stretch(E.squeeze(x), kind) == x).all() and len(E.stretch(E.squeeze(x[:0]), kind)) == 0
 
 
+def test_buckets_of_sorted_keys():
+    from ledgerlens.llm import exchange as E
+    rng = np.random.default_rng(1)
+    for n, buckets in ((0, 5), (1, 1), (300, 7), (300, 100000), (5000, 64)):
+        keys = np.unique(rng.integers(0, 2**64 - 1, n, dtype=np.uint64, endpoint=True))
+        own, edges = E.bucket_edges(keys, buckets)
+        assert len(own) <= min(n, buckets) and (np.diff(own) > 0).all() and len(edges) == len(own) + 1
+        want = [min(int(k) // (2**64 // buckets), buckets - 1) for k in keys]
+        got = np.concatenate([np.full(b - a, o) for o, a, b in zip(own, edges, edges[1:])]) if n else np.zeros(0)
+        assert got.tolist() == want
+        begin, end = E.spans(keys, buckets, np.arange(buckets) if buckets < 200 else own)
+        assert (end - begin).sum() == len(keys)
+
+
+def test_rows_of_packed_lists_grow_with_the_input():
+    """Chunks times buckets, bounded by the keys: a row for 64 keys and more
+    up to terabytes, never more rows than keys beyond."""
+    from ledgerlens.llm import exchange as E
+    for size in (1 << 26, 1 << 30, 1 << 35, 1 << 40):
+        chunk, bucket = E.sizes(size)
+        assert (size / chunk) * (size / bucket) <= size / E.BYTES_A_KEY / E.KEYS_A_ROW or chunk == E.CHUNK_BYTES
+        assert chunk <= E.MOST_BYTES and bucket <= E.MOST_BYTES
+    per_byte = [(s / E.sizes(s)[0]) * (s / E.sizes(s)[1]) / s for s in (1 << 38, 1 << 40, 1 << 41)]
+    assert max(per_byte) <= 1.01 * min(per_byte)
+
+
+def _chunks(spark, rows, monkeypatch, chunk_bytes):
+    from ledgerlens.llm import exchange as E
+    monkeypatch.setattr(E, "sizes", lambda n: (chunk_bytes, chunk_bytes))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    layout = E.Layout(df, "doc_id", "text")
+    return E.dealt(df, "text", layout.place).select("doc_id", "text", E.CHUNK, E.RANK).collect()
+
+
+def test_chunks_are_even_in_bytes(spark, monkeypatch):
+    """Long texts among short ones, a third of the rows under one id, equal rows:
+    no chunk is much larger than wanted, order of ids is kept."""
+    long = [(i * 50, "y" * 4000) for i in range(20)]
+    rows = [(i, "x" * 40) for i in range(1000)] + long + [(500, f"hot {i % 7} " + "z" * 60) for i in range(700)]
+    got = _chunks(spark, rows, monkeypatch, 4000)
+    assert sorted((r.doc_id, _text(r.text).decode()) for r in got) == sorted(rows)
+    held = collections.Counter()
+    ranks = collections.defaultdict(set)
+    for r in got:
+        held[r[2]] += len(_text(r.text))
+        ranks[r.doc_id].add(r[3])
+    assert max(held.values()) <= 3 * 4000 and len({r[2] for r in got if r.doc_id == 500}) >= 8
+    assert all(len(v) == 1 for v in ranks.values())                       # chunks of one id have one rank
+    order = [min(ranks[i]) for i in sorted(ranks)]
+    assert order == sorted(order)
+
+
+def _text(packed):
+    import zstandard
+    return zstandard.ZstdDecompressor().decompress(bytes(packed))
+
+
+def test_substring_dedup_with_hot_and_missing_ids(spark, monkeypatch):
+    """A third of the rows without an id, a third under one id, a few huge
+    texts, many chunks: equal to brute force."""
+    from ledgerlens.llm import exchange as E
+    from ledgerlens.llm import substrings
+    monkeypatch.setattr(E, "sizes", lambda n: (3000, 3000))
+    rng = random.Random(9)
+    make = lambda n: " ".join(rng.choice("abcdefg") * rng.randint(1, 3) for _ in range(n))
+    passage = make(20)
+    rows = [(None, passage + " " + make(5)) for _ in range(60)]
+    rows += [(30, make(10) + " " + passage + " " + make(rng.randint(0, 5))) for _ in range(60)]
+    rows += [(i, make(15) + (" " + passage if i % 5 == 0 else "") + " " + make(4)) for i in range(60)]
+    rows += [(100 + i, make(2500)) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    first = {}
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        w = t.split()
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k:k + 13]), i)
+    want = collections.Counter()
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for k in range(len(w) - 12):
+            if i is not None and first[tuple(w[k:k + 13])] < i:
+                gone.update(range(k, k + 13))
+        want[i, len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone)] += 1
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed, " ".join(r.text.split()))
+                              for r in substrings.remove_repeats(df).collect())
+    assert got == want
+
+
+def test_katz_scores_do_not_depend_on_the_chunks(spark, docs, monkeypatch):
+    """Many small chunks and buckets, most of them without a key, and a third of
+    the rows equal: the same scores as in one chunk."""
+    from ledgerlens.llm import exchange as E
+    from ledgerlens.llm import katz
+    same = spark.createDataFrame([(7, "w1 w2 w3 hot", "s", "k", "i", "t", "n", "f")] * 40, docs.schema)
+    df = docs.unionAll(same).withColumn("train", F.coalesce(F.col("doc_id") % 5 != 1, F.lit(True)))
+    scores = lambda: sorted((r.doc_id or -1, r.n_tokens, r.n_known, round(r.score, 9), r.text or "")
+                            for r in katz.score(df, "train", order=3).collect())
+    one = scores()
+    monkeypatch.setattr(katz, "sizes", lambda n: (-(-n // 17), -(-n // 500)))
+    assert scores() == one
+
+
 def test_quality_cascade(spark, docs, rows, none):
     from ledgerlens.llm import quality
     costs = quality.rule_costs(docs)
