@@ -214,12 +214,18 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Encoder(dict):
-    """Slice -> its ids as int32 bytes; filled on demand, emptied when it has
-    ``most`` slices so that a worker's memory stays bounded."""
+    """Slice -> its ids as int32 bytes; filled on demand, emptied when its slices
+    take ``most`` bytes (their objects included), so that a worker's memory stays
+    bounded. Slices above ``LONGEST`` characters, which hardly come again, are not
+    kept."""
 
-    def __init__(self, vocab: str, most: int = 250_000):
+    LONGEST = 64
+    #: Bytes of a dictionary entry and its two objects, besides what they hold.
+    ENTRY = 200
+
+    def __init__(self, vocab: str, most: int = 48 << 20):
         super().__init__()
-        self.most, self.classes = most, Classes()
+        self.most, self.held, self.classes = most, 0, Classes()
         with open(vocab, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         size = max(self.ranks.values()) + 1
@@ -232,14 +238,16 @@ class Encoder(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(merge(piece.encode(), self.ranks), np.int32).tobytes()
-        if len(self) < self.most:
+        if len(piece) <= self.LONGEST and self.held < self.most:
             self[piece] = ids
+            self.held += self.ENTRY + 4 * len(piece) + len(ids)
         return ids
 
     def encode(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids end."""
-        if len(self) >= self.most:
+        if self.held >= self.most:
             self.clear()
+            self.held = 0
         joined = "\n".join(batch) + "\n"
         ends = np.cumsum([len(t) + 1 for t in batch]) - 1
         begins = np.flatnonzero(token_starts(joined, ends, self.classes))
