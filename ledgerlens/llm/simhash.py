@@ -12,8 +12,8 @@ most 4 // 3 = 1 bit. There is one tree for each segment, searched with radius
 1, so the triangle bounds prune well and the union of the three searches is
 exact.
 
-The top levels of a tree are fitted on a bounded sample of the points
-(``SAMPLE_POINTS``) and only route: every point has one home shard in each
+The top levels of a tree are fitted on a bounded sample of the points (four for
+each shard wanted, ``SAMPLE_POINTS`` to ``MOST_SAMPLED``) and only route: every point has one home shard in each
 tree and also visits the shards whose region its ball overlaps. A shard is
 searched by a tree of its own, whose leaves compare whole fingerprints. A
 shard reports for each point the smallest point it is connected with there
@@ -33,12 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import bounded_batches, check_columns, cut_lineage, schema_with, slices, text_bytes, with_columns
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 43), (43, 64))  # bits from, to
-SAMPLE_POINTS = 4096
+SAMPLE_POINTS, MOST_SAMPLED = 4096, 1 << 20
 SHARD_POINTS = 8192
 LEAF_CELLS = 1 << 18
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -181,9 +182,10 @@ def links(points: DataFrame, bits: int = 4, shard_points: int = SHARD_POINTS,
     spark = points.sparkSession
     bounded_batches(spark)
     n = points.count()
+    levels = max(4, int(np.ceil(np.log2(max(n, 1) / shard_points)))) if n > 256 else 0
+    sample_points = min(max(sample_points, 4 << levels), MOST_SAMPLED)
     sample = np.array([r[0] for r in points.orderBy(F.xxhash64("fp"), "fp").limit(sample_points).collect()],
                       np.int64).view(np.uint64)
-    levels = max(4, int(np.ceil(np.log2(max(n, 1) / shard_points)))) if n > 256 else 0
     levels = min(levels, int(np.log2(sample_points)) - 2)
     rng = np.random.default_rng(seed)
     radius = bits // len(SEGMENTS)
@@ -257,8 +259,8 @@ def _grouped(own: DataFrame, words: int, bits: int) -> tuple[DataFrame, DataFram
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
              bits: int = 4) -> DataFrame:
     """One row of each group of near-duplicates: the one with the smallest id,
-    among its rows that with the smallest fingerprint, then hash of the text.
-    Rows without an id stay only if nothing in their group has one."""
+    among its rows that with the smallest fingerprint, then hash of the text,
+    then hash of all columns (maps aside). Rows without an id stay only if nothing in their group has one."""
     check_columns(df, id_col, text_col)
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                     F.xxhash64(text_col).alias("__hash"))
@@ -276,6 +278,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     hashed = df.withColumn("__own", F.xxhash64(text_col))
     out = hashed.join(chosen, same(F.col(id_col).cast("long")), "left_semi")
     if many.limit(1).count():  # rows repeated under one id and text
-        repeated = out.join(many, same(F.col(id_col).cast("long")), "left_semi").dropDuplicates([id_col, "__own"])
+        told_apart = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+        first = W.partitionBy(id_col, "__own").orderBy("__row")
+        repeated = (out.join(many, same(F.col(id_col).cast("long")), "left_semi").withColumn("__row", told_apart)
+                    .withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__row", "__nth"))
         out = out.join(many, same(F.col(id_col).cast("long")), "left_anti").unionByName(repeated)
     return out.select(*df.columns)
