@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import check_columns, n_words
+from .common import check_columns, cut_lineage, n_words
 
 MAX_PATTERNS = 100_000
 #: Rows of a block of a running sum, and blocks of a pattern at most.
@@ -129,16 +129,23 @@ def running_before(df: DataFrame, key: str, order: list[str], value: str, out: s
 
 
 def mix(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeats: int = 2, id_col: str = "doc_id",
-        source_col: str = "source", text_col: str = "text", seed: int = 11) -> DataFrame:
+        source_col: str = "source", text_col: str = "text", seed: int = 11, drop_text: bool = False) -> DataFrame:
     """Adds size (words), source_size and target (of the row's source; of an
     array of sources: of their sum) and taken (words that the mix takes,
     repeats counted). ``source_col`` is a string or an array of strings; the
-    sources in order of code points, null last, have the weights in turn."""
+    sources in order of code points, null last, have the weights in turn. With
+    ``drop_text`` the result has no text, and what the steps need of it is written
+    once, so texts are read once."""
     check_columns(df, id_col, source_col, text_col)
     spark = df.sparkSession
     multi = dict(df.dtypes)[source_col].startswith("array")
     pattern = F.array_sort(F.array_distinct(F.col(source_col))) if multi else F.array(F.col(source_col))
-    sized = df.withColumn("size", n_words(text_col)).withColumn("__pattern", F.to_json(F.struct(pattern.alias("s")), {"ignoreNullFields": "false"}))
+    # maps have no hash
+    told_apart = [c for c, kind in df.dtypes if "map<" not in kind and c != "size"]
+    sized = (df.withColumn("__hash", F.xxhash64(*told_apart)).withColumn("size", n_words(text_col))
+             .withColumn("__pattern", F.to_json(F.struct(pattern.alias("s")), {"ignoreNullFields": "false"})))
+    if drop_text:
+        sized = cut_lineage(sized.drop(text_col))
     rows = sized.groupBy("__pattern").agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).limit(MAX_PATTERNS + 1).collect()
     if len(rows) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
@@ -161,17 +168,15 @@ def mix(df: DataFrame, weights=(5, 2, 1), share: float = 1.5, repeats: int = 2,
           min(routed.get(r[0], 0) // max(words[r[0]], 1), repeats), routed.get(r[0], 0) % max(words[r[0]], 1),
           min(max(1, -(-r[2] // BLOCK_ROWS)), MAX_BLOCKS)) for r in rows],
         T.StructType.fromDDL("__pattern string, source_size long, target double, __whole long, __rest long, __blocks long"))
-    # maps have no hash
-    told_apart = [c for c, kind in df.dtypes if "map<" not in kind and c != "size"]
     # at most MAX_PATTERNS rows, checked above
     ordered = (sized.join(F.broadcast(plan), "__pattern")
-               .withColumn("__order", seeded_order(id_col, seed, F.col("size"), F.xxhash64(*told_apart))))
+               .withColumn("__order", seeded_order(id_col, seed, F.col("size"), F.col("__hash"))))
     # the first 8 hex digits of the order cut it into even blocks
     block = F.floor(F.conv(F.substring("__order", 1, 8), 16, 10).cast("long") * F.col("__blocks") / F.lit(1 << 32))
     out = running_before(ordered, "__pattern", ["__order", id_col], "size", "__before", block)
     part = F.least(F.greatest(F.col("__rest") - F.col("__before"), F.lit(0)), F.col("size"))
     out = out.withColumn("taken", (F.col("__whole") * F.col("size") + part).cast("long"))
-    return out.drop("__pattern", "__whole", "__rest", "__blocks", "__order", "__before")
+    return out.drop("__pattern", "__whole", "__rest", "__blocks", "__order", "__before", "__hash")
 
 
 def repeat_rows(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -49,7 +49,7 @@ def op5_simhash(spark: SparkSession, d: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(docs, drop_text=True).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op8_sharding(spark: SparkSession, d: str) -> DataFrame:
