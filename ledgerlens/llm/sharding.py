@@ -16,8 +16,8 @@ neither a shard nor a group is one task. The driver sees one row a shard.
 
 Defined cases: a null text has size 1 and checksum 0 and is in the group of
 null texts; rows without an id are ordered first; repeated rows are rows of
-their own; ties between shards go to the smaller number; extra columns pass
-through ``shard_documents`` if asked for; an empty table has no shards' rows.
+their own; ties between shards go to the smaller number; other columns are not
+read, so their names cannot clash; an empty table has no shards' rows.
 """
 
 from __future__ import annotations
@@ -169,3 +169,14 @@ def _even_out(placed: DataFrame, n_shards: int, final: list[int], n_blocks: int)
         placed = cut_lineage(placed.join(moves, F.col("rid") == F.col("__r"), "left")
                              .withColumn("shard", F.coalesce("to", "shard")).drop("to", "__r"))
     return placed
+
+
+def cut_links(placed: DataFrame, group: str = "gid", shard: str = "shard") -> DataFrame:
+    """How well groups stay together: one row with the number of groups, of
+    groups in more than one shard, and of links cut, where a group's rows are
+    linked to the group's largest part (rows outside of it)."""
+    by_shard = placed.groupBy(group, shard).agg(F.count(F.lit(1)).alias("n"))
+    by_group = by_shard.groupBy(group).agg(F.sum("n").alias("rows"), F.max("n").alias("most"),
+                                           F.count(F.lit(1)).alias("shards"))
+    return by_group.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("shards") > 1).alias("split_groups"),
+                        F.coalesce(F.sum(F.col("rows") - F.col("most")), F.lit(0)).alias("cut_links"))
