@@ -511,6 +511,71 @@ def test_flow_over_overlapping_sources():
     assert mixing.targets([0, 0], [5, 2]) == [0.0, 0.0]
 
 
+def test_flow_is_the_largest_and_cheapest_of_all():
+    """Small overlapping sources: the routed words and their cost equal the best
+    of every possible routing."""
+    import itertools
+
+    from ledgerlens.llm import mixing
+    rng = random.Random(12)
+    for _ in range(40):
+        members = {"a": ["a"], "ab": ["a", "b"], "b": ["b"]}
+        sizes = {p: rng.randint(0, 3) for p in members}
+        quotas = {"a": rng.randint(0, 6), "b": rng.randint(0, 6)}
+        ways = [(p, s) for p in members for s in members[p]]
+
+        def cost(flow):
+            total = {p: sum(v for (q, _), v in flow.items() if q == p) for p in sizes}
+            if any(total[p] > 2 * sizes[p] for p in sizes) or any(
+                    sum(v for (_, t), v in flow.items() if t == s) > quotas[s] for s in quotas):
+                return None
+            return -sum(total.values()), sum(min(t, sizes[p]) + 2 * max(0, t - sizes[p]) for p, t in total.items())
+
+        every = (cost(dict(zip(ways, v))) for v in itertools.product(*[range(2 * sizes[p] + 1) for p, _ in ways]))
+        assert cost(mixing.min_cost_flow(sizes, members, quotas, 2)) == min(c for c in every if c)
+
+
+def test_sharding_cuts_as_few_links_as_possible(spark):
+    """Tiny tables: no more than one link more than the best even placement."""
+    import itertools
+
+    from ledgerlens.llm import sharding
+    for groups in ([3, 2, 1, 1, 1], [5, 2, 1]):
+        rows = [(10 * g + i, f"text {g}") for g, n in enumerate(groups) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        # a column named like one of the result's is not read
+        got = sharding.shard_documents(df.withColumn("shard", F.lit("x")), 2)
+        report = sharding.cut_links(got.join(df, "doc_id"), "text").first()
+
+        def cut(where):
+            parts = collections.Counter((t, w) for (_, t), w in zip(rows, where))
+            return sum(n - max(parts[f"text {g}", 0], parts[f"text {g}", 1]) for g, n in enumerate(groups))
+
+        best = min(cut(w) for w in itertools.product((0, 1), repeat=len(rows)) if sum(w) == len(rows) // 2)
+        assert report.groups == len(groups) and best <= report.cut_links <= best + 1
+
+
+def test_slices_that_a_worker_keeps_are_bounded(vocab):
+    from ledgerlens.llm import bpe
+    enc = bpe.Encoder(vocab, most=3000)
+    for k in range(200):
+        enc.encode(["%x" % (k * 7919 + 10 ** 9) * 3, "y" * 5000 + str(k)])
+        assert all(len(piece) <= enc.LONGEST for piece in enc)
+        assert enc.held <= 3000 + 1000 * enc.ENTRY and (enc.held > 0 or not enc)
+    ref = _tiktoken(vocab)
+    text = "z" * 3000 + " again " * 50
+    assert enc.encode([text])[0].tolist() == ref.encode_ordinary(text)
+
+
+def test_one_of_equal_rows_stays_whatever_the_partitions(spark):
+    """Rows of equal id and text but other columns: always the same one."""
+    from ledgerlens.llm import simhash
+    rows = [(1, "the same text of these rows here", f"s{i}") for i in range(30)] + [(2, "quite another text of one row", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [sorted(map(tuple, simhash.keep_one(df.repartition(n)).collect())) for n in (1, 5)]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [1, 2]
+
+
 def test_neighbours(spark):
     from ledgerlens.llm import neighbours
     rng = np.random.default_rng(1)
