@@ -182,14 +182,15 @@ def _rewrite_nested_words(p: str) -> str:
     return p.replace(r"\s+(\w+\s+)*", r"\s(?:[\w\s]*\s)?")
 
 
-def portable(pattern: str) -> str:
+def portable(pattern: str, flat: bool = True) -> str:
     """Rewrite shorthand classes so Java and RE2 agree with Python ``re``.
+    With ``flat`` nested word loops become flat ones, which only Java needs.
 
     ``\\s``/``\\w`` become explicit Unicode classes, ``\\d`` ASCII digits
     and ``.`` "anything but newline" (Java's ``.`` also stops at \\r and
     \\u2028, Python's only at \\n).
     """
-    p = _rewrite_nested_words(pattern)
+    p = _rewrite_nested_words(pattern) if flat else pattern
     out = []
     in_class = False
     i = 0
@@ -217,9 +218,9 @@ def portable(pattern: str) -> str:
     return "".join(out)
 
 
-def any_of(patterns: list[str]) -> str:
+def any_of(patterns: list[str], flat: bool = True) -> str:
     """One alternation; a search for it hits iff one of the patterns hits."""
-    return "|".join(f"(?:{portable(p)})" for p in patterns)
+    return "|".join(f"(?:{portable(p, flat)})" for p in patterns)
 
 
 # A plain number may only start where a word starts and must end where a word

@@ -1,8 +1,9 @@
 """Oracle SQL (DuckDB) for the screening queries.
 
-Patterns are the same portable texts the Spark side runs (RE2 and Java
-agree on them); the plain-number rule, which needs look-around, is run in
-RE2 as a word-by-word scan (``PLAIN_NUMBER_SCAN``).
+Patterns are the fixed originals with only their shorthand classes spelled out,
+so the flat loops that the Spark side runs are checked against the nested ones;
+the plain-number rule, which needs look-around, is run in RE2 as a word-by-word
+scan (``PLAIN_NUMBER_SCAN``).
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ def any_sql(x: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({x}, {q(w)})" for w in words) + ")"
 
 
-INJ = P.any_of(P.INJECTION_PATTERNS)
-OFF = P.any_of(P.OFF_TOPIC_PATTERNS)
-XUSER = P.any_of(P.CROSS_USER_PATTERNS)
+INJ = P.any_of(P.INJECTION_PATTERNS, flat=False)
+OFF = P.any_of(P.OFF_TOPIC_PATTERNS, flat=False)
+XUSER = P.any_of(P.CROSS_USER_PATTERNS, flat=False)
 
 REQUESTS = f"""
 req0 AS (

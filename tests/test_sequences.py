@@ -109,3 +109,71 @@ def test_flag_severity_default(spark):
         ("info", "CONTEXT_TRUNCATED_FROM_7500_TOKENS"),
         ("error", "Prompt Injection Blocked")]
     assert r[2].display == "BLOCKED: Prompt Injection Blocked"
+
+
+def test_running_sums_suffixes_and_clears_equal_a_plain_window(spark):
+    """A hot conversation over many spans, gaps between turns, resets inside."""
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import sequences as Q
+    rng = random.Random(3)
+    rows = [(1, 3 * t + 1, rng.choice(["user", "system", "assistant"]) if t % 50 == 0 else "user", "x" * rng.randint(0, 40))
+            for t in range(700)] + [(2, 0, "system", "a"), (3, 0, "user", "b"), (3, 1, "assistant", "c" * 9)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = Q.budgeted_suffix(df, 500).collect()
+    want = {}
+    for c in {r[0] for r in rows}:
+        total = 0
+        for _, t, _, text in sorted((r for r in rows if r[0] == c), key=lambda r: -r[1]):
+            total += max(1, len(text) // 4)
+            want[c, t] = (total, total <= 500)
+    assert {(r.conv_id, r.turn): (r.suffix_tokens, r.kept) for r in got} == want
+    seen = {(r.conv_id, r.turn): (r.visible, r.visible_position) for r in
+            Q.visible_history(df, F.col("role") == "system").collect()}
+    for c in {r[0] for r in rows}:
+        cleared = max([t for k, t, role, _ in rows if k == c and role == "system"], default=-1)
+        n = 0
+        for t in sorted(t for k, t, _, _ in rows if k == c):
+            n += t > cleared
+            assert seen[c, t] == (t > cleared, n if t > cleared else None)
+    assert Q.running_sum(df.where("false"), "conv_id", "turn", F.lit(1), "s").count() == 0
+    plain = df.withColumn("s", F.sum(F.lit(1)).over(Window.partitionBy("conv_id").orderBy("turn")))
+    assert sorted(Q.running_sum(df, "conv_id", "turn", F.lit(1), "s").select("conv_id", "turn", "s").collect()) == \
+        sorted(plain.select("conv_id", "turn", "s").collect())
+
+
+def test_cache_state_goes_from_batch_to_batch(spark, tmp_path):
+    from ledgerlens.operators import sequences as Q
+    from ledgerlens.operators.cache_state import merge_batch
+    rows = [(i, f"u{i % 7 if i < 60 else i % 11}", i) for i in range(100)]
+    log = spark.createDataFrame(rows, "request_id long, user_id string, ts long")
+    whole = {(r.request_id, r.cache_hit) for r in Q.cache_hits(log).collect()}
+    folder = str(tmp_path / "state")
+    got = set()
+    for b, (lo, hi) in enumerate([(0, 3), (3, 60), (60, 60), (60, 100)]):          # an empty batch among them
+        part = log.where(f"request_id >= {lo} AND request_id < {hi}")
+        got |= {(r.request_id, r.cache_hit) for r in merge_batch(part, folder, b).collect()}
+        again = {(r.request_id, r.cache_hit) for r in merge_batch(part, folder, b).collect()}   # a batch that runs twice
+        assert again <= got
+    assert got == whole
+    assert spark.read.parquet(folder).count() == 11
+
+
+def test_chart_state_keeps_the_raw_arguments(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators import llm_tables as L
+    from ledgerlens.operators import sequences as Q
+    calls = [("plot_category_breakdown", '{"top_n": 3, "note": {"a": [1, null]}}'),
+             ("plot_category_breakdown", '{"top_n": "many"}'), ("plot_pie", "{}")]
+    df = spark.createDataFrame([(1, "u", [(f"c{i}", n, a) for i, (n, a) in enumerate(calls)])],
+                               "request_id long, user_id string, tool_calls array<struct<id:string,name:string,arguments:string>>")
+    charts = L.route_tool_calls(df).withColumn("user_id", F.lit("u")).withColumn("ts", F.lit(5))
+    r = Q.viz_state(charts).select("*", F.to_json("axes").alias("a"), F.to_json("filters").alias("f")).collect()[0]
+    assert json.loads(r.a) == json.loads(r.f) == {"top_n": 3, "note": {"a": [1, None]}}
+    assert (r.period, r.top_n) == ("last_3_months", 3)
