@@ -250,7 +250,8 @@ FROM v LEFT JOIN (SELECT * FROM results WHERE error IS NULL) r
 
 #: A third of each text as history, as data summary and as prompt.
 _DOCS = f"""
-doc0 AS (SELECT doc_id, coalesce(text, '') AS text, CAST(floor(length(coalesce(text, '')) / 3) AS BIGINT) AS n FROM documents),
+doc0 AS (SELECT doc_id, text, CAST(floor(length(text) / 3) AS BIGINT) AS n
+         FROM (SELECT doc_id, repeat(coalesce(text, ''), doc_id % 8 + 1) AS text FROM documents)),
 msgs AS (
   SELECT doc_id AS request_id,
     [{{'role': 'system', 'content': {q(M.SYSTEM_PROMPT)}}},

@@ -55,10 +55,11 @@ def audit_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_contexts(spark: SparkSession, d: str) -> DataFrame:
-    """M3 and M4 on long texts: each document as a message context (a third of
-    it as history, as data summary and as prompt), cut to the budget's characters
-    and trimmed step by step."""
-    doc = read_table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """M3 and M4 on long texts: each document, once to eight times in a row, as
+    a message context (a third of it as history, as data summary and as prompt),
+    cut to the budget's characters and trimmed step by step."""
+    doc = read_table(spark, d, "documents").select("doc_id", F.repeat(
+        F.coalesce("text", F.lit("")), (F.col("doc_id") % 8 + 1).cast("int")).alias("text"))
     n = F.floor(F.length("text") / 3).cast("int")
     part = lambda a, length: F.substring(F.col("text"), a, length)
     doc = doc.select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("about"),
