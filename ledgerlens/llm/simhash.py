@@ -42,6 +42,7 @@ SEGMENTS = ((0, 22), (22, 43), (43, 64))  # bits from, to
 SAMPLE_POINTS, MOST_SAMPLED = 4096, 1 << 20
 SHARD_POINTS = 8192
 LEAF_CELLS = 1 << 18
+HOT = 1000
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -239,21 +240,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     check_columns(df, id_col, text_col)
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found, of_point = _grouped(own, words, bits)
-    return found.join(of_point, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
+    # a fingerprint with more than a HOT-th of all rows is one of fewer than HOT,
+    # so their broadcast is bounded and their rows stay where they are
+    often = F.col("copies") * HOT > found.count()
+    hot = F.broadcast(of_point.where(often))
+    back = found.join(hot, "fp").unionByName(
+        found.join(hot.select("fp"), "fp", "left_anti").join(of_point.where(~often), "fp"))
+    return back.select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
 def _grouped(own: DataFrame, words: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """The rows with fp for their text, and for each fp its group (root) and
-    the group's smallest doc_id."""
+    """The rows with fp for their text, and for each fp its number of rows, its
+    group (root) and the group's smallest doc_id."""
     docs = cut_lineage(fingerprints(own, "text", words))
-    points = cut_lineage(docs.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    points = cut_lineage(docs.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")))
     labels = components(links(points, bits))
-    linked = cut_lineage(labels.toDF("fp", "root").join(points, "fp"))
+    linked = cut_lineage(labels.toDF("fp", "root").join(points.drop("copies"), "fp"))
     # a table of its own, so that the next join can split a large component
     low = cut_lineage(linked.groupBy("root").agg(F.min("low").alias("component_id")))
     of_linked = linked.join(low, "root").select("fp", "root", "component_id")
     return docs, points.join(of_linked, "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id"))
+        "fp", "copies", F.coalesce("root", "fp").alias("root"),
+        F.coalesce("component_id", "low").alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4,
