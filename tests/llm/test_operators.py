@@ -295,8 +295,10 @@ def _groups(fps, bits):
     return {f: find(f) for f in fl}
 
 
-def test_simhash_components(spark, docs, rows, none):
+@pytest.mark.parametrize("hot", [1000, 8, 1])               # all fingerprints are joined as frequent ones, some, none
+def test_simhash_components(spark, docs, rows, none, hot, monkeypatch):
     from ledgerlens.llm import simhash
+    monkeypatch.setattr(simhash, "HOT", hot)
     fps = [_fingerprint(r[1]) for r in rows]
     root = _groups(fps, 4)
     low = {}
