@@ -223,7 +223,7 @@ class Encoder(dict):
     #: Bytes of a dictionary entry and its two objects, besides what they hold.
     ENTRY = 200
 
-    def __init__(self, vocab: str, most: int = 48 << 20):
+    def __init__(self, vocab: str, most: int = 32 << 20):
         super().__init__()
         self.most, self.held, self.classes = most, 0, Classes()
         with open(vocab, "rb") as f:
