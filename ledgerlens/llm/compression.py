@@ -174,8 +174,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col:
     content = [[bytes(r[0]) for r in pieces.where(F.col("label") == label).select("piece").orderBy(*order)
                 .limit(SAMPLE_PIECES).collect()] for label in (0, 1)]
     model = Model(dictionary(content[1]), dictionary(content[0]))
-    got = _differences(sample.where("half = 1").select("label", "text"), "text", model).select(
-        "label", "difference").collect()
+    # in one order, so that sums do not depend on the partitions
+    got = sorted(_differences(sample.where("half = 1").select("label", "text"), "text", model).select(
+        "label", "difference").collect())
     y, x = np.array([r[0] for r in got], int), np.array([r[1] for r in got], float)
     if len(set(y.tolist())) < 2:
         share = counts[1] / (counts[0] + counts[1])
