@@ -46,6 +46,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct keys, rising. Sorting is many times faster here than the
+    hash table that ``np.unique`` takes for millions of different keys."""
+    keys = np.sort(keys)
+    return keys[np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))] if len(keys) else keys
+
+
 def bucket_edges(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets that hold some of the sorted keys, rising, and where each
     begins in them (one place more, the end). Bucket b holds the keys from

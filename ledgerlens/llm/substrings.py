@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, check_columns, schema_with, slices, text_bytes
-from .exchange import CHUNK, RANK, Layout, bucket_edges, dealt, dealt_texts, mix, pack, squeeze, stretch, unpack
+from .exchange import CHUNK, RANK, Layout, bucket_edges, dealt, dealt_texts, distinct, mix, pack, squeeze, stretch, unpack
 
 BASE = np.uint64(0x9E3779B97F4A7C15)  # fixed value: an odd multiplier
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -116,7 +116,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def listed(key, table):
         value, there, _ = windows(dealt_texts(table.column(text_col)), width)
-        keys = np.unique(value[there])
+        keys = distinct(value[there])
         buckets, edges = bucket_edges(keys, n_buckets)
         n = len(buckets)
         return pa.table({"chunk": pa.array([key[0].as_py()] * n, pa.int64()),

@@ -137,6 +137,7 @@ def test_packed_lists_round_trip():
         for top in (2**64 - 1, 2**40, 2**20):
             keys = np.unique(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
             assert (E.unpack(E.pack(keys)) == keys).all()
+            assert (E.distinct(np.concatenate([keys, keys[::2]])) == keys).all()
     for kind in (np.uint8, np.uint32, np.uint64):
         x = rng.integers(0, 200, 100).astype(kind)
         assert (E.stretch(E.squeeze(x), kind) == x).all() and len(E.stretch(E.squeeze(x[:0]), kind)) == 0
