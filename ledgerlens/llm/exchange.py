@@ -53,6 +53,17 @@ def distinct(keys: np.ndarray) -> np.ndarray:
     return keys[np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))] if len(keys) else keys
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, rising; a place of each; which of them each key is). Any
+    place will do here, so the fast unstable sort does too."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])[:len(keys)]
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], which
+
+
 def bucket_edges(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The buckets that hold some of the sorted keys, rising, and where each
     begins in them (one place more, the end). Bucket b holds the keys from

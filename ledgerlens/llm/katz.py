@@ -42,8 +42,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, check_columns, parts, schema_with
-from .exchange import CHUNK, RANK, bucket_edges, dealt, dealt_texts, mix, pack, sizes, spans, squeeze, stretch, unpack
-from .substrings import BASE, WordHashes
+from .exchange import CHUNK, RANK, bucket_edges, dealt, dealt_texts, mix, numbered, pack, sizes, spans, squeeze, stretch, unpack
+from .substrings import BASE
 
 START, END = np.uint64(1), np.uint64(2)
 K = 5  # counts up to K are discounted
@@ -66,6 +66,33 @@ def _keys(words: list[np.ndarray]) -> np.ndarray:
     return mix(value)
 
 
+#: Is a byte part of a word?
+INSIDE = np.array([not (c == 32 or 9 <= c <= 13) for c in range(256)])
+SHORT = 32
+
+
+def word_keys(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit keys of all words of the documents in a row, A-Z lowered; number
+    of words of each). A word's key is a polynomial in its bytes and length,
+    stepped for all words at once, byte by byte; words above ``SHORT`` bytes,
+    which are rare, are hashed one by one."""
+    from xxhash import xxh64_intdigest
+    joined = b"\n".join(d.lower() for d in docs)
+    text = np.frombuffer(joined, np.uint8)
+    edge = np.diff(INSIDE[text].astype(np.int8), prepend=0, append=0)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    size = end - begin
+    keys = size.astype(np.uint64)
+    live = np.flatnonzero(size <= SHORT)
+    for k in range(SHORT):
+        live = live[size[live] > k]
+        keys[live] = keys[live] * BASE + text[begin[live] + k]
+    for i in np.flatnonzero(size > SHORT).tolist():
+        keys[i] = xxh64_intdigest(joined[begin[i]:end[i]], 7)
+    first = np.cumsum([0] + [len(d) + 1 for d in docs])       # where each document starts
+    return mix(keys), np.diff(np.searchsorted(begin, first)).astype(np.int64)
+
+
 class Tokens:
     """Keys of a chunk's runs of words. At index n of each list: the distinct
     runs of n words (sorted keys), which of them ends at each place, and of
@@ -73,16 +100,13 @@ class Tokens:
     whether it has a token (the start words before a text have none)."""
 
     def __init__(self, docs: list[bytes], order: int):
-        hashes = WordHashes()
-        rows = []
-        for d in docs:
-            rows.append(np.array([START], np.uint64))
-            rows.append(np.fromiter(map(hashes.__getitem__, d.lower().split()), np.uint64))
-            rows.append(np.array([END], np.uint64))
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
-        self.sizes = np.array([len(r) + 2 for r in rows[1::3]], np.int64)
+        words, counts = word_keys(docs)
+        self.sizes = counts + 2
         begin = np.cumsum(self.sizes) - self.sizes
         self.counts = self.sizes - 1
+        flat = np.full(int(self.sizes.sum()), START)
+        flat[begin + counts + 1] = END
+        flat[np.arange(len(words)) + 2 * np.repeat(np.arange(len(counts)), counts) + 1] = words
         self.token = np.ones(len(flat), bool)
         self.token[begin] = False
         self.runs, self.run_of, self.history, self.shorter, self.real = [None], [None], [None], [None], [None]
@@ -95,7 +119,7 @@ class Tokens:
                 before[1:] = words[-1][:-1]
                 before[begin] = START
                 words.append(before)
-            runs, first, which = np.unique(_keys(words), return_index=True, return_inverse=True)
+            runs, first, which = numbered(_keys(words))
             self.runs.append(runs)
             self.run_of.append(which)
             self.real.append(runs != start_key(n))
@@ -201,9 +225,9 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
 
     def added(n, keys, counts):
         """A bucket's runs of n words: those of each chunk, the distinct ones,
-        where each comes first, which is which, and their training counts."""
+        a place of each, which is which, and their training counts."""
         own = [unpack(x[n - 1]) for x in keys]
-        distinct, first, which = np.unique(np.concatenate(own), return_index=True, return_inverse=True)
+        distinct, first, which = numbered(np.concatenate(own))
         total = np.bincount(which, np.concatenate([stretch(x[n - 1], np.uint32) for x in counts]), len(distinct))
         return own, distinct, first, which, total.astype(np.int64)
 
@@ -314,7 +338,7 @@ def score(df: DataFrame, train_col: str, id_col: str = "doc_id", text_col: str =
         flags, values, at = [], [], 0
         for n in longer:
             own = [unpack(x[n - 2]) for x in keys]
-            distinct, which = np.unique(np.concatenate(own), return_inverse=True)
+            distinct, _, which = numbered(np.concatenate(own))
             cuts = np.cumsum([len(x) for x in own])[:-1]
 
             def total(plane, kind):

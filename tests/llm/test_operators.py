@@ -372,6 +372,19 @@ def test_sharding(spark, docs, rows, none):
     assert sharding.shard_documents(none, 8).count() == 0
 
 
+def test_word_keys_tell_words_apart():
+    from ledgerlens.llm import katz
+    rng = random.Random(4)
+    docs = ["", " \n ", "One one ONE", "\u00c9t\u00e9 \u00e9t\u00e9", "x" * 40 + " " + "x" * 41, "a\x00b a\x00 \x00"]
+    docs += [" ".join("".join(rng.choice("ab\x01\u00e9Z") for _ in range(rng.randint(1, 36))) for _ in range(400))
+             for _ in range(30)]
+    keys, counts = katz.word_keys([d.encode() for d in docs])
+    words = [w for d in docs for w in d.encode().lower().split()]
+    assert counts.tolist() == [len(d.encode().split()) for d in docs] and len(keys) == len(words)
+    assert len(set(zip(words, keys.tolist()))) == len(set(words)) == len(set(keys.tolist()))
+    assert [len(x) for x in katz.word_keys([])] == [0, 0]
+
+
 def test_katz_scores(spark, docs, rows, none):
     from ledgerlens.llm import katz
     flagged = docs.withColumn("train", F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
