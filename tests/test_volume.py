@@ -26,6 +26,10 @@ def _shuffled_twice_by_facts(plan):
     assert re.search(r"Exchange hashpartitioning\(l_orderkey#\d+L", plan)
 
 
+def test_text_summary_shuffles_by_owner_once(spark):
+    _shuffled_twice_by_facts(_plan_without_broadcast(spark, "text_summary"))
+
+
 def test_data_summary_shuffles_by_owner_once(spark):
     _shuffled_twice_by_facts(_plan_without_broadcast(spark, "data_summary"))
 
