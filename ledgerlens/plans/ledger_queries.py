@@ -210,14 +210,18 @@ def owner_rows(spark: SparkSession, d: str) -> DataFrame:
     return L.select(C.USER, C.NAME, C.DATE, *_money(C.AMOUNT), C.CATEGORY, C.MERCHANT)
 
 
-def stored_cards(spark: SparkSession, d: str) -> DataFrame:
-    """The owner cards of these tables, stored once a session."""
+def card_store(spark: SparkSession, d: str) -> CardStore:
+    """The owner facts and cards of these tables, stored once a session."""
     def build():
         store = CardStore(spark)
         store.refresh(driver_ledger(spark, d))
         return store
     inputs = [f"{d}/{t}.parquet" for t in ("lineitem", "orders", "customer", "part", "supplier")]
-    return once(spark, "card_store", inputs, build).cards()
+    return once(spark, "card_store", inputs, build)
+
+
+def stored_cards(spark: SparkSession, d: str) -> DataFrame:
+    return card_store(spark, d).cards()
 
 
 def request_profiles(spark: SparkSession, d: str) -> DataFrame:
