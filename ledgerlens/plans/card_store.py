@@ -36,6 +36,7 @@ class CardStore:
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
         self.name = f"owner_{uuid.uuid4().hex}"
+        self.own_folder = folder is None
         self.folder = folder or f"{ensure_checkpoint_dir(spark)}/tables/{self.name}"
         self.version = 0
 
@@ -54,7 +55,9 @@ class CardStore:
         new = PR.owner_facts(ledger)
         self._write(new.repartition(self.buckets, C.USER), "facts", "append")
         if self.version == 0:
-            made = PR.cards_of(PR.merged_facts(self.facts()))
+            # the facts of one batch are merged already
+            facts = self.facts() if self.own_folder else PR.merged_facts(self.facts())
+            made = PR.cards_of(facts)
         else:
             touched = new.select(C.USER).distinct()
             again = PR.cards_of(PR.merged_facts(self.facts().join(touched, C.USER, "left_semi")))

@@ -1,6 +1,6 @@
 """One pass over the ledger for what a session stores."""
 
-from conftest import SF
+from conftest import CACHE_ROWS, SF, ledger_df
 
 from ledgerlens.sources import derived as D
 
@@ -18,3 +18,10 @@ def test_answers_of_stored_cards_are_those_of_the_ledger(spark):
     got = D.answers(spark, SF, stored_cards(spark, SF)).select(cols)
     want = D.answers(spark, SF).select(cols)
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.count()
+
+
+def test_stored_facts_hold_what_cards_read(spark):
+    from ledgerlens.plans.card_store import CardStore
+    store = CardStore(spark, buckets=4)
+    store.refresh(ledger_df(spark, CACHE_ROWS))
+    assert store.facts().where("grain <> 'owner' AND (n_expense = 0 OR first_date IS NOT NULL)").count() == 0
