@@ -52,8 +52,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from .plans.pipeline import run_batch
     from .sources import derived as D
-    from .sources.ledger import driver_ledger
-    run_batch(D.requests(spark, a.data), driver_ledger(spark, a.data), D.responses(spark, a.data), a.out)
+    run_batch(D.requests(spark, a.data), D.requested_ledger(spark, a.data), D.responses(spark, a.data), a.out)
     return 0
 
 

@@ -61,7 +61,7 @@ def log_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
     def owners():
         if not made:
-            made.update(PL.owner_tables(driver_ledger(spark, d), D.requests(spark, d)))
+            made.update(PL.owner_tables(D.requested_ledger(spark, d)))
         return made
 
     rows = stored(spark, "screened", inputs, lambda: PL.screened(D.requests(spark, d), owners()["names"]))

@@ -2,7 +2,9 @@
 
 from conftest import CACHE_ROWS, SF, ledger_df
 
+from ledgerlens import columns as C
 from ledgerlens.sources import derived as D
+from ledgerlens.sources.ledger import driver_ledger
 
 
 def test_answers_and_their_numbers_read_stored_cards_and_facts(spark):
@@ -25,3 +27,24 @@ def test_stored_facts_hold_what_cards_read(spark):
     store = CardStore(spark, buckets=4)
     store.refresh(ledger_df(spark, CACHE_ROWS))
     assert store.facts().where("grain <> 'owner' AND (n_expense = 0 OR first_date IS NOT NULL)").count() == 0
+
+
+def test_the_log_cuts_the_ledger_before_its_dimensions(spark):
+    led = D.requested_ledger(spark, SF)
+    lines = led._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {i: len(x) - len(x.lstrip(" :+-")) for i, x in enumerate(lines)}
+    semi = [depth[i] for i, x in enumerate(lines) if "Join LeftSemi" in x]
+    dims = [depth[i] for i, x in enumerate(lines) if "Join Inner" in x and ("p_partkey" in x or "s_suppkey" in x or "c_custkey" in x)]
+    assert len(semi) == 1 and len(dims) == 3 and min(semi) > max(dims)
+    want = driver_ledger(spark, SF).join(D.requests(spark, SF).select(C.USER).distinct(), C.USER, "left_semi")
+    assert led.exceptAll(want.select(led.columns)).count() == want.select(led.columns).exceptAll(led).count() == 0 < led.count()
+
+
+def test_log_tables_aggregate_the_cut_ledger(spark, monkeypatch):
+    from ledgerlens.plans import log_queries as L
+    given = []
+    monkeypatch.setattr(L, "stored", lambda spark, name, inputs, build: build() if name == "screened" else spark.range(0))
+    monkeypatch.setattr(L.PL, "screened", lambda requests, names: requests)
+    monkeypatch.setattr(L.PL, "owner_tables", lambda *a: given.extend(a) or {"names": None})
+    L.log_tables(spark, SF)
+    assert len(given) == 1 and "LeftSemi" in given[0]._jdf.queryExecution().optimizedPlan().toString()
