@@ -1,25 +1,30 @@
 """One pass over the ledger for what a session stores."""
 
 from conftest import CACHE_ROWS, SF, ledger_df
+from pyspark.sql import functions as F
 
 from ledgerlens import columns as C
 from ledgerlens.sources import derived as D
 from ledgerlens.sources.ledger import driver_ledger
 
 
-def test_answers_and_their_numbers_read_stored_cards_and_facts(spark):
-    from ledgerlens.plans import screening_queries as S
-    for query in (S.number_grounding, S.screen_answers):
-        plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
-        assert "l_extendedprice" not in plan and "l_orderkey" not in plan
+def test_answers_quote_the_ledger_without_merchants(spark, tmp_path):
+    """A supplier row that comes twice doubles the verified numbers, not the answers."""
+    import os
+    for t in ("lineitem", "orders", "customer", "part"):
+        os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    one = spark.read.parquet(f"{SF}/supplier.parquet")
+    one.unionAll(one).write.parquet(str(tmp_path / "supplier.parquet"))
+    got, want = (D.answers(spark, x).select("answer_id", "response", "n_rows") for x in (str(tmp_path), SF))
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.count()
+    twice = {r.user_id: r.n for r in driver_ledger(spark, str(tmp_path)).groupBy("user_id").agg(F.count("*").alias("n")).collect()}
+    assert twice == {r.answer_id: 2 * r.n_rows for r in want.collect()}
 
 
-def test_answers_of_stored_cards_are_those_of_the_ledger(spark):
-    from ledgerlens.plans.ledger_queries import stored_cards
-    cols = ["answer_id", "user_id", "response", "first_date", "last_date", "n_rows"]
-    got = D.answers(spark, SF, stored_cards(spark, SF)).select(cols)
-    want = D.answers(spark, SF).select(cols)
-    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0 < got.count()
+def test_verified_numbers_shuffle_by_owner_once(spark):
+    from ledgerlens.operators import profile as PR
+    plan = PR.actual_rows(driver_ledger(spark, SF))._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning" in x and "grain" in x for x in plan.splitlines()) == 2
 
 
 def test_stored_facts_hold_what_cards_read(spark):
