@@ -21,7 +21,6 @@ def _plan_without_broadcast(spark, query):
 def _shuffled_twice_by_facts(plan):
     # four joins of two sides, the aggregate by (owner, grain, key), one shuffle by owner
     assert len(re.findall(r"Exchange hashpartitioning", plan)) <= 10
-    # names meet the orders, not the line items
     assert re.search(r"Exchange hashpartitioning\(o_custkey#\d+L", plan)
     assert re.search(r"Exchange hashpartitioning\(l_orderkey#\d+L", plan)
 
